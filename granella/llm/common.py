@@ -99,8 +99,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"][:n], _powers["q"][:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of every row, A-Z lower-cased, words ended by ASCII white space.
+#: Byte table that lower-cases A-Z and blanks every other ASCII character but digits and a-z.
+PLAIN = _LOWER.copy()
+PLAIN[[c for c in range(128) if not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123)]] = 0x20
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of every row, bytes turned by the table (A-Z lower-cased), words ended by ASCII white space.
 
     Returns hashes, byte starts, byte ends and, for each row, where its words begin (rows + 1 numbers).
     """
@@ -108,7 +113,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if n == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, U64), z, z, np.zeros(len(offsets), np.int64)
-    low = _LOWER[data]
+    low = table[data]
     gap = _SPACE[low]
     before = np.empty(n, bool)
     before[1:] = gap[:-1]
