@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granella.llm import lang_id, ngram_join, pii, token_counts, toxicity
+from granella.llm import decontamination, lang_id, ngram_join, pii, token_counts, toxicity
 from granella.llm.common import held_out
 
 
@@ -18,7 +18,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", held_out().alias("held_out"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.train(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    model = toxicity.train(docs, labels.filter(~held_out()))
     found = toxicity.score(docs, model, keep=("doc_id", "held_out"))
     worst = F.array_max(F.transform("sentences", lambda x: F.struct(x["score"], -x["start"], x["start"].alias("start"), x["end"].alias("end"))))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("sentences").alias("n_sentences"), worst["start"].alias("worst_start"), worst["end"].alias("worst_end"))
@@ -41,12 +41,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op5_pii, op6_language_id, op7_token_counts, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_toxicity, op5_pii, op6_language_id, op7_token_counts, op8_decontamination, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granella.llm.common import written
+
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*\n*|[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features; words of that length or longer have them.
@@ -60,20 +62,22 @@ class _Known(dict):
         return out
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most_rows: int = 3000, most_features: int = 6000, rounds: int = 300) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most_rows: int = 3000, most_features: int = 6000, rounds: int = 300) -> Model | None:
     """Fit on about most_rows labelled rows, half of them positive if there are as many.
 
-    labelled holds only rows that may train. None if one of the labels is missing.
+    labels has key and label, and only rows that may train, one for each key.
+    Ids are sampled before texts are read: at most 2 x most_rows ids are
+    broadcast. None if one of the labels is missing.
     """
-    rows = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull() & F.col(key).isNotNull())
-    counts = {r["y"]: r["count"] for r in rows.groupBy(F.col(label).cast("int").alias("y")).count().collect()}
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y"))
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(counts) < 2:
         return None
     half = most_rows / 2
     u = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.when(F.col(label) == 1, half / counts[1]).otherwise((most_rows - min(half, counts[1])) / counts[0])
-    # whole texts are cut to distinct features by sentence on the executors
-    sample = rows.filter(u < rate).select(F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("k"), F.col(text).alias("t"))
+    rate = F.when(F.col("y") == 1, half / counts[1]).otherwise((most_rows - min(half, counts[1])) / counts[0])
+    ids = F.broadcast(rows.filter(u < rate).limit(2 * most_rows))
+    sample = written(docs.filter(F.col(text).isNotNull()).join(ids, key).select("y", F.xxhash64(F.col(key).cast("string")).alias("k"), F.col(text).alias("t")), "sample")
 
     def featurise(batches):
         for b in batches:
