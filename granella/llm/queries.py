@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granella.llm import decontamination, lang_id, ngram_join, pii, token_counts, toxicity
+from granella.llm import decontamination, fingerprint, lang_id, ngram_join, pii, token_counts, toxicity
 from granella.llm.common import held_out
 
 
@@ -45,12 +45,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_neighbours(_documents(spark, sf_dir))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op5_pii, op6_language_id, op7_token_counts, op8_decontamination, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_toxicity, op5_pii, op6_language_id, op7_token_counts, op8_decontamination, op9_fingerprint, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
