@@ -21,6 +21,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _powers: dict[str, np.ndarray] = {}
 
 #: Bytes of text that one numpy step handles at once; longer texts go alone.
@@ -50,10 +51,18 @@ def _own_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors."""
-    path = stage_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors.
+
+    The shuffle files behind it are removed once it is written.
+    """
+    spark, path = df.sparkSession, stage_dir(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN, None)
+    try:
+        spark.conf.set(_CLEAN, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granella.llm import decontamination, fingerprint, lang_id, ngram_join, pii, token_counts, toxicity
+from granella.llm import decontamination, fingerprint, lang_id, lm_scoring, ngram_join, pii, token_counts, toxicity
 from granella.llm.common import held_out
 
 
@@ -15,6 +15,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_documents(spark, sf_dir), train=~held_out())
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", held_out().alias("held_out"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -54,7 +58,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op5_pii, op6_language_id, op7_token_counts, op8_decontamination, op9_fingerprint, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op5_pii, op6_language_id, op7_token_counts, op8_decontamination, op9_fingerprint, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
