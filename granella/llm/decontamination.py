@@ -155,50 +155,72 @@ def _windows(x: Index, at: np.ndarray, k: np.ndarray, words: int, least_hits: in
             yield int(item[a]), max(0, int(pos[a]) - n), min(words, int(pos[b - 1]) + n + 2)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", n: int = 2, rare: float = 0.005, least_seeds: int = 12, least_hits: int = 3, least_words: int = 8, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
-    """(key, item_key, score, first_word, end_word) of the documents that hold a copy of an item."""
+def _indexes(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, n: int, rare: float, least_seeds: int, least_words: int, block_bytes: int):
+    """The broadcast index of each block of items."""
     spark = docs.sparkSession
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` bigint, score double, first_word int, end_word int"
     items = items.filter(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = spark.createDataFrame([], schema)
     for block in range(blocks):
         rows = sorted((r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect())
         index = build(rows, n, least_words)
-        if not index.items:
-            continue
-        df, total = _frequencies(docs, spark.sparkContext.broadcast(index), text, n)
-        found = _aligned(docs, spark.sparkContext.broadcast(_rare(index, df, total, rare, least_seeds)), schema, text, key, item_key, n, least_hits, threshold)
-        out = found if blocks == 1 else out.union(found)
+        if index.items:
+            df, total = _frequencies(docs, spark.sparkContext.broadcast(index), text, n)
+            yield spark.sparkContext.broadcast(_rare(index, df, total, rare, least_seeds))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", n: int = 2, rare: float = 0.005, least_seeds: int = 12, least_hits: int = 3, least_words: int = 8, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
+    """(key, item_key, score, first_word, end_word) of the documents that hold a copy of an item."""
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` bigint, score double, first_word int, end_word int"
+    out = None
+    for index in _indexes(docs, items, text, item_key, item_text, n, rare, least_seeds, least_words, block_bytes):
+
+        def run(batches, index=index):
+            for b in batches:
+                got = list(_found(b.column("t"), index.value, n, least_hits, threshold))
+                rows = pa.array([g[0] for g in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("k").take(rows), pa.array([g[1] for g in got], pa.int64()), pa.array([float(g[2]) for g in got], pa.float64()), *(pa.array([g[c] for g in got], pa.int32()) for c in (3, 4))], names=[key, item_key, "score", "first_word", "end_word"])
+
+        found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
+        out = found if out is None else out.union(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 2, rare: float = 0.005, least_seeds: int = 12, least_hits: int = 3, least_words: int = 8, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs that hold no copy of an item, dropped where they are read, without a join."""
+    out = docs
+    for index in _indexes(docs, items, text, item_key, item_text, n, rare, least_seeds, least_words, block_bytes):
+
+        def run(batches, index=index):
+            for b in batches:
+                bad = {g[0] for g in _found(b.column(text), index.value, n, least_hits, threshold)}
+                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_())) if bad else b
+
+        out = out.mapInArrow(run, docs.schema)
     return out
 
 
-def _aligned(docs: DataFrame, index, schema: str, text: str, key: str, item_key: str, n: int, least_hits: int, threshold: float) -> DataFrame:
-    def run(batches):
-        x = index.value
-        for b in batches:
-            data, offsets = buffers(b.column(text))
-            got = []
-            for lo, hi in spans(offsets):
-                words, _, _, bounds = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], PLAIN)
-                grams, gb = ngram_hashes(words, bounds, n)
-                at, k = x.find(grams)
-                doc = np.searchsorted(gb, at, side="right") - 1
-                cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
-                for a, z in zip(cut, np.append(cut[1:], len(doc)) if len(doc) else [], strict=True):
-                    if z - a < least_hits:
-                        continue
-                    d = int(doc[a])
-                    own = words[bounds[d] : bounds[d + 1]]
-                    best: dict[int, tuple] = {}
-                    for item, first, last in _windows(x, at[a:z] - gb[d], k[a:z], len(own), least_hits):
-                        s, end = align(x.words[item], own[first:last])
-                        s /= 2 * len(x.words[item])
-                        if s >= threshold and s > best.get(item, (0,))[0]:
-                            best[item] = (s, max(first, first + end - len(x.words[item])), first + end)
-                    got += [(lo + d, x.items[i], *v) for i, v in sorted(best.items())]
-            rows = pa.array([g[0] for g in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(key).take(rows), pa.array([g[1] for g in got], pa.int64()), pa.array([float(g[2]) for g in got], pa.float64()), *(pa.array([g[c] for g in got], pa.int32()) for c in (3, 4))], names=[key, item_key, "score", "first_word", "end_word"])
-
-    return docs.select(*dict.fromkeys([key, text])).mapInArrow(run, schema)
+def _found(col: pa.Array, x: Index, n: int, least_hits: int, threshold: float):
+    """(row, item id, score, first word, end word) of the rows' best copy of each item."""
+    data, offsets = buffers(col)
+    for lo, hi in spans(offsets):
+        words, _, _, bounds = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], PLAIN)
+        grams, gb = ngram_hashes(words, bounds, n)
+        at, k = x.find(grams)
+        if not len(at):
+            continue
+        doc = np.searchsorted(gb, at, side="right") - 1
+        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        for a, z in zip(cut, np.append(cut[1:], len(doc)), strict=True):
+            if z - a < least_hits:
+                continue
+            d = int(doc[a])
+            own = words[bounds[d] : bounds[d + 1]]
+            best: dict[int, tuple] = {}
+            for item, first, last in _windows(x, at[a:z] - gb[d], k[a:z], len(own), least_hits):
+                s, end = align(x.words[item], own[first:last])
+                s /= 2 * len(x.words[item])
+                if s >= threshold and s > best.get(item, (0,))[0]:
+                    best[item] = (s, max(first, first + end - len(x.words[item])), first + end)
+            for i, v in sorted(best.items()):
+                yield (lo + d, x.items[i], *v)

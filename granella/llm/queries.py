@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granella.llm import decontamination, fingerprint, lang_id, lm_scoring, ngram_join, pii, sentencepiece, token_counts, toxicity
+from granella.llm import decontamination, fingerprint, lang_id, license_scan, lm_scoring, ngram_join, pii, sentencepiece, token_counts, toxicity
 from granella.llm.common import held_out
 
 
@@ -32,6 +32,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(_documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_documents(spark, sf_dir))
+    return found.select("doc_id", "licence", "rule", F.array_join("sentences", ",").alias("sentences"), "start", "end")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.with_spans(_documents(spark, sf_dir).select("doc_id", "text"))
     base = pii.of_kinds(F.col("pii"), pii.BASE)
@@ -62,7 +67,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_sentencepiece, op5_pii, op6_language_id, op7_token_counts, op8_decontamination, op9_fingerprint, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_sentencepiece, op4_license_scan, op5_pii, op6_language_id, op7_token_counts, op8_decontamination, op9_fingerprint, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
