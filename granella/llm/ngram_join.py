@@ -17,11 +17,16 @@ How that is spread over a cluster:
 3. Short-list entries are dealt by n-gram hash as packed arrays. Each shard
    sorts its entries, which merges all its lists at once, drops lists of one
    entry and emits candidate pairs that pass the size and position bounds.
-4. Lists over ``longest`` entries (near copies by the hundred) don't emit all
-   pairs: each entry meets ``stars`` centres of its list. Those pairs are
-   verified; what is linked is one class from then on.
-5. Whatever such lists still hold of different classes is paired across classes
-   and verified, so no link between classes is lost: the classes are exact.
+4. Candidates are first compared by 16 bits of each n-gram, which bounds their
+   overlap from above; only pairs that pass have their full sets brought together.
+5. Lists over ``longest`` entries (near copies by the hundred) don't emit all
+   pairs: each entry meets ``centres`` entries of its list, others in each list.
+   Those pairs are verified; what is linked is one class from then on.
+6. Whatever such lists still hold of different classes is paired across classes
+   and verified, so no link between classes is lost: the classes are exact. The
+   join that pairs them carries a bitmap of 512 parities for each set: two sets
+   differ in as many n-grams as their bitmaps in bits, at least, and pairs that
+   differ in too many are no pairs.
 
 N-grams are compared by 64-bit hashes of their words, A-Z lower-cased.
 
@@ -62,6 +67,12 @@ def _node(g: np.ndarray) -> int:
     return int(mix(np.array([s], U64)).view(np.int64)[0])
 
 
+def _parities(g: np.ndarray) -> list[int]:
+    """Eight longs: of each of 512 bits, whether an odd number of n-grams hashes to it."""
+    odd = np.bincount((mix(g ^ U64(0x5851F42D4C957F2D)) >> U64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 def _required(n, num: int, den: int):
     """Least overlap that a set of size n needs with any partner."""
     return (num * n + den - 1) // den
@@ -73,18 +84,19 @@ def _both_required(s, num: int, den: int):
 
 
 def describe(docs: DataFrame, text: str, key: str, n: int, bits: int) -> DataFrame:
-    """Rows (key, size, node) of all documents, and rows (block, counts) of hashed n-gram counters."""
+    """Rows (key, size, node, bits) of all documents, and rows (block, counts) of hashed n-gram counters."""
 
     def run(batches):
         counters = np.zeros(1 << bits, np.uint32)
         for b in batches:
             data, offsets = buffers(b.column("t"))
-            sizes, nodes = [], []
+            sizes, nodes, parities = [], [], []
             for lo, hi in spans(offsets):
                 every = []
                 for g in _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n):
                     sizes.append(len(g))
                     nodes.append(_node(g) if len(g) else None)
+                    parities.append(_parities(g) if len(g) else None)
                     every.append(g)
                 if every and (at := np.concatenate(every)).size:
                     at = (at >> U64(64 - bits)).astype(np.int64)
@@ -94,16 +106,16 @@ def describe(docs: DataFrame, text: str, key: str, n: int, bits: int) -> DataFra
                         at, k = np.unique(at, return_counts=True)
                         counters[at] += k.astype(np.uint32)
             m = len(sizes)
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["k", "size", "node", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(parities, pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["k", "size", "node", "bits", "block", "counts"])
         blocks = [i for i in range(0, 1 << bits, _BLOCK) if counters[i : i + _BLOCK].any()]
         m = len(blocks)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([i // _BLOCK for i in blocks], pa.int32()), pa.array([zlib.compress(counters[i : i + _BLOCK].tobytes(), 1) for i in blocks], pa.binary())], names=["k", "size", "node", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array([i // _BLOCK for i in blocks], pa.int32()), pa.array([zlib.compress(counters[i : i + _BLOCK].tobytes(), 1) for i in blocks], pa.binary())], names=["k", "size", "node", "bits", "block", "counts"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k bigint, size bigint, node bigint, block int, counts binary")
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k bigint, size bigint, node bigint, bits array<bigint>, block int, counts binary")
 
 
 def _levels(described: DataFrame, bits: int) -> np.ndarray:
-    """One byte for each counter: 0 for those near the mean or below, then two steps for every doubling."""
+    """One byte for each counter: 0 for those near the mean or below, then four steps for every doubling."""
 
     def total(batches):
         got: dict[int, np.ndarray] = {}
@@ -118,7 +130,7 @@ def _levels(described: DataFrame, bits: int) -> np.ndarray:
     for r in rows:
         levels[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["levels"], np.uint8)
     mean = sum(r["n"] for r in rows) / (1 << bits)
-    floor = int(np.log2(2 * mean + 8) * 4)
+    floor = int(np.log2(mean + 4 * mean**0.5 + 3) * 4)
     return np.where(levels > floor, levels - floor, 0).astype(np.uint8)
 
 
@@ -163,7 +175,7 @@ def _entries(docs: DataFrame, text: str, n: int, num: int, den: int, bits: int,
     return docs.select(F.col(text).alias("t")).mapInArrow(run, "shard int, tok binary, node binary, size binary, pos binary")
 
 
-def _merge(entries: DataFrame, shards: int, num: int, den: int, longest: int, stars: int) -> DataFrame:
+def _merge(entries: DataFrame, shards: int, num: int, den: int, longest: int, centres: int) -> DataFrame:
     """Merge each shard's lists: candidate pairs (kind 0: a, b), and entries of long lists (kind 1: a node, b n-gram, size, pos)."""
 
     def pairs(node, size, pos, i, j):
@@ -211,10 +223,12 @@ def _merge(entries: DataFrame, shards: int, num: int, den: int, longest: int, st
                 yield from held(2_000_000)
         for first, length in zip(at[m > longest], m[m > longest], strict=True):
             every = np.arange(first, first + length)
-            for r in range(stars):
-                centre = first + int(np.argmin(mix(node[every].view(U64) ^ U64(r * 0x9E3779B97F4A7C15 & (2**64 - 1)))))
+            # entries late in their order pair with few others: they are centres only where there is nothing else
+            early = every[size[every] - pos[every] >= _both_required(2 * size[every].astype(np.int64), num, den)]
+            early = early if len(early) else every
+            for centre in early[np.argsort(mix(node[early].view(U64) ^ tok[first]))[:centres]]:
                 found.append(pairs(node, size, pos, every, np.full(length, centre)))
-                yield from held(2_000_000)
+            yield from held(2_000_000)
         yield from held()
         inside = np.repeat(m > longest, m)
         k = int(inside.sum())
@@ -224,8 +238,8 @@ def _merge(entries: DataFrame, shards: int, num: int, den: int, longest: int, st
     return entries.repartitionById(shards, F.col("shard")).mapInArrow(run, "kind int, a bigint, b bigint, size int, pos int")
 
 
-def _set_table(docs: DataFrame, nodes: DataFrame, members: DataFrame, text: str, key: str, n: int) -> DataFrame:
-    """(node, grams) of the nodes asked for: one document of each is read again.
+def _set_table(docs: DataFrame, nodes: DataFrame, members: DataFrame, text: str, key: str, n: int, small: bool) -> DataFrame:
+    """(node, grams) of the nodes asked for: one document of each is read again. With small, 16 bits of each n-gram.
 
     A fixed bitmap of 1 MB drops most other documents before they are hashed;
     a join drops the rest.
@@ -247,7 +261,7 @@ def _set_table(docs: DataFrame, nodes: DataFrame, members: DataFrame, text: str,
             data, offsets = buffers(b.column("t").take(pa.array(take)))
             for lo, hi in spans(offsets):
                 g = list(_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n))
-                yield pa.RecordBatch.from_arrays([pa.array([_node(x) if len(x) else None for x in g], pa.int64()), pa.array(h[take[lo:hi]]), pa.array([x.tobytes() for x in g], pa.binary())], names=["node", "h", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([_node(x) if len(x) else None for x in g], pa.int64()), pa.array(h[take[lo:hi]]), pa.array([(np.sort((x & U64(0xFFFF)).astype(np.uint16)) if small else x).tobytes() for x in g], pa.binary())], names=["node", "h", "grams"])
 
     sets = docs.select(_row_hash(key, text).alias("h"), F.col(text).alias("t")).mapInArrow(run, "node bigint, h bigint, grams binary")
     return sets.join(want, ["node", "h"]).groupBy("node").agg(F.first("grams").alias("grams"))
@@ -257,19 +271,30 @@ def _row_hash(key: str, text: str):
     return F.xxhash64(F.col(key).cast("string"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose sets reach the similarity."""
+def _numbered(x: np.ndarray) -> np.ndarray:
+    """Sorted 16-bit values made distinct: each with how many of its kind came before."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return (x.astype(np.int64) << 32) + np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Binary probes of the longer sorted array with the values of the shorter one."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def _reaching(pairs: DataFrame, sets: DataFrame, num: int, den: int, small: bool) -> DataFrame:
+    """Those pairs (a, b) whose sets reach the similarity; with small, those that may."""
 
     def run(batches):
         for b in batches:
             ok = []
             for x, y in zip(b.column("ga"), b.column("gb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
+                x, y = (np.frombuffer(v.as_buffer(), np.uint16 if small else U64) for v in (x, y))
+                both = _common(_numbered(x), _numbered(y)) if small else _common(x, y)
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -277,39 +302,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(run, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, num: int = 75, den: int = 100, longest: int = 64, stars: int = 8) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, text: str, key: str, n: int, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) whose sets reach the similarity: first by 16 bits of each n-gram, then in full."""
+    for small in (True, False):
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        pairs = written(_reaching(pairs, _set_table(docs, ends, members, text, key, n, small), num, den, small), "links")
+    return pairs
+
+
+def _mixed(long: DataFrame, roots: DataFrame, members: DataFrame) -> DataFrame:
+    """Entries, with their class and parities, of the long lists that hold more than one class."""
+    long = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = long.groupBy("tok").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("tok")
+    long = long.join(mixed, "tok")
+    bits = members.join(long.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"))
+    return written(long.join(bits, "node").select("tok", "node", "root", "size", "pos", *(F.col("bits")[i].alias(f"b{i}") for i in range(8))), "long")
+
+
+def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs of entries of one list and of different classes, that pass the bounds of size, position and parities."""
+    x, y = (mixed.select("tok", *(F.col(c).alias(f"{c}_{s}") for c in mixed.columns if c != "tok")) for s in "xy")
+    total = (F.col("size_x") + F.col("size_y")).cast("long")
+    apart = sum((F.bit_count(F.col(f"b{i}_x").bitwiseXOR(F.col(f"b{i}_y"))) for i in range(8)), F.lit(0))
+    bounds = (
+        (F.least("size_x", "size_y").cast("long") * den >= F.greatest("size_x", "size_y").cast("long") * num)
+        & (F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y")) * (num + den) >= total * num)
+        & ((total - apart) * (num + den) >= total * 2 * num)
+    )
+    return x.join(y, "tok").filter((F.col("root_x") < F.col("root_y")) & bounds).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, num: int = 75, den: int = 100, longest: int = 64, centres: int = 4) -> DataFrame:
     """key, n_shingles and component_id (the smallest key of the class) of every row. Keys are integers."""
     spark = docs.sparkSession
     rows = docs.count()
-    bits = min(24, max(16, int(rows * 4).bit_length()))
+    bits = min(24, max(16, int(rows * 32).bit_length()))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 4000)
     described = written(describe(docs, text, key, n, bits), "sets")
-    members = described.filter("block is null").select("k", "size", "node", F.xxhash64(F.col("k").cast("string")).alias("h"))
+    members = described.filter("block is null").select("k", "size", "node", "bits", F.xxhash64(F.col("k").cast("string")).alias("h"))
     levels = spark.sparkContext.broadcast(_levels(described, bits))
-    merged = written(_merge(_entries(docs, text, n, num, den, bits, levels, shards), shards, num, den, longest, stars), "merged")
+    merged = written(_merge(_entries(docs, text, n, num, den, bits, levels, shards), shards, num, den, longest, centres), "merged")
     pairs = merged.filter("kind = 0").select("a", "b").distinct()
     pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    links = written(_verified(pairs, _set_table(docs, ends, members, text, key, n), num, den), "links")
+    links = _verified(docs, pairs, members, text, key, n, num, den)
     roots = components(links)
     long = merged.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("tok"), "size", "pos")
     if not long.isEmpty():
-        long = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = long.groupBy("tok").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("tok")
-        long = written(long.join(mixed, "tok"), "long")
-        x, y = (long.select("tok", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "size", "pos"))) for s in "xy")
-        across = x.join(y, "tok").filter(
-            (F.col("root_x") < F.col("root_y"))
-            & (F.least("size_x", "size_y").cast("long") * den >= F.greatest("size_x", "size_y").cast("long") * num)
-            & (F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y")) * (num + den) >= (F.col("size_x") + F.col("size_y")).cast("long") * num)
-        )
-        more = across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = written(more, "pairs")
+        more = written(_across(_mixed(long, roots, members), num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
-            again = _verified(more, _set_table(docs, ends, members, text, key, n), num, den)
-            roots = components(links.union(again))
+            roots = components(links.union(_verified(docs, more, members, text, key, n, num, den)))
     nodes = members.filter("node is not null").groupBy("node").agg(F.min("k").alias("k")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("k").alias("component"))
     named = nodes.join(least, "root").select("node", "component")
     return members.join(named, "node", "left").select(F.col("k").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component", F.col("k")).alias("component_id"))
+
+
+def survivors(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """docs with one row of each class: the one with the smallest key. Rows with a null key stay."""
+    named = classes(docs, text, key, **options)
+    named = written(named.select(key, "component_id"), "classes")
+    out = docs.join(named.filter(F.col("component_id") != F.col(key)).select(key), key, "left_anti").select(*docs.columns)
+    repeated = named.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
+    if repeated.isEmpty():
+        return out
+    return out.filter(F.col(key).isNotNull()).dropDuplicates([key]).union(out.filter(F.col(key).isNull()))
