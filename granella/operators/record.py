@@ -1,0 +1,101 @@
+"""The project record: prices, validation, missing fields, patches and comparison."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from granella.functions.text import filled
+
+#: Price types by highest floor of a residential building.
+RESIDENTIAL = ((1, "R1-N"), (4, "R4-N"), (8, "R8-N"), (None, "R16-N"))
+
+
+def price_type(floors: Column, commercial: Column, explicit: Column) -> Column:
+    """The stated standard if there is one, CSL-8 for commercial buildings, else by floors; null if floors are unknown."""
+    by_floors = F.lit(None).cast("string")
+    for most, name in reversed(RESIDENTIAL):
+        by_floors = F.lit(name) if most is None else F.when(floors <= most, name).otherwise(by_floors)
+    return F.when(F.coalesce(explicit, F.lit("")) != "", explicit).when(commercial, "CSL-8").when(floors > 0, by_floors)
+
+
+def choose_price(records: DataFrame, prices: DataFrame) -> DataFrame:
+    """records with price_type and price: a price that is there stays; else that of the type in prices (type, price), a small dimension."""
+    typed = records.withColumn("price_type", price_type(F.col("floors"), F.col("commercial"), F.col("explicit")))
+    got = typed.join(F.broadcast(prices.withColumnRenamed("price", "_p").withColumnRenamed("type", "price_type")), "price_type", "left")
+    return got.withColumn("price", F.when(F.col("price") != 0, F.col("price")).otherwise(F.coalesce("_p", F.lit(0.0)))).drop("_p")
+
+
+def validation(records: DataFrame, fields: dict[str, str], critical: tuple[str, ...], key: str = "doc") -> DataFrame:
+    """ok (all critical fields filled), score (share of filled fields, four places) and missing, in the fields' order. fields: name -> kind."""
+    full = {f: filled(F.col(f), k) for f, k in fields.items()}
+    score = F.round(sum((c.cast("int") for c in full.values()), F.lit(0)) / F.lit(len(full)), 4)
+    missing = F.array_compact(F.array(*(F.when(~c, F.lit(f)) for f, c in full.items())))
+    return records.select(key, reduce(lambda a, b: a & b, (full[f] for f in critical)).alias("ok"), score.alias("score"), missing.alias("missing"))
+
+
+def typical_area_conflict(area: Column, repeats: Column, units_area: Column) -> Column:
+    """A typical floor's area, repeated, of more than one and a half times the units' area."""
+    return (units_area > 0) & (area * repeats > units_area * 1.5)
+
+
+#: Which paths may be patched; `[]` stands for any list position.
+RESPONSIBILITY = (
+    ("projeto.nome", "regex", True),
+    ("projeto.local", "regex", True),
+    ("projeto.cub", "tabela", False),
+    ("quadro1[]", "regex", False),
+    ("quadro6[]", "misto", True),
+    ("quadro7[]", "misto", True),
+    ("quadro7[].piso", "regex", False),
+    ("responsavel.crea", "regex", False),
+)
+
+
+def matrix(spark) -> DataFrame:
+    """The responsibility matrix: a fixed dimension of a few rows."""
+    return spark.createDataFrame(RESPONSIBILITY, "rule string, origin string, patchable boolean")
+
+
+def lookup(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+    """Origin and patchable of each path: its exact rule, else the longest rule that is its prefix; null without one."""
+    plain = F.regexp_replace(F.col(path), r"\[[0-9]+\]", "[]")
+    p = paths.withColumn("_p", plain)
+    got = p.join(F.broadcast(rules), (F.col("_p") == F.col("rule")) | (F.startswith(F.col("_p"), F.concat(F.col("rule"), F.lit(".")))), "left")
+    best = F.max_by(F.struct("origin", "patchable", "rule"), F.length("rule"))
+    return got.groupBy(*paths.columns).agg(best.alias("b")).select(*paths.columns, "b.origin", "b.patchable", "b.rule")
+
+
+def patch_reason(path: Column, value: Column, evidence: Column, confidence: Column, patchable: Column) -> Column:
+    """The first rule that rejects a patch item, or null."""
+    return (
+        F.when(F.coalesce(path, F.lit("")) == "", "path_vazio")
+        .when(patchable.isNull(), "path_desconhecido")
+        .when(~patchable, "path_protegido")
+        .when(F.coalesce(F.trim(value), F.lit("")) == "", "valor_vazio")
+        .when(F.length(F.coalesce(evidence, F.lit(""))) < 5, "sem_evidencia")
+        .when(~F.coalesce(confidence, F.lit("")).isin("alta", "media"), "confianca_baixa")
+    )
+
+
+def apply_patches(records: DataFrame, patches: DataFrame, rules: DataFrame, key: str = "doc") -> DataFrame:
+    """records (doc, path, value) with accepted patches (doc, pos, path, value, evidence, confidence): the last of a path wins."""
+    judged = lookup(patches, rules).withColumn("reason", patch_reason(*(F.col(c) for c in ("path", "value", "evidence", "confidence", "patchable"))))
+    last = judged.filter("reason is null").groupBy(key, "path").agg(F.max_by("value", "pos").alias("patched"))
+    return records.join(last, [key, "path"], "full").select(key, "path", F.coalesce("patched", "value").alias("value"), F.col("patched").isNotNull().alias("changed"))
+
+
+def compare(base: DataFrame, other: DataFrame, key: str = "doc") -> DataFrame:
+    """(doc, path, status) of paths that differ: lost, gained or changed."""
+    a, b = base.select(key, "path", F.col("value").alias("a")), other.select(key, "path", F.col("value").alias("b"))
+    full = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+    status = F.when(full("a") & ~full("b"), "perdido").when(~full("a") & full("b"), "ganho").when(full("a") & full("b") & (F.col("a") != F.col("b")), "diferente")
+    return a.join(b, [key, "path"], "full").withColumn("status", status).filter("status is not null").select(key, "path", "status")
+
+
+def first_of_equals(items: DataFrame, columns: list[str], order: str, key: str = "doc") -> DataFrame:
+    """Items without repeats by their lower-cased columns; the first stays."""
+    w = Window.partitionBy(key, *(F.lower(F.col(c)) for c in columns)).orderBy(order)
+    return items.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
