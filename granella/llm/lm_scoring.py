@@ -81,11 +81,13 @@ def _cuts(u: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(u, edges), [len(u)]))
 
 
-def _requests(groups: DataFrame, order: int, shards: int) -> DataFrame:
+def _requests(groups: DataFrame, orders: tuple[int, ...], shards: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         train = np.asarray(table.column("train").combine_chunks()).astype(bool)
         out = {"g": [], "shard": [], "n": [], "total": [], "size": [], "hashes": [], "counts": []}
-        for n, (grams, bounds) in enumerate(_grams(table.column("t"), order), 1):
+        for n, (grams, bounds) in enumerate(_grams(table.column("t"), max(orders)), 1):
+            if n not in orders:
+                continue
             u = np.unique(grams)
             own = grams[np.repeat(train, np.diff(bounds))]
             c = np.zeros(len(u), np.int64)
@@ -104,15 +106,13 @@ def _requests(groups: DataFrame, order: int, shards: int) -> DataFrame:
     return groups.groupBy("g").applyInArrow(run, "g int, shard int, n int, total bigint, size bigint, hashes binary, counts binary")
 
 
-def _answers(requests: DataFrame, order: int, shards: int) -> DataFrame:
+def _answers(requests: DataFrame, shards: int) -> DataFrame:
     def run(batches):
-        held = [[] for _ in range(order + 1)]
+        held: dict[int, list] = {}
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("n", "g", "shard", "total", "size", "hashes", "counts")), strict=True):
-                held[r[0]].append(r[1:])
-        for n, rows in enumerate(held):
-            if not rows:
-                continue
+                held.setdefault(r[0], []).append(r[1:])
+        for n, rows in held.items():
             sizes = [r[3] for r in rows]
             every = np.concatenate([_unpack(r[4], r[3]) for r in rows])
             counts = np.concatenate([_unpack_counts(r[5], r[3]) for r in rows])
@@ -159,7 +159,11 @@ def score(docs: DataFrame, train: Column | None = None, text: str = "text", key:
     groups = max(shards, -(-size // GROUP_BYTES))
     shards = max(shards, groups // 3)
     dealt = docs.select(F.pmod(F.xxhash64(F.col(key), t), F.lit(groups)).cast("int").alias("g"), F.col(key).alias("k"), t.alias("t"), train.alias("train")).repartition(groups, "g")
-    answers = written(_answers(_requests(dealt.select("g", "t", "train"), order, shards), order, shards), "counts")
+    answers = None
+    for orders in (tuple(range(1, order)), (order,)):  # the longest n-grams are most of what is shuffled, and go alone
+        if orders:
+            part = written(_answers(_requests(dealt.select("g", "t", "train"), orders, shards), shards), "counts")
+            answers = part if answers is None else answers.union(part)
     total = answers.filter("n = 1").agg(F.sum("total")).first()[0] or 1
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
