@@ -437,11 +437,11 @@ def q32_matrix_lookup(spark, sf):
 # ---- drawings and texts ------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_SEG}, n AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY idx) AS n, '<line class="' || {_KIND} || '" x1="' || x0::BIGINT || '" y1="' || y0::BIGINT || '" x2="' || x1::BIGINT || '" y2="' || y1::BIGINT || '"/>' AS element FROM seg)
+@query(f"""WITH {_SEG}, n AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY idx, x0, y0, x1, y1) AS n, '<line class="' || {_KIND} || '" x1="' || x0::BIGINT || '" y1="' || y0::BIGINT || '" x2="' || x1::BIGINT || '" y2="' || y1::BIGINT || '"/>' AS element FROM seg)
 SELECT page, count(*) AS n, md5('<g id="lines">' || string_agg(element, '' ORDER BY n) || '</g>') AS body FROM n WHERE n <= 200 GROUP BY page""")
 def q33_svg_layers(spark, sf):
     items = _segments(spark, sf).withColumn("element", S.line_element(G.orientation(*(F.col(c) for c in _ENDS))))
-    return S.layer(items, "lines", 200, ["idx"]).select("page", "n", F.md5("body").alias("body"))
+    return S.layer(items, "lines", 200, ["idx", *_ENDS]).select("page", "n", F.md5("body").alias("body"))
 
 
 @query("""SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events""")
