@@ -6,6 +6,8 @@ UTF-8 bytes with numpy, so no Python string is built per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -183,6 +185,13 @@ def ngram_hashes(words: np.ndarray, bounds: np.ndarray, n: int, short: bool = Fa
     return got, b
 
 
+def trim() -> None:
+    """Gives freed memory of this worker back to the system, where the C library can; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 as the int64 with the same bits."""
     return x.view(np.int64)

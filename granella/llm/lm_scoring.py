@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granella.llm.common import U64, buffers, ngram_hashes, spans, word_hashes, written
+from granella.llm.common import U64, buffers, ngram_hashes, spans, trim, word_hashes, written
 
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -56,7 +56,7 @@ def _pack_counts(c: np.ndarray) -> bytes:
 def _unpack_counts(b: bytes, n: int) -> np.ndarray:
     large = int.from_bytes(b[-4:], "big")
     raw = pa.decompress(b[:-4], decompressed_size=n + 4 * large, codec="zstd", asbytes=True)
-    c = np.frombuffer(raw[:n], np.uint8).astype(np.int64)
+    c = np.frombuffer(raw[:n], np.uint8).astype(np.uint32)
     c[c == 255] = np.frombuffer(raw[n:], np.uint32)
     return c
 
@@ -100,6 +100,7 @@ def _requests(groups: DataFrame, orders: tuple[int, ...], shards: int) -> DataFr
                 if b > a:
                     for name, v in zip(out, (table.column("g")[0].as_py(), s, n, int(c[a:b].sum()), int(b - a), _pack(u[a:b]), _pack_counts(c[a:b])), strict=True):
                         out[name].append(v)
+        trim()
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
@@ -116,14 +117,17 @@ def _answers(requests: DataFrame, shards: int) -> DataFrame:
             sizes = [r[3] for r in rows]
             every = np.concatenate([_unpack(r[4], r[3]) for r in rows])
             counts = np.concatenate([_unpack_counts(r[5], r[3]) for r in rows])
-            o = np.argsort(every, kind="stable")
-            first = np.append(True, every[o][1:] != every[o][:-1])
-            which = np.cumsum(first) - 1
-            total = np.add.reduceat(counts[o], np.flatnonzero(first))
-            back = np.empty(len(o), np.int64)
-            back[o] = total[which]
+            o = np.argsort(every, kind="stable").astype(np.uint32)
+            every = every[o]
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            del every
+            total = np.add.reduceat(counts[o], first)
+            back = np.empty(len(o), np.uint32)
+            back[o] = np.repeat(total, np.diff(np.append(first, len(o))))
             for (g, shard, sum_, size, _, _), c in zip(rows, np.split(back, np.cumsum(sizes)[:-1]), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([shard], pa.int32()), pa.array([n], pa.int32()), pa.array([sum_], pa.int64()), pa.array([size], pa.int64()), pa.array([_pack_counts(c)], pa.binary())], names=["g", "shard", "n", "total", "size", "counts"])
+            del o, counts, back
+        trim()
 
     return requests.repartitionById(shards, F.col("shard")).mapInArrow(run, "g int, shard int, n int, total bigint, size bigint, counts binary")
 
@@ -157,7 +161,7 @@ def score(docs: DataFrame, train: Column | None = None, text: str = "text", key:
     size = docs.agg(F.sum(F.octet_length(t))).first()[0] or 0
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(shards, -(-size // GROUP_BYTES))
-    shards = max(shards, groups // 3)
+    shards = max(shards, groups // 2)
     dealt = docs.select(F.pmod(F.xxhash64(F.col(key), t), F.lit(groups)).cast("int").alias("g"), F.col(key).alias("k"), t.alias("t"), train.alias("train")).repartition(groups, "g")
     answers = None
     for orders in (tuple(range(1, order)), (order,)):  # the longest n-grams are most of what is shuffled, and go alone
@@ -174,8 +178,10 @@ def score(docs: DataFrame, train: Column | None = None, text: str = "text", key:
         counts = []
         for n, (g, _) in enumerate(grams, 1):
             c = [x for _, x in sorted(by.get(n, []), key=lambda x: x[0])]
-            counts.append(np.concatenate(c)[np.unique(g, return_inverse=True)[1]] if c else np.zeros(0, np.int64))
+            counts.append(np.concatenate(c)[np.unique(g, return_inverse=True)[1]].astype(np.int64) if c else np.zeros(0, np.int64))
         tokens, log, off = _scores(grams, counts, max(total, 1), backoff)
+        del grams, counts, by
+        trim()
         mean = pa.array(np.where(tokens > 0, log / np.maximum(tokens, 1), 0.0), mask=tokens == 0)
         return pa.table([left.column("k"), pa.array(tokens), pa.array(log), mean, pa.array(off)], names=[key, "n_tokens", "log_score", "mean_log_score", "n_backoff"])
 
