@@ -47,7 +47,9 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL, BREAK = 0x2581, 0x200000, 10
 UNIT = 64
 CHUNK = 1_500_000
-_BITS = 20
+_BITS = 22
+#: A rest whose path is less likely than exp(FAINT) can't be among the best.
+FAINT = -60.0
 
 
 @dataclass
@@ -96,13 +98,15 @@ class Lattices:
     def __init__(self, pieces: Pieces, alpha: float):
         self.pieces = pieces
         self.longest = max((len(p) for p in pieces.names), default=1)
-        self.mask = np.zeros(1 << _BITS, bool)
+        self.mask = np.zeros(1 << _BITS, np.uint8)  # 1: a piece begins so, 2: a piece
         by: dict[int, list] = {}
         for name, i, log in zip(pieces.names, pieces.ids, pieces.logs, strict=True):
             codes = np.array([ord(c) for c in name], np.uint32)
-            h = self.hashes(np.concatenate(([U64(0)], self.sums(codes))), np.zeros(1, np.int64), len(codes))[0]
-            by.setdefault(len(codes), []).append((int(h), i, math.exp(alpha * log)))
-            self.mask[int(h) >> (64 - _BITS)] = True
+            h = self.hashes(np.concatenate(([U64(0)], self.sums(codes))), np.zeros(len(codes), np.int64), np.arange(1, len(codes) + 1))
+            by.setdefault(len(codes), []).append((int(h[-1]), i, math.exp(alpha * log)))
+            at = (h >> U64(64 - _BITS)).astype(np.int64)
+            self.mask[at] |= 1
+            self.mask[at[-1]] |= 2
         self.tables = {}
         for n, rows in by.items():
             rows.sort()
@@ -138,17 +142,21 @@ class Lattices:
         self.codes, self.left = c, left
         acc = np.concatenate(([U64(0)], self.sums(c)))
         bare, parts = inner.copy(), []
-        for k, (known, known_ids, weight) in sorted(self.tables.items()):
-            f = np.flatnonzero(left >= k)
-            h = self.hashes(acc, f, k)
-            some = self.mask[(h >> U64(64 - _BITS)).astype(np.int64)]
-            f, h = f[some], h[some]
-            j = np.searchsorted(known, h)
-            j[j == len(known)] = 0
-            ok = known[j] == h
-            parts.append((f[ok], np.full(int(ok.sum()), k, np.int64), known_ids[j[ok]], weight[j[ok]]))
-            if k == 1:
-                bare[f[ok]] = False
+        begins = np.flatnonzero(inner)
+        for k in range(1, self.longest + 1):
+            h = self.hashes(acc, begins, k)
+            what = self.mask[(h >> U64(64 - _BITS)).astype(np.int64)]
+            if k in self.tables:
+                known, known_ids, weight = self.tables[k]
+                some = what >= 2
+                f, own = begins[some], h[some]
+                j = np.searchsorted(known, own)
+                j[j == len(known)] = 0
+                ok = known[j] == own
+                parts.append((f[ok], np.full(int(ok.sum()), k, np.int64), known_ids[j[ok]], weight[j[ok]]))
+                if k == 1:
+                    bare[f[ok]] = False
+            begins = begins[(what > 0) & (left[begins] > k)]
         f = np.flatnonzero(bare)
         parts.append((f, np.ones(len(f), np.int64), np.where(c[f] < 128, self.byte_ids[np.minimum(c[f], 127)], -2), np.full(len(f), self.spelled)))
         f, k, ids, w = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -156,15 +164,18 @@ class Lattices:
         f, k, ids, w = f[o], k[o], ids[o], w[o]
         mass = np.zeros(total)
         mass[self.at[1:] - 1] = 1.0
-        deep = np.argsort(left[f].astype(np.uint8), kind="stable")
-        cut = np.searchsorted(left[f][deep], np.arange(1, int(size.max(initial=0)) + 2))
+        depth = left[f].astype(np.uint8)
+        deep = np.argsort(depth, kind="stable")
+        cut = np.concatenate(([0], np.cumsum(np.bincount(depth, minlength=1))))
+        fd, to, wd = f[deep], (f + k)[deep], w[deep]
         for a, b in zip(cut, cut[1:], strict=False):
-            e = deep[a:b]
-            begin = np.flatnonzero(np.append(True, f[e][1:] != f[e][:-1]))
-            mass[f[e][begin]] = np.add.reduceat(w[e] * mass[f[e] + k[e]], begin)
+            if b > a:
+                begin = np.flatnonzero(np.append(True, fd[a + 1 : b] != fd[a : b - 1]))
+                mass[fd[a:b][begin]] = np.add.reduceat(wd[a:b] * mass[to[a:b]], begin)
         self.source, self.length, self.ids, self.q = f, k, ids, w * mass[f + k] / mass[f]
         self.upto = np.cumsum(self.q)
-        self.edge = np.searchsorted(f, np.arange(total + 1))
+        self.edge = np.zeros(total + 1, np.int64)
+        np.cumsum(np.bincount(f, minlength=total), out=self.edge[1:])
 
     def draw(self, node: np.ndarray, r: np.ndarray) -> np.ndarray:
         """An edge of each node, by its probability."""
@@ -222,10 +233,9 @@ def _rests(lat: Lattices, doc, place, edge, before, random: _Random, sample: int
     q = lat.q[edge]
     run = np.concatenate(([0.0], np.cumsum(np.log(q))))
     log = run[1:] - run[bounds[:-1]][doc] + before[doc]
-    rest = np.maximum(1.0 - q, 0.0)
-    rest[rest < 1e-9] = 0.0
-    with np.errstate(divide="ignore"):
-        race = log - np.log(q) + np.log(rest) - np.log(-np.log(random(doc, sample, 1, place)))
+    race = np.full(len(q), -np.inf)
+    on = np.flatnonzero((q < 1 - 1e-9) & (log > before[doc] + FAINT))
+    race[on] = log[on] - np.log(q[on]) + np.log1p(-q[on]) - np.log(-np.log(random(doc[on], sample, 1, place[on])))
     some = np.flatnonzero(np.diff(bounds) > 0)
     best = []
     for _ in range(most):
@@ -365,7 +375,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", key:
 
     def run(batches):
         lat = _lattices((model, alpha), pieces)
-        raw = lat.pieces.raw
+        raw = pa.array(lat.pieces.raw, pa.binary())
         for b in batches:
             texts = [t or "" for t in b.column("t").to_pylist()]
             seeds = mix(b.column("h").to_numpy(zero_copy_only=False).view(U64) ^ U64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
@@ -381,7 +391,11 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", key:
                 ids = [r[2] for r in rows]
                 sizes = np.array([len(x) for x in ids], np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
-                ok = [decode_ids(raw, r[2].tolist()) == texts[r[0]] for r in rows]
+                spelled = raw.take(lists.values)
+                _, at, spelled = spelled.buffers()
+                at, spelled = np.frombuffer(at, np.int32), memoryview(spelled).cast("B") if spelled else b""
+                cut = np.concatenate(([0], np.cumsum(sizes)))
+                ok = [spelled[at[a] : at[z]] == (b" " + texts[r[0]].encode() if texts[r[0]] else b"") for r, a, z in zip(rows, cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), pa.array(sizes), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.float64()), lists, pa.array(ok, pa.bool_())], names=names)
                 lo = hi
 
