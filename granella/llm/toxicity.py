@@ -77,7 +77,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     u = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("y") == 1, half / counts[1]).otherwise((most_rows - min(half, counts[1])) / counts[0])
     ids = F.broadcast(rows.filter(u < rate).limit(2 * most_rows))
-    sample = written(docs.filter(F.col(text).isNotNull()).join(ids, key).select("y", F.xxhash64(F.col(key).cast("string")).alias("k"), F.col(text).alias("t")), "sample")
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
+    sample = written(texts.join(ids.withColumnRenamed(key, "id"), "id").select("y", F.xxhash64(F.col("id").cast("string")).alias("k"), "t"), "sample")
 
     def featurise(batches):
         for b in batches:
