@@ -1,0 +1,122 @@
+"""Document fields from lines (doc, line_no, line), one row per document, and the whole record."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from granella.functions import cleaning as K
+from granella.functions import text as T
+from granella.operators import extract as X
+
+
+def first_hit(lines: DataFrame, value: Column, name: str, key: str = "doc", order: Column | None = None) -> DataFrame:
+    """The first line's value that is not empty; one grouping, no sort."""
+    v = F.nullif(value, F.lit(""))
+    place = F.when(v.isNotNull(), F.col("line_no") if order is None else order)
+    return lines.groupBy(key).agg(F.coalesce(F.min_by(v, place), F.lit("")).alias(name))
+
+
+def company_id(line: Column) -> Column:
+    """A labelled or masked company number of a line, in the mask."""
+    labelled = F.regexp_extract(line, r"(?iU)CNPJ\W*([0-9][0-9.\s/-]{12,22}[0-9])", 1)
+    masked = F.regexp_extract(line, r"([0-9]{2}\.[0-9]{3}\.[0-9]{3}/?[0-9]{4}-[0-9]{2})", 1)
+    return F.coalesce(F.nullif(T.normalise_cnpj(labelled), F.lit("")), T.normalise_cnpj(masked))
+
+
+def city(line: Column) -> Column:
+    """The last `Cidade-UF` of a line that isn't about a professional."""
+    found = F.regexp_extract_all(line, F.lit(r"(?U)([\p{L}][\p{L} .']{2,40}?)\s*[-/]\s*([A-Z]{2})(?![\p{L}])"), F.lit(0))
+    last = F.element_at(F.filter(found, lambda x: F.regexp_extract(x, r"([A-Z]{2})$", 1).isin(*T.UFS)), -1)
+    name, uf = F.regexp_extract(last, r"(?U)^(.*?)\s*[-/]\s*[A-Z]{2}$", 1), F.regexp_extract(last, r"([A-Z]{2})$", 1)
+    return F.when(F.size(found) == 0, "").when(K.is_professional_line(line), "").otherwise(F.coalesce(T.city_uf(name, uf), F.lit("")))
+
+
+def land_area(line: Column) -> Column:
+    s = F.coalesce(*(F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in (r"(?iU)\bAT\s*[:=]\s*([0-9.]+,[0-9]+)", r"(?iU)TERRENO\s*:?\s*([0-9.]+,[0-9]+)")))
+    return F.coalesce(s, F.lit(""))
+
+
+def permit_number(line: Column) -> Column:
+    return F.regexp_extract(line, r"(?iU)ALVAR[AÁ][^0-9]{0,30}([0-9][0-9./-]{2,20}[0-9])", 1)
+
+
+def process_number(line: Column) -> Column:
+    return F.regexp_extract(line, r"(?iU)PROCESSO[^0-9]{0,30}([0-9][0-9./-]{2,20}[0-9])", 1)
+
+
+def best_scored(lines: DataFrame, value: Column, name: str, key: str = "doc") -> DataFrame:
+    """The value with the most permit points, the first of equals; empty below zero."""
+    v = F.nullif(value, F.lit(""))
+    rank = F.struct(-T.permit_score(v), F.col("line_no"))
+    best = lines.withColumn("_v", v).groupBy(key).agg(F.min_by(v, F.when(v.isNotNull(), rank)).alias("v"))
+    return best.select(key, F.when(F.coalesce(T.permit_score(F.col("v")), F.lit(-1)) < 0, "").otherwise(F.col("v")).alias(name))
+
+
+def dates(lines: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, line_no, date, anchor) for nearest_date: valid dates, and lines of approval."""
+    parts = [F.regexp_extract("line", r"(?<![0-9])([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})(?![0-9])", i).try_cast("int") for i in (1, 2, 3)]
+    date = F.when(T.valid_date(*parts), T.format_date(*parts))
+    return lines.select(key, "line_no", date.alias("date"), F.col("line").rlike(r"(?iU)APROVA|ALVAR[AÁ]").alias("anchor"))
+
+
+def responsible(lines: DataFrame, key: str = "doc") -> DataFrame:
+    """Registration, and the most legible name among its line (before the profession) and the three lines before."""
+    crea = T.normalise_crea(F.col("line"))
+    w = Window.partitionBy(key).orderBy("line_no")
+    near = lines.withColumn("crea", crea).withColumns({f"b{i}": F.lag("line", i).over(w) for i in (1, 2, 3)})
+    own = F.trim(F.regexp_extract("line", r"(?iU)^(.*?)\s*[-–,]?\s*\b(ENGENHEIR[OA]|ARQUITET[OA]|ENG\.|ARQ\.|CREA|CAU)", 1))
+    names = F.filter(F.array(own, "b1", "b2", "b3"), lambda x: ~K.rejected_name(x) & (F.size(F.split(F.trim(x), r"\s+")) >= 2))
+    best = F.array_max(F.transform(names, lambda x: F.struct(K.legibility(x).alias("s"), F.trim(x).alias("name"))))["name"]
+    hit = near.filter("crea <> ''").groupBy(key).agg(F.min_by(F.struct("crea", F.coalesce(best, F.lit("")).alias("name")), "line_no").alias("x"))
+    return lines.select(key).distinct().join(hit, key, "left").select(key, F.coalesce("x.crea", F.lit("")).alias("crea"), F.coalesce("x.name", F.lit("")).alias("responsavel"))
+
+
+def developer(lines: DataFrame, key: str = "doc") -> DataFrame:
+    """The labelled developer, else the company within two lines of a company number."""
+    label = r"(?iU)\b(INCORPORADOR[A]?|PROPRIET[AÁ]RI[OA])\s*:\s*(.+)$"
+    w = Window.partitionBy(key).orderBy("line_no")
+    near = F.max((company_id(F.col("line")) != "").cast("int")).over(w.rowsBetween(-2, 2)) == 1
+    marked = lines.withColumn("near", near).withColumn("label", K.clean_field(K.cut_admin(F.regexp_extract("line", label, 2))))
+    value = F.when(F.col("label") != "", F.col("label")).when(F.col("near") & K.is_company(F.col("line")), K.clean_field(K.cut_admin(F.col("line")))).otherwise("")
+    order = F.struct((F.col("label") == "").cast("int"), F.col("line_no"))
+    return first_hit(marked, value, "incorporador", key, order)
+
+
+def site(lines: DataFrame, key: str = "doc") -> DataFrame:
+    """The best consolidated site address: a lot line with the last `SITUADO NO` of the five lines around it, else a labelled one."""
+    w = Window.partitionBy(key).orderBy("line_no")
+    situated = F.regexp_extract("line", r"(?iU)SITUADO\s+N[OA]\s+(.+)$", 1)
+    near = F.last(F.nullif(situated, F.lit("")), ignorenulls=True).over(w.rowsBetween(-2, 3))
+    block = F.when(F.col("line").rlike(r"(?iU)\bLOTE\b"), F.concat_ws(", ", F.trim("line"), near))
+    label = F.nullif(F.regexp_extract("line", r"(?iU)(?:LOCAL|ENDERE[CÇ]O)\s+DA\s+OBRA\s*:\s*(.+)$", 1), F.lit(""))
+    value = K.clean_field(F.coalesce(block, label, F.lit("")))
+    marked = lines.withColumn("_v", value)
+    return first_hit(marked, F.col("_v"), "local", key, F.struct(-K.site_score(F.col("_v")), F.col("line_no")))
+
+
+def record(lines: DataFrame, key: str = "doc") -> DataFrame:
+    """One row per document with the deterministic fields. Every part is one grouping by document, so joins reuse that partitioning."""
+    one = lines.repartition(key)
+    residential = one.groupBy(key).agg(F.max(F.col("line").rlike(r"(?iU)\b(APARTAMENTOS?|APTOS?|RESIDENCIAL)\b").cast("int")).cast("boolean").alias("residencial"))
+    totals = X.unit_totals(X.units(one, key), key).select(key, F.col("units").alias("unidades"), F.col("area_total").alias("area_privativa"), F.col("typical_area").alias("area_tipo"))
+    parts = [
+        first_hit(one, company_id(F.col("line")), "cnpj", key),
+        first_hit(one, city(F.col("line")), "cidade_uf", key),
+        first_hit(one, land_area(F.col("line")), "_terreno", key).select(key, T.parse_br_number(F.col("_terreno")).alias("area_terreno")),
+        best_scored(one, permit_number(F.col("line")), "alvara", key),
+        best_scored(one, process_number(F.col("line")), "processo", key),
+        X.nearest_date(dates(one, key), key=key).select(key, F.col("date").alias("data_aprovacao")),
+        responsible(one, key),
+        developer(one, key),
+        site(one, key),
+        residential,
+        totals,
+        X.floor_count(one, key).select(key, F.col("floors").alias("pavimentos")),
+        X.parking(one, key).select(key, F.col("common").alias("vagas_comuns"), F.col("double").alias("vagas_duplas"), F.col("text").alias("vagas")),
+    ]
+    got = reduce(lambda a, b: a.join(b, key, "left"), parts)
+    kinds = dict(got.dtypes)
+    return got.select(key, *(F.coalesce(c, F.lit("" if kinds[c] == "string" else 0).cast(kinds[c]) if kinds[c] != "boolean" else F.lit(False)).alias(c) for c in got.columns if c != key))
