@@ -11,6 +11,11 @@ def explode_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return docs.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: a one-element explode keeps the optimiser from copying a long expression into each use."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def letters(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[A-Za-z]"))
 

@@ -13,9 +13,13 @@ from granella.functions import text as T
 from granella.operators import cells as C
 from granella.operators import extract as X
 from granella.operators import geometry as G
+from granella.operators import fields as D
 from granella.operators import lines as L
+from granella.operators import prices as PR
 from granella.operators import record as R
 from granella.operators import svg as S
+from granella.plans import documents as DP
+from granella.plans import prefilter as P
 from granella.session import table
 
 QUERIES: dict = {}
@@ -473,3 +477,54 @@ def q37_dedup_items(spark, sf):
 def q38_area_conflict(spark, sf):
     li = table(spark, sf, "lineitem").filter("l_quantity * 1.5 > 20")
     return li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line_no"), R.typical_area_conflict(F.col("l_partkey") % 40 + 1, F.col("l_quantity"), (F.col("l_suppkey") % 50 + 1) * 20).alias("conflict"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS doc, p_partkey % 4 AS k, p_size AS n, p_partkey * 37 % 100000 + 100000 AS b FROM part),
+  r AS (SELECT doc, 'R' || n || '-' || s AS type, (b + j * 1111) / 100.0 AS price FROM t, (VALUES ('B', 0), ('N', 1), ('A', 2)) v(s, j) WHERE k <> 0 UNION ALL SELECT doc, 'CSL-8', (b + 7) / 100.0 FROM t WHERE k > 1)
+SELECT doc, type, round(price, 2)::DOUBLE AS price FROM r""")
+def q39_price_table(spark, sf):
+    b, n = F.col("p_partkey") * 37 % 100000 + 100000, F.col("p_size").cast("string")
+    money = lambda j: T.format_brl((b + j) / 100)
+    triple = F.concat(*(x for j in (0, 1111, 2222) for x in (F.lit("R-"), n, F.lit(" "), money(j), F.lit(" "))))
+    line = F.when(F.col("p_partkey") % 4 == 0, "sem tabela").when(F.col("p_partkey") % 4 == 1, triple).otherwise(F.concat(triple, F.lit(" CSL-8 "), money(7)))
+    got = PR.price_table(table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), line.alias("line")))
+    return got.select("doc", "type", F.round("price", 2).alias("price"))
+
+
+def _project_pages(spark, sf) -> DataFrame:
+    """One invented project text for each order."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = lambda x: x.cast("string")
+    rows = F.array(
+        F.lit("EDIFICIO AURORA"),
+        F.concat(F.lit("CNPJ: "), F.lpad(s(c * 7919 % 100000000), 8, "0"), F.lit("000190")),
+        F.when(k % 3 == 0, "Curitiba-PR").otherwise("sem cidade"),
+        F.concat(F.lit("ALVARA "), s(k % 9000 + 1000), F.lit("/2023")),
+        F.concat(F.lit("data "), F.date_format("o_orderdate", "dd/MM/yyyy")),
+        F.concat(F.lit("(1º AO "), s(c % 30 + 2), F.lit("º) PAV. TIPO - 55,50 X "), s(k % 8 + 1), F.lit(" APTOS")),
+        F.when(k % 2 == 0, "PAV. TERREO").otherwise("COBERTURA"),
+        F.concat(F.lit("TERRENO: "), T.format_brl(F.col("o_totalprice"))),
+        F.concat(F.lit("TOTAL DE VAGAS COMUNS: "), s(k % 50)),
+    )
+    return table(spark, sf, "orders").select(s(k).alias("doc"), F.lit(1).alias("page"), F.array_join(rows, "\n").alias("text"))
+
+
+@query("""WITH o AS (SELECT o_orderkey::VARCHAR AS doc, lpad((o_custkey * 7919 % 100000000)::VARCHAR, 8, '0') || '000190' AS d, o_orderkey AS k, o_custkey AS c, o_orderdate, o_totalprice FROM orders)
+SELECT doc, d[1:2] || '.' || d[3:5] || '.' || d[6:8] || '/' || d[9:12] || '-' || d[13:14] AS cnpj, CASE WHEN k % 3 = 0 THEN 'Curitiba-PR' ELSE '' END AS cidade_uf, (k % 9000 + 1000) || '/2023' AS alvara, strftime(o_orderdate, '%d/%m/%Y') AS data_aprovacao,
+  (k % 8 + 1)::BIGINT AS unidades, (c % 30 + 3)::INT AS pavimentos, round(o_totalprice, 2) AS area_terreno, (k % 50)::INT AS vagas_comuns FROM o""")
+def q40_project_record(spark, sf):
+    got = D.record(DP.lines_of(_project_pages(spark, sf)))
+    return got.select("doc", "cnpj", "cidade_uf", "alvara", "data_aprovacao", F.col("unidades").cast("long").alias("unidades"), "pavimentos", F.round("area_terreno", 2).alias("area_terreno"), "vagas_comuns")
+
+
+@query("""SELECT doc_id::VARCHAR AS doc FROM documents WHERE 1 = 0""")
+def q41_prefilter_over_budget(spark, sf):
+    """Documents whose reduced text is over the budget: none."""
+    lines = L.explode_lines(table(spark, sf, "documents")).select(F.col("doc_id").cast("string").alias("doc"), "line_no", "line")
+    return P.filtered_text(P.prefilter(lines, 2000)).filter(F.length("text") > 2000).select("doc")
+
+
+@query()
+def q42_prefilter(spark, sf):
+    lines = L.explode_lines(table(spark, sf, "documents")).select(F.col("doc_id").cast("string").alias("doc"), "line_no", "line")
+    return P.filtered_text(P.prefilter(lines, 16_000)).select("doc", F.length("text").alias("chars"))
