@@ -5,7 +5,8 @@ from 0 to 1000. How often each entropy occurs is counted over all documents:
 the rarer its entropy, the better a window ranks. Of every 64 windows in a row
 the best (leftmost of equals) gets a point; windows with ``points`` or more are
 the text's features. Windows of low entropy (runs of one character) are no
-features. Feature hashes, without repeats and in text order, fill a chain of
+features. Texts under 512 bytes use windows of 16 bytes in runs of 16 and need 4 points,
+ranked among short texts. Feature hashes, without repeats and in text order, fill a chain of
 Bloom filters of 2048 bits, five bits a feature, 160 features a filter.
 
 Likeness of two digests: each filter of the shorter chain takes the best
@@ -33,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granella.llm.common import U64, _power, buffers, mix, spans
+from granella.llm.common import U64, _power, buffers, mix, spans, tidy
 
-WINDOW = 64
-RUN = 64
+#: Bytes of a window, windows of a run, points of a feature; for short texts and others.
+WINDOW, RUN, POINTS = 64, 64, 16
+SHORT_BYTES, SHORT_WINDOW, SHORT_RUN, SHORT_POINTS = 512, 16, 16, 4
 SCALE = 1000
 WEAK = 100
 BITS = 2048
@@ -46,27 +48,26 @@ FEW = 16
 CUTOFF = 0.3
 _UNIT = 1 << 16
 _F = np.array([round(c * np.log2(c) * _UNIT) if c else 0 for c in range(WINDOW + 1)], np.int64)
-_FULL = _F[WINDOW]
 _NONE = np.int64(1 << 20)
 
 
-def entropies(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def entropies(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entropy of every window, the byte where it starts, and where each row's windows begin (rows + 1 numbers)."""
     n, rows = len(data), len(offsets) - 1
     sizes = np.diff(offsets)
-    each = np.maximum(sizes - WINDOW + 1, 0)
+    each = np.maximum(sizes - window + 1, 0)
     bounds = np.zeros(rows + 1, np.int64)
     np.cumsum(each, out=bounds[1:])
     if not bounds[-1]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), bounds
     order = np.argsort(data, kind="stable")
     row = np.repeat(np.arange(rows), sizes)
-    key = (np.arange(n) + row * WINDOW)[order] + data[order].astype(np.int64) * (n + (rows + 2) * WINDOW)
+    key = (np.arange(n) + row * window)[order] + data[order].astype(np.int64) * (n + (rows + 2) * window)
     if key[-1] < 2**31:
         key = key.astype(np.int32)
     before, after = np.ones(n, np.uint8), np.ones(n, np.uint8)
-    for k in range(1, min(WINDOW, n)):
-        near = (key[k:] - key[:-k]) < WINDOW
+    for k in range(1, min(window, n)):
+        near = (key[k:] - key[:-k]) < window
         if not near.any():
             break
         before[k:] += near
@@ -79,31 +80,46 @@ def entropies(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     come, go = np.cumsum(come), np.cumsum(go)
     start = np.arange(bounds[-1]) + np.repeat(offsets[:-1] - bounds[:-1], each)
     first = np.repeat(offsets[:-1], each)
-    total = come[start + WINDOW] - come[first] - go[start] + go[first]
-    return (_FULL - total) * SCALE // _FULL, start, bounds
+    total = come[start + window] - come[first] - go[start] + go[first]
+    return (_F[window] - total) * SCALE // _F[window], start, bounds
+
+
+def _split(data: np.ndarray, offsets: np.ndarray):
+    """Short rows and the others, each as (rows, bytes, offsets, window, run, points)."""
+    sizes = np.diff(offsets)
+    short = sizes < SHORT_BYTES
+    for which, window, run, points in ((short, SHORT_WINDOW, SHORT_RUN, SHORT_POINTS), (~short, WINDOW, RUN, POINTS)):
+        rows = np.flatnonzero(which)
+        if len(rows) == len(sizes):
+            yield rows, data, offsets, window, run, points
+        elif len(rows):
+            yield rows, data[np.repeat(which, sizes)], np.concatenate(([0], np.cumsum(sizes[rows]))), window, run, points
 
 
 def entropy_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How many windows of all rows have each entropy."""
+    """How many windows of all rows have each entropy: row 0 for short texts, row 1 for others."""
 
     def run(batches):
-        count = np.zeros(SCALE + 1, np.int64)
+        count = np.zeros((2, SCALE + 1), np.int64)
         for b in batches:
             data, offsets = buffers(b.column("t"))
             for lo, hi in spans(offsets):
-                e, _, _ = entropies(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                count += np.bincount(e, minlength=SCALE + 1)
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["e", "n"])
-
-    out = np.zeros(SCALE + 1, np.int64)
-    for r in docs.select(F.col(text).alias("t")).mapInArrow(run, "e bigint, n bigint").groupBy("e").agg(F.sum("n").alias("n")).collect():
+                for _, d, o, window, _, _ in _split(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
+                    e, _, _ = entropies(d, o, window)
+                    count[int(window == WINDOW)] += np.bincount(e, minlength=SCALE + 1)
+        some = np.flatnonzero(count.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count.ravel()[some])], names=["e", "n"])
+
+    out = np.zeros(2 * (SCALE + 1), np.int64)
+    for r in docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), "e bigint, n bigint").groupBy("e").agg(F.sum("n").alias("n")).collect():
         out[r["e"]] = r["n"]
-    return out
+    return out.reshape(2, SCALE + 1)
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
-    """Rank of each entropy: 0 for the rarest; weak ones have none."""
+    """Rank of each entropy: 0 for the rarest; weak ones have none. For one table of counts or for several."""
+    if counts.ndim > 1:
+        return np.stack([ranks(c) for c in counts])
     order = np.lexsort((np.arange(SCALE + 1), counts))
     out = np.empty(SCALE + 1, np.int64)
     out[order] = np.arange(SCALE + 1)
@@ -111,25 +127,32 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray, points: int = 16) -> list[list[tuple[int, np.ndarray]]]:
-    """For each row its chain of (features, 2048 booleans)."""
+def digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
+    """For each row its chain of (features, 2048 booleans). rank: of short texts and of others."""
+    out: list = [None] * (len(offsets) - 1)
+    for rows, d, o, window, run, points in _split(data, offsets):
+        for r, chain in zip(rows.tolist(), _digests(d, o, rank[int(window == WINDOW)], window, run, points), strict=True):
+            out[r] = chain
+    return out
+
+
+def _digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray, window: int, run: int, points: int) -> list[list[tuple[int, np.ndarray]]]:
     rows, n = len(offsets) - 1, len(data)
-    e, start, bounds = entropies(data, offsets)
+    e, start, bounds = entropies(data, offsets, window)
     sizes = np.diff(bounds)
+    row = np.repeat(np.arange(rows), sizes)
     score = np.zeros(len(e), np.int64)
     if len(e):
-        best = rank[e] * (1 << 32) + np.arange(len(e))
-        row = np.repeat(np.arange(rows), sizes)
-        low = best
+        low = rank[e] * (1 << 32) + np.arange(len(e))
         width = 1
-        while width < RUN:
+        while width < run:
             low = np.minimum(low[:-width], low[width:]) if len(low) > width else low[:0]
             width *= 2
-        won = low[row[: len(low)] == row[RUN - 1 :]] if len(low) else low
+        won = low[row[: len(low)] == row[run - 1 :]] if len(low) else low
         won = won[won < _NONE << 32] & 0xFFFFFFFF
         score += np.bincount(won, minlength=len(e))
     chosen = score >= points
-    has = np.bincount(np.repeat(np.arange(rows), sizes)[chosen], minlength=rows) if len(e) else np.zeros(rows, np.int64)
+    has = np.bincount(row[chosen], minlength=rows)
     for r in np.flatnonzero((has == 0) & (sizes > 0)):
         chosen[bounds[r] + int(np.argmin(rank[e[bounds[r] : bounds[r + 1]]]))] = True
     p, q = _power(n) if n else (None, None)
@@ -137,7 +160,7 @@ def digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray, points: int
     if n:
         np.cumsum((data.astype(U64) + U64(1)) * p, out=acc[1:])
     at = start[chosen]
-    feature = mix((acc[at + WINDOW] - acc[at]) * q[at]) if len(at) else np.zeros(0, U64)
+    feature = mix((acc[at + window] - acc[at]) * q[at]) if len(at) else np.zeros(0, U64)
     cut = np.searchsorted(at, offsets)
     out = []
     for r in range(rows):
@@ -219,16 +242,16 @@ def neighbours(docs: DataFrame, text: str = "text", key: str = "doc_id", parts:
     return every.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("last", F.col("k").desc_nulls_last(), F.xxhash64("t"), "t")
 
 
-def compare_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_id", points: int = 16, chunk: int = 1 << 20) -> DataFrame:
+def compare_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int = 1 << 20) -> DataFrame:
     """For every row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
     rank = docs.sparkSession.sparkContext.broadcast(ranks(entropy_counts(docs, text)))
     names = ["k", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def compared(held: list[tuple], following: str):
         texts = [t for _, t in held] + [following]
-        own = digests(*_buffer(texts), rank.value, points)
+        own = digests(*_buffer(texts), rank.value)
         changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-        other = digests(*_buffer(changed), rank.value, points)
+        other = digests(*_buffer(changed), rank.value)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([k for k, _ in held], pa.int64()),
@@ -258,4 +281,4 @@ def compare_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_id",
                     size += len(t)
 
     schema = "k bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return neighbours(docs, text, key).mapInArrow(run, schema).withColumnRenamed("k", key)
+    return neighbours(docs, text, key).mapInArrow(tidy(run), schema).withColumnRenamed("k", key)

@@ -42,14 +42,16 @@ def test_entropies_are_brute_force():
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcde fgh"[: rng.randrange(1, 9)]) for _ in range(rng.choice((0, 5, 63, 64, 65, 200)))) for _ in range(40)]
     data, offsets = fingerprint._buffer(texts)
-    e, start, bounds = fingerprint.entropies(data, offsets)
-    for i, t in enumerate(texts):
-        b = t.encode()
-        want = []
-        for k in range(len(b) - 63):
-            total = sum(int(fingerprint._F[c]) for c in Counter(b[k : k + 64]).values())
-            want.append((int(fingerprint._FULL) - total) * 1000 // int(fingerprint._FULL))
-        assert e[bounds[i] : bounds[i + 1]].tolist() == want
+    for window in (64, 16):
+        full = int(fingerprint._F[window])
+        e, start, bounds = fingerprint.entropies(data, offsets, window)
+        for i, t in enumerate(texts):
+            b = t.encode()
+            want = []
+            for k in range(len(b) - window + 1):
+                total = sum(int(fingerprint._F[c]) for c in Counter(b[k : k + window]).values())
+                want.append((full - total) * 1000 // full)
+            assert e[bounds[i] : bounds[i + 1]].tolist() == want
 
 
 def test_neighbours(spark):
@@ -82,8 +84,8 @@ def test_neighbours(spark):
 def test_digest_text_form():
     rng = random.Random(4)
     t = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000))
-    rank = fingerprint.ranks(np.arange(1001))
-    (d,) = fingerprint.digests(*fingerprint._buffer([t]), rank, 8)
+    rank = fingerprint.ranks(np.stack([np.arange(1001)] * 2))
+    (d,) = fingerprint.digests(*fingerprint._buffer([t]), rank)
     assert len(d) > 1 and fingerprint.packed(fingerprint.unpacked(fingerprint.packed(d))) == fingerprint.packed(d) and fingerprint.likeness(d, d) == 1.0
 
 
