@@ -120,3 +120,57 @@ def record(lines: DataFrame, key: str = "doc") -> DataFrame:
     got = reduce(lambda a, b: a.join(b, key, "left"), parts)
     kinds = dict(got.dtypes)
     return got.select(key, *(F.coalesce(c, F.lit("" if kinds[c] == "string" else 0).cast(kinds[c]) if kinds[c] != "boolean" else F.lit(False)).alias(c) for c in got.columns if c != key))
+
+
+def building(lines: DataFrame, key: str = "doc") -> DataFrame:
+    """The first labelled building name that is no noise."""
+    name = K.clean_field(F.regexp_extract("line", r"(?iU)\b(?:EDIF[IÍ]CIO|RESIDENCIAL|CONDOM[IÍ]NIO)\b\s*:?\s*(.{3,60})$", 1))
+    return first_hit(lines.withColumn("_v", F.when(K.rejected_name(name), "").otherwise(name)), F.col("_v"), "edificio", key)
+
+
+def designation(lines: DataFrame, key: str = "doc") -> DataFrame:
+    """The first phrase that says what the building is for."""
+    return first_hit(lines, T.squeeze_spaces(F.regexp_extract("line", r"(?iU)\b((?:EDIFICA[CÇ][AÃ]O|CONSTRU[CÇ][AÃ]O)\s+(?:RESIDENCIAL|COMERCIAL|MISTA)[^,;]{0,80})", 1)), "designacao", key)
+
+
+def responsible_address(lines: DataFrame, key: str = "doc") -> DataFrame:
+    """The first street line that also has a postal code, a phone number or an e-mail address."""
+    street = F.col("line").rlike(r"(?iU)\b(RUA|AV\.?|AVENIDA|RODOVIA|TRAVESSA|ALAMEDA)\b")
+    contact = F.col("line").rlike(r"[0-9]{5}-[0-9]{3}|\([0-9]{2}\)\s*[0-9]{4,5}-[0-9]{4}|[A-Za-z0-9._-]+@[A-Za-z0-9.-]+")
+    return first_hit(lines, F.when(street & contact, T.squeeze_spaces(F.col("line"))).otherwise(""), "endereco_responsavel", key)
+
+
+def other_notes(records: DataFrame) -> Column:
+    """Process, permit and site of a record, joined by `; `."""
+    part = lambda label, c: F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) != "", F.concat(F.lit(label), F.col(c)))
+    return F.concat_ws("; ", part("Processo ", "processo"), part("Alvará ", "alvara"), part("", "local"))
+
+
+#: Area columns of a floor.
+FLOOR_AREAS = ("area_priv_cob_padrao", "area_comum_p_cob_padrao", "area_comum_np_cob_padrao")
+
+
+def floor_table(lines: DataFrame, key: str = "doc") -> DataFrame:
+    """(doc, position, nome, areas, qtd): ground floor, typical floor and roof of each document, or one template row.
+
+    Ground areas: the last covered and uncovered area that a ground-floor line
+    states; roof: the last area of a roof line.
+    """
+    area = lambda p: F.regexp_extract("line", p, 1)
+    last = lambda p: T.parse_br_number(F.max_by(F.nullif(area(p), F.lit("")), F.when(area(p) != "", F.col("line_no"))))
+    got = lines.groupBy(key).agg(
+        last(r"(?iU)T[EÉ]RREO.*?\bCOBERTA\D{0,12}([0-9.]+,[0-9]+)").alias("covered"),
+        last(r"(?iU)T[EÉ]RREO.*?\bDESCOBERTA\D{0,12}([0-9.]+,[0-9]+)").alias("open"),
+        last(r"(?iU)\bCOBERTURA\D{0,12}([0-9.]+,[0-9]+)").alias("roof"),
+    )
+    typical = X.unit_totals(X.units(lines, key), key).select(key, F.col("typical_area").alias("typical"), F.col("floors").alias("repeats"))
+    row = lambda n, name, a, b, c, q: F.struct(F.lit(n).alias("position"), F.lit(name).alias("nome"), *(v.cast("double").alias(x) for x, v in zip(FLOOR_AREAS, (a, b, c), strict=True)), q.cast("int").alias("qtd"))
+    zero, one = F.lit(0.0), F.lit(1)
+    rows = F.array_compact(F.array(
+        F.when((F.col("covered") > 0) | (F.col("open") > 0), row(1, "TÉRREO", zero, F.col("covered"), F.col("open"), one)),
+        F.when(F.col("typical") > 0, row(2, "TIPO", F.col("typical"), zero, zero, F.col("repeats"))),
+        F.when(F.col("roof") > 0, row(3, "COBERTURA", F.col("roof"), zero, zero, one)),
+    ))
+    every = got.join(typical, key, "left")
+    filled = F.when(F.size(rows) > 0, rows).otherwise(F.array(row(0, "", zero, zero, zero, one)))
+    return every.select(key, F.explode(filled).alias("x")).select(key, "x.*")

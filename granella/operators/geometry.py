@@ -155,3 +155,21 @@ def composites(cells: DataFrame, components_: DataFrame, edges: DataFrame, most_
     fill = F.round(F.col("covered") / ((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))), 4)
     reason = F.when(F.col("cells") < 2, "single").when(F.col("cells") > most_cells, "too_many").when(F.col("fill") < least_fill, "sparse").otherwise("")
     return got.withColumn("fill", fill).withColumn("reason", reason)
+
+
+def regions(cells: DataFrame, width: float, height: float, least_side: float = 10.0, least_share: float = 0.0005, most_share: float = 0.6, title: float = 0.72, most: int = 5000, page: str = "page") -> DataFrame:
+    """Cells as named regions with centre, shares of the page, the first reason to reject, and a number among the accepted; at most ``most`` accepted a page."""
+    w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
+    share = F.col("area") / (width * height)
+    cx, cy = F.round((F.col("left") + F.col("right")) / 2, 3), F.round((F.col("top") + F.col("bottom")) / 2, 3)
+    reason = F.when(F.least(w, h) < least_side, "estreita").when(share < least_share, "pequena").when(share > most_share, "grande").when((cx >= width * title) & (cy >= height * title), "carimbo").otherwise("")
+    got = cells.withColumns({"cx": cx, "cy": cy, "reason": reason})
+    n = F.row_number().over(Window.partitionBy(page, F.col("reason") == "").orderBy("top", "left"))
+    numbered = got.withColumn("_n", n).filter((F.col("reason") != "") | (F.col("_n") <= most))
+    name = F.when(F.col("reason") == "", F.format_string("p%03d_r%04d", F.col(page).cast("int"), F.col("_n"))).otherwise(F.format_string("p%03d_x%04d", F.col(page).cast("int"), F.col("_n")))
+    return numbered.withColumn("region", name).drop("_n")
+
+
+def base_cells(regions_: DataFrame, eligible: tuple[str, ...] = ("pequena", "estreita")) -> DataFrame:
+    """What composites are built from: accepted regions, and rejected ones of the eligible reasons."""
+    return regions_.filter((F.col("reason") == "") | F.col("reason").isin(*eligible))

@@ -99,3 +99,23 @@ def first_of_equals(items: DataFrame, columns: list[str], order: str, key: str =
     """Items without repeats by their lower-cased columns; the first stays."""
     w = Window.partitionBy(key, *(F.lower(F.col(c)) for c in columns)).orderBy(order)
     return items.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def editable_paths(rules: DataFrame) -> DataFrame:
+    """Paths that may be patched, in order."""
+    return rules.filter("patchable").select("rule").orderBy("rule")
+
+
+def by_origin(rules: DataFrame, origin: str) -> DataFrame:
+    known = {o for _, o, _ in RESPONSIBILITY}
+    if origin not in known:
+        raise ValueError(f"unknown origin {origin}")
+    return rules.filter(F.col("origin") == origin)
+
+
+def regressions(differences: DataFrame, scores: DataFrame, threshold: float = 0.01, key: str = "doc") -> DataFrame:
+    """(doc, lost, gained, changed, verdict) from compare() and (doc, base, other) validation scores: better or worse by more than the threshold, or worse for any loss."""
+    n = differences.groupBy(key).agg(*(F.sum((F.col("status") == s).cast("int")).alias(c) for s, c in (("perdido", "lost"), ("ganho", "gained"), ("diferente", "changed"))))
+    got = scores.join(n, key, "left").fillna(0, ["lost", "gained", "changed"])
+    verdict = F.when((F.col("lost") > 0) | (F.col("other") < F.col("base") - threshold), "pior").when(F.col("other") > F.col("base") + threshold, "melhor").otherwise("igual")
+    return got.select(key, "lost", "gained", "changed", verdict.alias("verdict"))

@@ -43,3 +43,29 @@ def pages(layers: list[DataFrame], width: float, height: float, page: str = "pag
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "body"))), lambda x: x["body"]), "")
     head = f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width:g} {height:g}">'
     return every.groupBy(page).agg(F.concat(F.lit(head), body, F.lit("</svg>")).alias("svg"))
+
+
+def region_element(css: str) -> Column:
+    """A rectangle from left, top, right, bottom with a tooltip of name, size and reason."""
+    w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
+    tip = F.concat_ws(" | ", F.col("region"), F.concat(number(w), F.lit("x"), number(h)), F.nullif(F.col("reason"), F.lit("")))
+    return F.concat(F.lit(f'<rect class="{css}" x="'), number(F.col("left")), F.lit('" y="'), number(F.col("top")), F.lit('" width="'), number(w), F.lit('" height="'), number(h), F.lit('"><title>'), escape_xml(tip), F.lit("</title></rect>"))
+
+
+def centre_element() -> Column:
+    return F.concat(F.lit('<circle r="2" cx="'), number(F.col("cx")), F.lit('" cy="'), number(F.col("cy")), F.lit('"/>'))
+
+
+def label_element() -> Column:
+    """The region's name without its page, three units above its centre."""
+    return F.concat(F.lit('<text x="'), number(F.col("cx")), F.lit('" y="'), number(F.col("cy") - 3), F.lit('">'), F.regexp_extract("region", "_(.*)$", 1), F.lit("</text>"))
+
+
+def region_page(regions: DataFrame, width: float, height: float, rejected: bool = True, page: str = "page") -> DataFrame:
+    """(page, svg) of accepted and, if wanted, rejected regions, with centres and labels of the accepted."""
+    good = regions.filter("reason = ''")
+    layers = [layer(good.withColumn("element", region_element("aceita")), "aceitas", 5000, ["region"], page)]
+    if rejected:
+        layers.append(layer(regions.filter("reason <> ''").withColumn("element", region_element("rejeitada")), "rejeitadas", 1000, ["region"], page))
+    layers += [layer(good.withColumn("element", centre_element()), "centros", 5000, ["region"], page), layer(good.withColumn("element", label_element()), "rotulos", 5000, ["region"], page)]
+    return pages(layers, width, height, page)

@@ -17,6 +17,7 @@ from granella.operators import fields as D
 from granella.operators import lines as L
 from granella.operators import prices as PR
 from granella.operators import record as R
+from granella.operators import sections as SE
 from granella.operators import svg as S
 from granella.plans import documents as DP
 from granella.plans import prefilter as P
@@ -528,3 +529,59 @@ def q41_prefilter_over_budget(spark, sf):
 def q42_prefilter(spark, sf):
     lines = L.explode_lines(table(spark, sf, "documents")).select(F.col("doc_id").cast("string").alias("doc"), "line_no", "line")
     return P.filtered_text(P.prefilter(lines, 16_000)).select("doc", F.length("text").alias("chars"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS doc, p_partkey % 3 AS k, (p_partkey * 7 % 9000 + 100) / 100.0 AS a, (p_partkey * 11 % 9000 + 100) / 100.0 AS b, p_size AS q, p_partkey % 5 AS m FROM part)
+SELECT doc, 1 AS position, 'TÉRREO' AS nome, 0.0::DOUBLE AS area_priv_cob_padrao, a::DOUBLE AS area_comum_p_cob_padrao, CASE WHEN k = 1 THEN b ELSE 0 END::DOUBLE AS area_comum_np_cob_padrao, 1 AS qtd FROM f WHERE k > 0
+UNION ALL SELECT doc, 3, 'COBERTURA', b::DOUBLE, 0.0, 0.0, 1 FROM f WHERE m = 2
+UNION ALL SELECT doc, 0, '', 0.0, 0.0, 0.0, 1 FROM f WHERE k = 0 AND m <> 2""")
+def q43_floor_table(spark, sf):
+    k, money = F.col("p_partkey"), lambda c: T.format_brl(c / 100)
+    a, b = money(F.col("p_partkey") * 7 % 9000 + 100), money(F.col("p_partkey") * 11 % 9000 + 100)
+    lines = F.array(
+        F.when(k % 3 > 0, F.concat(F.lit("PAV. TERREO AREA COBERTA: "), a)).otherwise("nada"),
+        F.when(k % 3 == 1, F.concat(F.lit("PAV. TERREO AREA DESCOBERTA: "), b)).otherwise("nada"),
+        F.when(k % 5 == 2, F.concat(F.lit("COBERTURA "), b)).otherwise("nada"),
+    )
+    rows = table(spark, sf, "part").select(k.alias("doc"), F.posexplode(lines).alias("line_no", "line"))
+    return D.floor_table(rows)
+
+
+@query(f"""WITH {_CELLS}, k AS (SELECT page, cell, area, (l + r) / 2 AS cx, (t + b) / 2 AS cy, t, l, CASE WHEN least(r - l, b - t) < 10 THEN 'estreita' WHEN area / 250000 < 0.01 THEN 'pequena' WHEN area / 250000 > 0.6 THEN 'grande' WHEN (l + r) / 2 >= 360 AND (t + b) / 2 >= 360 THEN 'carimbo' ELSE '' END AS reason FROM cells),
+  n AS (SELECT *, row_number() OVER (PARTITION BY page, reason = '' ORDER BY t, l) AS n FROM k)
+SELECT page, cell, reason, 'p' || lpad(page::VARCHAR, 3, '0') || CASE WHEN reason = '' THEN '_r' ELSE '_x' END || lpad(n::VARCHAR, 4, '0') AS region FROM n""")
+def q44_regions(spark, sf):
+    return G.regions(_cells(spark, sf), 500.0, 500.0, least_share=0.01).select("page", "cell", "reason", "region")
+
+
+@query(f"""WITH {_ROOM_SQL}, c AS (SELECT doc, line_no, room || ' PISO ' || mat AS line, CASE WHEN room = 'ELEVADOR01' THEN 'VI' WHEN mat IN ('', 'CODIGO') THEN NULL WHEN room IN ('HALL', 'ESCADA') THEN 'VIII' WHEN room IN ('SALA', 'BWC', 'COZINHA', 'SACADA') THEN 'VII' END AS section FROM fin),
+  g AS (SELECT doc, section, line, min(line_no) AS line_no FROM c WHERE section IS NOT NULL GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc, section ORDER BY line_no)::INT AS rank FROM g),
+  u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc ORDER BY CASE section WHEN 'VIII' THEN 0 WHEN 'VII' THEN 1 ELSE 2 END, rank ROWS UNBOUNDED PRECEDING) AS used FROM r WHERE rank <= 26)
+SELECT doc, section, rank, line FROM u WHERE used <= 60""")
+def q45_section_cut(spark, sf):
+    return SE.cut_sections(X.section_lines(_finish_lines(spark, sf)).select("doc", "section", "rank", "line"), 60).select("doc", "section", "rank", "line")
+
+
+@query(f"""WITH {_ROOM_SQL}, t AS (SELECT doc, line_no, CASE WHEN room IN ('SALA', 'BWC', 'COZINHA', 'SACADA', 'HALL', 'ESCADA') THEN room ELSE '' END AS room, CASE WHEN mat = 'CODIGO' THEN '' ELSE mat END AS mat FROM fin),
+  w AS (SELECT *, lead(room) OVER v AS nr, lead(mat) OVER v AS nm FROM t WINDOW v AS (PARTITION BY doc ORDER BY line_no)),
+  k AS (SELECT doc, room, mat, nm, nr, room IN ('SALA', 'BWC', 'COZINHA', 'SACADA') AS private, room <> '' AND mat <> '' AS same FROM w),
+  c AS (SELECT DISTINCT doc, CASE WHEN private THEN 'VII' ELSE 'VIII' END AS section, room, CASE WHEN same THEN mat ELSE nm END AS m FROM k WHERE same OR (private AND room <> 'BWC' AND mat = '' AND nr = '' AND nm <> ''))
+SELECT doc, section, room, string_agg(upper(m[1]) || lower(m[2:]), ', ' ORDER BY m) AS materials FROM c GROUP BY 1, 2, 3""")
+def q46_finish_items(spark, sf):
+    return SE.finish_items(X.finish_candidates(_finish_lines(spark, sf)))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS doc, (o_custkey % 25)::INT AS floors, CASE WHEN o_orderkey % 3 = 0 THEN 'R1-N' WHEN o_orderkey % 3 = 1 THEN 'R16-N' END AS price_type, CASE WHEN o_orderkey % 2 = 0 THEN 10.0 ELSE 0 END AS price FROM orders)
+SELECT doc, 'cub_baixo_para_edificio_alto' AS warning FROM r WHERE floors >= 8 AND price_type IN ('R1-N', 'R4-N') UNION ALL SELECT doc, 'cub_sem_tipo' FROM r WHERE price > 0 AND price_type IS NULL""")
+def q47_price_warnings(spark, sf):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(k.alias("doc"), (F.col("o_custkey") % 25).cast("int").alias("floors"), F.when(k % 3 == 0, "R1-N").when(k % 3 == 1, "R16-N").alias("price_type"), F.when(k % 2 == 0, 10.0).otherwise(0.0).alias("price"))
+    return SE.price_warnings(rows)
+
+
+@query("""WITH i AS (SELECT o_custkey AS doc, o_orderstatus AS kind, o_orderkey AS position, 'p' || o_orderkey AS item FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY doc, kind ORDER BY position) AS n FROM i)
+SELECT doc, kind, string_agg(item, '; ' ORDER BY position) AS text FROM n WHERE n <= CASE kind WHEN 'O' THEN 2 WHEN 'F' THEN 3 ELSE 1 END GROUP BY 1, 2""")
+def q48_summary_lists(spark, sf):
+    items = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("position"), F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("item"))
+    return SE.summary_lists(items, {"O": 2, "F": 3, "P": 1})
