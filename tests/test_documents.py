@@ -142,3 +142,29 @@ def test_matrix(spark):
     rules = R.matrix(spark)
     got = {r["path"]: r["rule"] for r in R.lookup(spark.createDataFrame([("quadro7[2].piso",), ("quadro7[1].teto",), ("x",)], "path string"), rules).collect()}
     assert got == {"quadro7[2].piso": "quadro7[].piso", "quadro7[1].teto": "quadro7[]", "x": None}
+
+
+def test_region_drawing(spark):
+    from granella.operators import geometry as G
+    from granella.operators import svg as V
+
+    cells = spark.createDataFrame([(1, 1, 100.0, 100.0, 200.0, 200.0, 10000.0), (1, 2, 200.0, 100.0, 204.0, 200.0, 400.0)], "page int, cell int, left double, top double, right double, bottom double, area double")
+    got = G.regions(cells, 1000.0, 1000.0)
+    assert {r["region"]: r["reason"] for r in got.collect()} == {"p001_r0001": "", "p001_x0001": "estreita"}
+    assert G.base_cells(got).count() == 2
+    svg = V.region_page(got, 1000, 1000).first()["svg"]
+    assert svg.count("<rect") == 2 and svg.count("<circle") == 1 and ">r0001</text>" in svg
+    assert V.region_page(got, 1000, 1000, rejected=False).first()["svg"].count("<rect") == 1
+
+
+def test_modes_and_evidence(spark):
+    from granella.operators import sections as SE
+
+    differences = spark.createDataFrame([("a", "x", "perdido"), ("b", "y", "ganho")], "doc string, path string, status string")
+    scores = spark.createDataFrame([("a", 0.5, 0.9), ("b", 0.5, 0.9), ("c", 0.5, 0.505)], "doc string, base double, other double")
+    assert {r["doc"]: r["verdict"] for r in R.regressions(differences, scores).collect()} == {"a": "pior", "b": "melhor", "c": "igual"}
+    body = "first part here\n\nsecond part is rather long text"
+    row = spark.createDataFrame([(body, "EV")], "t string, e string").select(SE.with_evidence(F.col("t"), F.col("e"), 100).alias("all"), SE.with_evidence(F.col("t"), F.col("e"), 27).alias("some"), SE.with_evidence(F.col("t"), F.lit(""), 5).alias("none")).first()
+    assert row["all"] == "EV\n\n" + body and row["some"] == "EV\n\nfirst part here" and row["none"] == "first"
+    rules = R.matrix(spark)
+    assert R.by_origin(rules, "tabela").count() == 1 and R.editable_paths(rules).count() == 4
