@@ -41,12 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granella.llm.common import U64, _power, mix
+from granella.llm.common import U64, _power, buffers, mix, small_batches, spans, tidy
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL, BREAK = 0x2581, 0x200000, 10
 UNIT = 64
-CHUNK = 1_500_000
+CHUNK = 1_100_000
 _BITS = 22
 #: A rest whose path is less likely than exp(FAINT) can't be among the best.
 FAINT = -60.0
@@ -142,7 +142,7 @@ class Lattices:
         self.codes, self.left = c, left
         acc = np.concatenate(([U64(0)], self.sums(c)))
         bare, parts = inner.copy(), []
-        begins = np.flatnonzero(inner)
+        begins = np.flatnonzero(inner).astype(np.int32)
         for k in range(1, self.longest + 1):
             h = self.hashes(acc, begins, k)
             what = self.mask[(h >> U64(64 - _BITS)).astype(np.int64)]
@@ -153,30 +153,37 @@ class Lattices:
                 j = np.searchsorted(known, own)
                 j[j == len(known)] = 0
                 ok = known[j] == own
-                parts.append((f[ok], np.full(int(ok.sum()), k, np.int64), known_ids[j[ok]], weight[j[ok]]))
+                parts.append((f[ok], np.full(int(ok.sum()), k, np.int32), known_ids[j[ok]], weight[j[ok]]))
                 if k == 1:
                     bare[f[ok]] = False
             begins = begins[(what > 0) & (left[begins] > k)]
-        f = np.flatnonzero(bare)
-        parts.append((f, np.ones(len(f), np.int64), np.where(c[f] < 128, self.byte_ids[np.minimum(c[f], 127)], -2), np.full(len(f), self.spelled)))
+        f = np.flatnonzero(bare).astype(np.int32)
+        parts.append((f, np.ones(len(f), np.int32), np.where(c[f] < 128, self.byte_ids[np.minimum(c[f], 127)], -2), np.full(len(f), self.spelled)))
         f, k, ids, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-        o = np.argsort(f, kind="stable")
-        f, k, ids, w = f[o], k[o], ids[o], w[o]
+        del parts, acc, begins, unit, place
+        o = np.argsort(f, kind="stable").astype(np.int32)
+        f, k, ids, w = f[o], k[o], ids[o].astype(np.int32), w[o]
         mass = np.zeros(total)
         mass[self.at[1:] - 1] = 1.0
         depth = left[f].astype(np.uint8)
-        deep = np.argsort(depth, kind="stable")
+        deep = np.argsort(depth, kind="stable").astype(np.int32)
         cut = np.concatenate(([0], np.cumsum(np.bincount(depth, minlength=1))))
         fd, to, wd = f[deep], (f + k)[deep], w[deep]
         for a, b in zip(cut, cut[1:], strict=False):
             if b > a:
                 begin = np.flatnonzero(np.append(True, fd[a + 1 : b] != fd[a : b - 1]))
                 mass[fd[a:b][begin]] = np.add.reduceat(wd[a:b] * mass[to[a:b]], begin)
+        del deep, fd, to, wd
         self.source, self.length, self.ids, self.q = f, k, ids, w * mass[f + k] / mass[f]
         self.upto = np.cumsum(self.q)
         self.edge = np.zeros(total + 1, np.int64)
         np.cumsum(np.bincount(f, minlength=total), out=self.edge[1:])
 
+    def clear(self) -> None:
+        """Forgets the units."""
+        for name in ("at", "codes", "left", "source", "length", "ids", "q", "upto", "edge"):
+            self.__dict__.pop(name, None)
+
     def draw(self, node: np.ndarray, r: np.ndarray) -> np.ndarray:
         """An edge of each node, by its probability."""
         e = self.edge[node]
@@ -370,6 +377,7 @@ def _lattices(key: tuple, pieces) -> Lattices:
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", key: str = "doc_id", samples: int = 2, alpha: float = 0.3, seed: int = 0) -> DataFrame:
     """Rows (key, sample, n_pieces, log_prob, log_inclusion, ids, round_trip); round_trip: decoding the ids gives the text."""
+    small_batches(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(read_model(model))  # bounded by the vocabulary
     names = [key, "sample", "n_pieces", "log_prob", "log_inclusion", "ids", "round_trip"]
 
@@ -377,17 +385,12 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", key:
         lat = _lattices((model, alpha), pieces)
         raw = pa.array(lat.pieces.raw, pa.binary())
         for b in batches:
-            texts = [t or "" for t in b.column("t").to_pylist()]
-            seeds = mix(b.column("h").to_numpy(zero_copy_only=False).view(U64) ^ U64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-            lo = 0
-            while lo < len(texts):
-                hi, n = lo, 0
-                while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= CHUNK):
-                    n += len(texts[hi])
-                    hi += 1
-                full = [i for i in range(lo, hi) if texts[i]]
+            every = mix(b.column("h").to_numpy(zero_copy_only=False).view(U64) ^ U64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+            for lo, hi in spans(buffers(b.column("t"))[1], CHUNK):
+                texts, seeds = [t or "" for t in b.column("t").slice(lo, hi - lo).to_pylist()], every[lo:hi]
+                full = [i for i, t in enumerate(texts) if t]
                 found = dict(zip(full, _sample_batch(lat, [texts[i] for i in full], seeds[full], samples), strict=True)) if full else {}
-                rows = [(i, s, *x) for i in range(lo, hi) for s, x in enumerate(found.get(i) or [(np.zeros(0, np.int32), 0.0, 0.0)])]
+                rows = [(i, s, *x) for i in range(hi - lo) for s, x in enumerate(found.get(i) or [(np.zeros(0, np.int32), 0.0, 0.0)])]
                 ids = [r[2] for r in rows]
                 sizes = np.array([len(x) for x in ids], np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
@@ -396,11 +399,13 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", key:
                 at, spelled = np.frombuffer(at, np.int32), memoryview(spelled).cast("B") if spelled else b""
                 cut = np.concatenate(([0], np.cumsum(sizes)))
                 ok = [spelled[at[a] : at[z]] == (b" " + texts[r[0]].encode() if texts[r[0]] else b"") for r, a, z in zip(rows, cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), pa.array(sizes), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.float64()), lists, pa.array(ok, pa.bool_())], names=names)
-                lo = hi
+                del found
+                lat.clear()
+                yield pa.RecordBatch.from_arrays([b.column("k").slice(lo, hi - lo).take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), pa.array(sizes), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.float64()), lists, pa.array(ok, pa.bool_())], names=names)
+                del rows, ids, lists, spelled, at, texts
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, sample int, n_pieces int, log_prob double, log_inclusion double, ids array<int>, round_trip boolean"
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("h")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("h")).mapInArrow(tidy(run), schema)
 
 
 def decode(rows: DataFrame, model: str = DEFAULT_MODEL, ids: str = "ids", out: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -414,4 +419,4 @@ def decode(rows: DataFrame, model: str = DEFAULT_MODEL, ids: str = "ids", out: s
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, out])
 
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` string"])
-    return rows.select(*dict.fromkeys([*keep, ids])).mapInArrow(run, schema)
+    return rows.select(*dict.fromkeys([*keep, ids])).mapInArrow(tidy(run), schema)
