@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return docs.limit(0)
     model.ambiguous_below = 0.02
-    found = lang_id.identify(docs, model, keep=tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != lang_id.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    found = lang_id.with_language(docs, model, out="_language")
+    return found.filter((F.col("_language.lang_pred") != lang_id.UNKNOWN) & ~F.col("_language.ambiguous")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings that hold while a table is written: shuffle files go afterwards, and Arrow batches are small, since text rows are large.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _powers: dict[str, np.ndarray] = {}
 
 #: Bytes of text that one numpy step handles at once; longer texts go alone.
@@ -52,21 +53,34 @@ def _own_dir(spark: SparkSession) -> str:
     return f"/tmp/checkpoints/{os.getpid()}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors.
 
-    The shuffle files behind it are removed once it is written.
+    The shuffle files behind it are removed once it is written. With few, it is
+    written by four tasks for each slot of the cluster at most, so that tables
+    of links don't fall apart into a file for each shuffle partition.
     """
+    if few:
+        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
     spark, path = df.sparkSession, stage_dir(df.sparkSession, name)
-    before = spark.conf.get(_CLEAN, None)
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
-        spark.conf.set(_CLEAN, "true")
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB for this session, unless another size was set: rows of text are large, and both sides hold whole batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(name, "8m")
+
+
 def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and len+1 offsets of a text column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -192,6 +206,16 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(run):
+    """A function for mapInArrow that gives freed memory back when its task ends."""
+
+    def tidied(batches):
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 as the int64 with the same bits."""
     return x.view(np.int64)

@@ -25,6 +25,7 @@ no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granella.llm.common import PLAIN, U64, buffers, ngram_hashes, spans, word_hashes
+from granella.llm.common import PLAIN, U64, buffers, ngram_hashes, spans, tidy, trim, word_hashes
 
 _MASK_BITS = 20
 
@@ -120,7 +121,7 @@ def _frequencies(docs: DataFrame, index, text: str, n: int) -> tuple[dict[int, i
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], names=["seed", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text).mapInArrow(tidy(run), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
     got = {r["seed"]: r["n"] for r in rows}
     return got, got.pop(-1, 0)
 
@@ -169,7 +170,7 @@ def _indexes(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_t
             yield spark.sparkContext.broadcast(_rare(index, df, total, rare, least_seeds))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", n: int = 2, rare: float = 0.005, least_seeds: int = 12, least_hits: int = 3, least_words: int = 8, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", n: int = 2, rare: float = 0.005, least_seeds: int = 12, least_hits: int = 3, least_words: int = 8, threshold: float = 0.45, block_bytes: int = 16 << 20) -> DataFrame:
     """(key, item_key, score, first_word, end_word) of the documents that hold a copy of an item."""
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` bigint, score double, first_word int, end_word int"
     out = None
@@ -181,23 +182,28 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
                 rows = pa.array([g[0] for g in got], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("k").take(rows), pa.array([g[1] for g in got], pa.int64()), pa.array([float(g[2]) for g in got], pa.float64()), *(pa.array([g[c] for g in got], pa.int32()) for c in (3, 4))], names=[key, item_key, "score", "first_word", "end_word"])
 
-        found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
+        found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(tidy(run), schema)
         out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 2, rare: float = 0.005, least_seeds: int = 12, least_hits: int = 3, least_words: int = 8, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of docs that hold no copy of an item, dropped where they are read, without a join."""
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 2, rare: float = 0.005, least_seeds: int = 12, least_hits: int = 3, least_words: int = 8, threshold: float = 0.45, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs that hold no copy of an item, dropped where they are read, without a join; only texts go to Python."""
     out = docs
     for index in _indexes(docs, items, text, item_key, item_text, n, rare, least_seeds, least_words, block_bytes):
+        out = out.filter(~F.arrow_udf(_holder(index, n, least_hits, threshold), "boolean")(F.coalesce(F.col(text), F.lit(""))))
+    return out
 
-        def run(batches, index=index):
-            for b in batches:
-                bad = {g[0] for g in _found(b.column(text), index.value, n, least_hits, threshold)}
-                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_())) if bad else b
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+def _holder(index, n: int, least_hits: int, threshold: float):
+    def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            bad = np.zeros(len(b), bool)
+            bad[[g[0] for g in _found(b, index.value, n, least_hits, threshold)]] = True
+            yield pa.array(bad)
+        trim()
+
+    return holds
 
 
 def _found(col: pa.Array, x: Index, n: int, least_hits: int, threshold: float):

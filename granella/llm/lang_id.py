@@ -23,6 +23,7 @@ repeated results; other columns are ignored unless named in ``keep``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granella.llm.common import buffers, spans
+from granella.llm.common import buffers, spans, tidy, trim
 
 UNKNOWN = "und"
 BITS = 12
@@ -128,7 +129,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                 x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 yield pa.RecordBatch.from_arrays([b.column("l").slice(lo, hi - lo), b.column("k").slice(lo, hi - lo), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["l", "k", "x"])
 
-    got = sorted(((r["l"], r["k"], bytes(r["x"])) for r in sample.mapInArrow(featurise, "l string, k bigint, x binary").collect()), key=lambda r: r)
+    got = sorted(((r["l"], r["k"], bytes(r["x"])) for r in sample.mapInArrow(tidy(featurise), "l string, k bigint, x binary").collect()), key=lambda r: r)
     if not got:
         return None
     languages = sorted({r[0] for r in got})
@@ -178,4 +179,30 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
                     )
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, ambiguous boolean"])
-    return docs.select(*dict.fromkeys([*keep, text]), letter.alias("_letter")).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text]), letter.alias("_letter")).mapInArrow(tidy(run), schema)
+
+
+def with_language(docs: DataFrame, model: Model | None, text: str = "text", out: str = "language") -> DataFrame:
+    """All rows and columns, and a struct (lang_pred, score, ambiguous) as column out. Only the text goes to Python."""
+    kind = "struct<lang_pred:string,score:double,ambiguous:boolean>"
+    none = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))
+    if model is None:
+        return docs.withColumn(out, none)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = sent.value
+        names = np.array(m.languages, object)
+        for b in batches:
+            data, offsets = buffers(b)
+            parts = []
+            for lo, hi in spans(offsets, 1 << 20):
+                for at in range(lo, hi, 512):
+                    to = min(at + 512, hi)
+                    parts.append(m.decode(features(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])))
+            k, score, doubt = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0), np.zeros(0, bool))
+            yield pa.StructArray.from_arrays([pa.array(names[k], pa.string()), pa.array(score.astype(float)), pa.array(doubt)], names=["lang_pred", "score", "ambiguous"])
+        trim()
+
+    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    return docs.withColumn(out, F.when(letter, F.arrow_udf(predict, kind)(F.col(text))).otherwise(none))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granella.llm.common import tidy
+
 #: Known licence sentences, from the public licence texts.
 SENTENCES = {
     "mit.name": "Released under the MIT License.",
@@ -168,4 +170,4 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", gap: int = 6)
             yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(row, pa.int64())), *columns], names=[key, "licence", "rule", "sentences", "start", "end"])
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, licence string, rule string, sentences array<string>, start int, end int"
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").rlike(TELLING)).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").rlike(TELLING)).mapInArrow(tidy(run), schema)

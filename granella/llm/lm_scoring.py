@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from granella.llm.common import U64, buffers, ngram_hashes, spans, trim, word_hashes, written
 
 GROUP_BYTES = 4 << 20
+#: Groups and shards grow with the corpus, so that each fits a worker's memory; beyond this many, a partition holds several.
+MOST_PARTITIONS = 32_768
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -107,16 +109,19 @@ def _requests(groups: DataFrame, orders: tuple[int, ...], shards: int) -> DataFr
     return groups.groupBy("g").applyInArrow(run, "g int, shard int, n int, total bigint, size bigint, hashes binary, counts binary")
 
 
-def _answers(requests: DataFrame, shards: int) -> DataFrame:
-    def run(batches):
+def _answers(requests: DataFrame) -> DataFrame:
+    """Every request with the counts over all groups; a shard at a time, however many shards a partition holds."""
+
+    def run(table: pa.Table) -> pa.Table:
         held: dict[int, list] = {}
-        for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("n", "g", "shard", "total", "size", "hashes", "counts")), strict=True):
-                held.setdefault(r[0], []).append(r[1:])
+        for r in zip(*(table.column(c).to_pylist() for c in ("n", "g", "total", "size", "hashes", "counts")), strict=True):
+            held.setdefault(r[0], []).append(r[1:])
+        shard = table.column("shard")[0].as_py()
+        del table
+        out = []
         for n, rows in held.items():
-            sizes = [r[3] for r in rows]
-            every = np.concatenate([_unpack(r[4], r[3]) for r in rows])
-            counts = np.concatenate([_unpack_counts(r[5], r[3]) for r in rows])
+            every = np.concatenate([_unpack(r[3], r[2]) for r in rows])
+            counts = np.concatenate([_unpack_counts(r[4], r[2]) for r in rows])
             o = np.argsort(every, kind="stable").astype(np.uint32)
             every = every[o]
             first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
@@ -124,12 +129,14 @@ def _answers(requests: DataFrame, shards: int) -> DataFrame:
             total = np.add.reduceat(counts[o], first)
             back = np.empty(len(o), np.uint32)
             back[o] = np.repeat(total, np.diff(np.append(first, len(o))))
-            for (g, shard, sum_, size, _, _), c in zip(rows, np.split(back, np.cumsum(sizes)[:-1]), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([shard], pa.int32()), pa.array([n], pa.int32()), pa.array([sum_], pa.int64()), pa.array([size], pa.int64()), pa.array([_pack_counts(c)], pa.binary())], names=["g", "shard", "n", "total", "size", "counts"])
+            for (g, sum_, size, _, _), c in zip(rows, np.split(back, np.cumsum([r[2] for r in rows])[:-1]), strict=True):
+                out.append((g, shard, n, sum_, size, _pack_counts(c)))
             del o, counts, back
         trim()
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate(zip(("g", "shard", "n", "total", "size", "counts"), kinds, strict=True))})
 
-    return requests.repartitionById(shards, F.col("shard")).mapInArrow(run, "g int, shard int, n int, total bigint, size bigint, counts binary")
+    return requests.groupBy("shard").applyInArrow(run, "g int, shard int, n int, total bigint, size bigint, counts binary")
 
 
 def _scores(grams: list, counts: list[np.ndarray], total: int, backoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,14 +166,14 @@ def score(docs: DataFrame, train: Column | None = None, text: str = "text", key:
     t = F.coalesce(F.col(text), F.lit(""))
     train = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
     size = docs.agg(F.sum(F.octet_length(t))).first()[0] or 0
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(shards, -(-size // GROUP_BYTES))
-    shards = max(shards, groups // 2)
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(key), t), F.lit(groups)).cast("int").alias("g"), F.col(key).alias("k"), t.alias("t"), train.alias("train")).repartition(groups, "g")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(partitions, -(-size // GROUP_BYTES))
+    shards = max(partitions, groups // 2)
+    dealt = docs.select(F.pmod(F.xxhash64(F.col(key), t), F.lit(groups)).cast("int").alias("g"), F.col(key).alias("k"), t.alias("t"), train.alias("train")).repartition(min(groups, max(partitions, MOST_PARTITIONS)), "g")
     answers = None
     for orders in (tuple(range(1, order)), (order,)):  # the longest n-grams are most of what is shuffled, and go alone
         if orders:
-            part = written(_answers(_requests(dealt.select("g", "t", "train"), orders, shards), shards), "counts")
+            part = written(_answers(_requests(dealt.select("g", "t", "train"), orders, shards)), "counts")
             answers = part if answers is None else answers.union(part)
     total = answers.filter("n = 1").agg(F.sum("total")).first()[0] or 1
 

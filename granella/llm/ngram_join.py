@@ -46,11 +46,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granella.llm.common import U64, buffers, mix, ngram_hashes, signed, spans, word_hashes, written
+from granella.llm.common import U64, buffers, mix, ngram_hashes, signed, spans, tidy, word_hashes, written
 from granella.llm.components import components
 
 _BLOCK = 1 << 14
-_FLUSH = 1_500_000
+_FLUSH = 600_000
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, n: int):
@@ -111,7 +111,7 @@ def describe(docs: DataFrame, text: str, key: str, n: int, bits: int) -> DataFra
         m = len(blocks)
         yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array([i // _BLOCK for i in blocks], pa.int32()), pa.array([zlib.compress(counters[i : i + _BLOCK].tobytes(), 1) for i in blocks], pa.binary())], names=["k", "size", "node", "bits", "block", "counts"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k bigint, size bigint, node bigint, bits array<bigint>, block int, counts binary")
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(tidy(run), "k bigint, size bigint, node bigint, bits array<bigint>, block int, counts binary")
 
 
 def _levels(described: DataFrame, bits: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def _levels(described: DataFrame, bits: int) -> np.ndarray:
                 got[block] = got[block] + x if block in got else x.astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([v.sum() for v in got.values()], pa.int64()), pa.array([(np.log2(v + 1.0) * 4).astype(np.uint8).tobytes() for v in got.values()], pa.binary())], names=["block", "n", "levels"])
 
-    rows = described.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(total, "block int, n bigint, levels binary").collect()
+    rows = described.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(tidy(total), "block int, n bigint, levels binary").collect()
     levels = np.zeros(1 << bits, np.uint8)
     for r in rows:
         levels[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["levels"], np.uint8)
@@ -172,7 +172,7 @@ def _entries(docs: DataFrame, text: str, n: int, num: int, den: int, bits: int,
         if held:
             yield flush()
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "shard int, tok binary, node binary, size binary, pos binary")
+    return docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), "shard int, tok binary, node binary, size binary, pos binary")
 
 
 def _merge(entries: DataFrame, shards: int, num: int, den: int, longest: int, centres: int) -> DataFrame:
@@ -216,11 +216,11 @@ def _merge(entries: DataFrame, shards: int, num: int, den: int, longest: int, ce
         for length in np.unique(m[(m > 1) & (m <= longest)]):
             i, j = np.triu_indices(length, 1)
             lists = at[m == length]
-            step = max(1, 1_000_000 // len(i))
+            step = max(1, 400_000 // len(i))
             for lo in range(0, len(lists), step):
                 first = lists[lo : lo + step, None]
                 found.append(pairs(node, size, pos, (first + i).ravel(), (first + j).ravel()))
-                yield from held(2_000_000)
+                yield from held(500_000)
         for first, length in zip(at[m > longest], m[m > longest], strict=True):
             every = np.arange(first, first + length)
             # entries late in their order pair with few others: they are centres only where there is nothing else
@@ -228,14 +228,14 @@ def _merge(entries: DataFrame, shards: int, num: int, den: int, longest: int, ce
             early = early if len(early) else every
             for centre in early[np.argsort(mix(node[early].view(U64) ^ tok[first]))[:centres]]:
                 found.append(pairs(node, size, pos, every, np.full(length, centre)))
-            yield from held(2_000_000)
+            yield from held(500_000)
         yield from held()
         inside = np.repeat(m > longest, m)
         k = int(inside.sum())
         if k:
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(node[inside]), pa.array(signed(tok[inside])), pa.array(size[inside]), pa.array(pos[inside])], names=names)
 
-    return entries.repartitionById(shards, F.col("shard")).mapInArrow(run, "kind int, a bigint, b bigint, size int, pos int")
+    return entries.repartitionById(shards, F.col("shard")).mapInArrow(tidy(run), "kind int, a bigint, b bigint, size int, pos int")
 
 
 def _set_table(docs: DataFrame, nodes: DataFrame, members: DataFrame, text: str, key: str, n: int, small: bool) -> DataFrame:
@@ -263,7 +263,7 @@ def _set_table(docs: DataFrame, nodes: DataFrame, members: DataFrame, text: str,
                 g = list(_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n))
                 yield pa.RecordBatch.from_arrays([pa.array([_node(x) if len(x) else None for x in g], pa.int64()), pa.array(h[take[lo:hi]]), pa.array([(np.sort((x & U64(0xFFFF)).astype(np.uint16)) if small else x).tobytes() for x in g], pa.binary())], names=["node", "h", "grams"])
 
-    sets = docs.select(_row_hash(key, text).alias("h"), F.col(text).alias("t")).mapInArrow(run, "node bigint, h bigint, grams binary")
+    sets = docs.select(_row_hash(key, text).alias("h"), F.col(text).alias("t")).mapInArrow(tidy(run), "node bigint, h bigint, grams binary")
     return sets.join(want, ["node", "h"]).groupBy("node").agg(F.first("grams").alias("grams"))
 
 
@@ -299,14 +299,14 @@ def _reaching(pairs: DataFrame, sets: DataFrame, num: int, den: int, small: bool
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     a, b = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, text: str, key: str, n: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) whose sets reach the similarity: first by 16 bits of each n-gram, then in full."""
     for small in (True, False):
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        pairs = written(_reaching(pairs, _set_table(docs, ends, members, text, key, n, small), num, den, small), "links")
+        pairs = written(_reaching(pairs, _set_table(docs, ends, members, text, key, n, small), num, den, small), "links", few=True)
     return pairs
 
 
@@ -316,7 +316,7 @@ def _mixed(long: DataFrame, roots: DataFrame, members: DataFrame) -> DataFrame:
     mixed = long.groupBy("tok").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("tok")
     long = long.join(mixed, "tok")
     bits = members.join(long.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"))
-    return written(long.join(bits, "node").select("tok", "node", "root", "size", "pos", *(F.col("bits")[i].alias(f"b{i}") for i in range(8))), "long")
+    return written(long.join(bits, "node").select("tok", "node", "root", "size", "pos", *(F.col("bits")[i].alias(f"b{i}") for i in range(8))), "long", few=True)
 
 
 def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
@@ -337,18 +337,18 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5
     spark = docs.sparkSession
     rows = docs.count()
     bits = min(24, max(16, int(rows * 32).bit_length()))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 4000)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 16000)
     described = written(describe(docs, text, key, n, bits), "sets")
     members = described.filter("block is null").select("k", "size", "node", "bits", F.xxhash64(F.col("k").cast("string")).alias("h"))
     levels = spark.sparkContext.broadcast(_levels(described, bits))
-    merged = written(_merge(_entries(docs, text, n, num, den, bits, levels, shards), shards, num, den, longest, centres), "merged")
+    merged = written(_merge(_entries(docs, text, n, num, den, bits, levels, shards), shards, num, den, longest, centres), "merged", few=True)
     pairs = merged.filter("kind = 0").select("a", "b").distinct()
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs, "pairs", few=True)
     links = _verified(docs, pairs, members, text, key, n, num, den)
     roots = components(links)
     long = merged.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("tok"), "size", "pos")
     if not long.isEmpty():
-        more = written(_across(_mixed(long, roots, members), num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = written(_across(_mixed(long, roots, members), num, den).join(pairs, ["a", "b"], "left_anti"), "pairs", few=True)
         if not more.isEmpty():
             roots = components(links.union(_verified(docs, more, members, text, key, n, num, den)))
     nodes = members.filter("node is not null").groupBy("node").agg(F.min("k").alias("k")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -360,7 +360,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5
 def survivors(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs with one row of each class: the one with the smallest key. Rows with a null key stay."""
     named = classes(docs, text, key, **options)
-    named = written(named.select(key, "component_id"), "classes")
+    named = written(named.select(key, "component_id"), "classes", few=True)
     out = docs.join(named.filter(F.col("component_id") != F.col(key)).select(key), key, "left_anti").select(*docs.columns)
     repeated = named.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
     if repeated.isEmpty():

@@ -22,6 +22,8 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from granella.llm.common import tidy
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words whose lengths a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 400_000
@@ -129,4 +131,4 @@ def count_tokens(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, text: st
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[*keep, "n_words", "n_tokens"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words bigint", "n_tokens bigint"])
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granella.llm.common import written
+from granella.llm.common import tidy, written
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*\n*|[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
                 out.append(sorted(every))
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("k"), pa.array(out, pa.list_(pa.string()))], names=["y", "k", "f"])
 
-    chosen = _choose(sample.mapInArrow(featurise, "y int, k bigint, f array<string>"), most_features)
+    chosen = _choose(sample.mapInArrow(tidy(featurise), "y int, k bigint, f array<string>"), most_features)
     if not chosen:
         return None
     number = {f: i for i, f in enumerate(chosen)}
@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
                 out.append([x for x in sentences if x])
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("k"), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["y", "k", "s"])
 
-    bags = sorted(((r["k"], r["y"], r["s"]) for r in sample.mapInArrow(index, "y int, k bigint, s array<array<int>>").collect()), key=lambda r: r[:2])
+    bags = sorted(((r["k"], r["y"], r["s"]) for r in sample.mapInArrow(tidy(index), "y int, k bigint, s array<array<int>>").collect()), key=lambda r: r[:2])
     return _fit(bags, chosen, rounds)
 
 
@@ -168,4 +168,4 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(found, struct)], names=[*keep, "score", "predicted", "sentences"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"score double, predicted int, sentences {kind}"])
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)
