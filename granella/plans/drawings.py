@@ -30,8 +30,8 @@ def run(segments: DataFrame, texts: DataFrame, width: float = 1000.0, height: fl
     walls = classified.filter(F.col("bucket") == "wall").filter(F.col("kind").isin("horizontal", "vertical"))
     flat = F.col("kind") == "horizontal"
     axis = walls.select("page", F.when(flat, "h").otherwise("v").alias("orient"), F.when(flat, (F.col("y0") + F.col("y1")) / 2).otherwise((F.col("x0") + F.col("x1")) / 2).alias("pos"), F.when(flat, F.least("x0", "x1")).otherwise(F.least("y0", "y1")).alias("start"), F.when(flat, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1")).alias("end"))
-    cells = G.closed_cells(G.merge_segments(axis))
-    edges = G.adjacency(cells)
+    cells = G.closed_cells(G.merge_segments(axis)).persist()  # far fewer than the segments, and read four times
+    edges = G.adjacency(cells).persist()
     composites = G.composites(cells, G.page_components(cells, edges), edges)
     layers = [
         S.layer(classified.withColumn("element", S.line_element(F.col("bucket"))), "lines", 50_000, ["idx", *ENDS]),

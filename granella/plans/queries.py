@@ -305,12 +305,12 @@ def q21_region_cells(spark, sf):
 
 @query(f"WITH {_EDGES} SELECT page, src, dst FROM edges")
 def q22_adjacency(spark, sf):
-    return G.adjacency(_cells(spark, sf))
+    return G.adjacency(_cells(spark, sf).persist())
 
 
 @query(f"WITH RECURSIVE {_COMPONENTS} SELECT page, cell, component FROM comps")
 def q23_components(spark, sf):
-    cells = _cells(spark, sf)
+    cells = _cells(spark, sf).persist()  # read by both sides of the adjacency and again for lone cells
     return G.page_components(cells, G.adjacency(cells))
 
 
@@ -319,8 +319,8 @@ def q23_components(spark, sf):
   f AS (SELECT k.*, coalesce(edges, 0) AS edges, round(a / (("right" - "left") * (bottom - top)), 4) AS fill FROM k LEFT JOIN n USING (page, component))
 SELECT page, component, cells, "left", top, "right", bottom, edges, fill, CASE WHEN cells < 2 THEN 'single' WHEN cells > 200 THEN 'too_many' WHEN fill < 0.5 THEN 'sparse' ELSE '' END AS reason FROM f""")
 def q24_composites(spark, sf):
-    cells = _cells(spark, sf)
-    edges = G.adjacency(cells)
+    cells = _cells(spark, sf).persist()
+    edges = G.adjacency(cells).persist()
     return G.composites(cells, G.page_components(cells, edges), edges).select("page", "component", "cells", "left", "top", "right", "bottom", "edges", "fill", "reason")
 
 
