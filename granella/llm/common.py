@@ -53,15 +53,16 @@ def _own_dir(spark: SparkSession) -> str:
     return f"/tmp/checkpoints/{os.getpid()}"
 
 
-def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, tasks_per_slot: int = 0) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors.
 
-    The shuffle files behind it are removed once it is written. With few, it is
-    written by four tasks for each slot of the cluster at most, so that tables
-    of links don't fall apart into a file for each shuffle partition.
+    The shuffle files behind it are removed once it is written. With
+    tasks_per_slot, it is written by so many tasks for each slot of the cluster
+    at most, each taking whole partitions one after the other, so that tables of
+    links don't fall apart into a file for each shuffle partition.
     """
-    if few:
-        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    if tasks_per_slot:
+        df = df.coalesce(tasks_per_slot * df.sparkSession.sparkContext.defaultParallelism)
     spark, path = df.sparkSession, stage_dir(df.sparkSession, name)
     before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:

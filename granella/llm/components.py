@@ -40,10 +40,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     Null ends and edges from a node to itself are ignored; repeated edges don't
     matter; no edges give no rows.
     """
-    now = written(_distinct(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges", few=True)
+    now = written(_distinct(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges", tasks_per_slot=4)
     state = _state(now)
     for _ in range(most_rounds if state[0] else 0):
-        now = written(_small_star(_large_star(now)), "edges", few=True)
+        now = written(_small_star(_large_star(now)), "edges", tasks_per_slot=4)
         if (next_state := _state(now)) == state:
             break
         state = next_state

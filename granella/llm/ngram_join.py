@@ -306,7 +306,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, text: str,
     """Those pairs (a, b) whose sets reach the similarity: first by 16 bits of each n-gram, then in full."""
     for small in (True, False):
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        pairs = written(_reaching(pairs, _set_table(docs, ends, members, text, key, n, small), num, den, small), "links", few=True)
+        pairs = written(_reaching(pairs, _set_table(docs, ends, members, text, key, n, small), num, den, small), "links", tasks_per_slot=4)
     return pairs
 
 
@@ -316,7 +316,7 @@ def _mixed(long: DataFrame, roots: DataFrame, members: DataFrame) -> DataFrame:
     mixed = long.groupBy("tok").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("tok")
     long = long.join(mixed, "tok")
     bits = members.join(long.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"))
-    return written(long.join(bits, "node").select("tok", "node", "root", "size", "pos", *(F.col("bits")[i].alias(f"b{i}") for i in range(8))), "long", few=True)
+    return written(long.join(bits, "node").select("tok", "node", "root", "size", "pos", *(F.col("bits")[i].alias(f"b{i}") for i in range(8))), "long", tasks_per_slot=4)
 
 
 def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
@@ -341,14 +341,14 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5
     described = written(describe(docs, text, key, n, bits), "sets")
     members = described.filter("block is null").select("k", "size", "node", "bits", F.xxhash64(F.col("k").cast("string")).alias("h"))
     levels = spark.sparkContext.broadcast(_levels(described, bits))
-    merged = written(_merge(_entries(docs, text, n, num, den, bits, levels, shards), shards, num, den, longest, centres), "merged", few=True)
+    merged = written(_merge(_entries(docs, text, n, num, den, bits, levels, shards), shards, num, den, longest, centres), "merged", tasks_per_slot=16)
     pairs = merged.filter("kind = 0").select("a", "b").distinct()
-    pairs = written(pairs, "pairs", few=True)
+    pairs = written(pairs, "pairs", tasks_per_slot=4)
     links = _verified(docs, pairs, members, text, key, n, num, den)
     roots = components(links)
     long = merged.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("tok"), "size", "pos")
     if not long.isEmpty():
-        more = written(_across(_mixed(long, roots, members), num, den).join(pairs, ["a", "b"], "left_anti"), "pairs", few=True)
+        more = written(_across(_mixed(long, roots, members), num, den).join(pairs, ["a", "b"], "left_anti"), "pairs", tasks_per_slot=4)
         if not more.isEmpty():
             roots = components(links.union(_verified(docs, more, members, text, key, n, num, den)))
     nodes = members.filter("node is not null").groupBy("node").agg(F.min("k").alias("k")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -360,7 +360,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5
 def survivors(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs with one row of each class: the one with the smallest key. Rows with a null key stay."""
     named = classes(docs, text, key, **options)
-    named = written(named.select(key, "component_id"), "classes", few=True)
+    named = written(named.select(key, "component_id"), "classes", tasks_per_slot=4)
     out = docs.join(named.filter(F.col("component_id") != F.col(key)).select(key), key, "left_anti").select(*docs.columns)
     repeated = named.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
     if repeated.isEmpty():
