@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Seeds are n-word runs of the test items. Their document frequencies are counted
-over all documents; an item keeps the seeds that at most ``rare`` of the
-documents hold, and its ``least_seeds`` rarest in any case. In a second pass,
-seeds that a document holds near each other (closer than the item is long) open
-a window, and the window's words are aligned with the item's words: a match
-gives 2, a mismatch or a gap takes 1. The score is the best local alignment over
-the best possible one, 2 x the item's length; an exact copy scores 1, a copy
-with a few changed, added or lost words a little less. Rows of at least
-``threshold`` are reported.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Seeds are all n-word runs of the test items, however many documents hold them:
+copies that are themselves repeated make their own runs frequent. Seeds that a
+document holds near each other (closer than the item is long) open a window if
+``least_hits`` of them differ, and the window's words are aligned with the
+item's words: a match gives 2, a mismatch or a gap takes 1. The score is the
+best local alignment over the best possible one, 2 x the item's length; an exact
+copy scores 1, a copy with a few changed, added or lost words a little less.
+Rows of at least ``threshold`` are reported. Windows whose words can't reach it
+in any order aren't aligned.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased, so
 punctuation, case and line breaks don't hide a copy.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from granella.llm.common import PLAIN, U64, buffers, ngram_hashes, spans, tidy, trim, word_hashes
 
 _MASK_BITS = 20
+#: Pairs of a hit and an item that one numpy step handles at once; the pairs of a document stay together.
+_PAIRS = 4 << 20
 
 
 @dataclass
@@ -49,6 +52,7 @@ class Index:
     owners: np.ndarray
 
     def __post_init__(self):
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.mask = np.zeros(1 << _MASK_BITS, bool)
         self.mask[(self.seeds >> U64(64 - _MASK_BITS)).astype(np.int64)] = True
 
@@ -101,62 +105,30 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _frequencies(docs: DataFrame, index, text: str, n: int) -> tuple[dict[int, int], int]:
-    """Seed number -> documents that hold it, and the number of documents."""
-
-    def run(batches):
-        x = index.value
-        total, df = 0, np.zeros(len(x.seeds), np.int64)
-        for b in batches:
-            data, offsets = buffers(b.column(text))
-            total += b.num_rows
-            for lo, hi in spans(offsets):
-                words, _, _, bounds = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], PLAIN)
-                grams, gb = ngram_hashes(words, bounds, n)
-                at, k = x.find(grams)
-                if len(at):
-                    doc = np.searchsorted(gb, at, side="right") - 1
-                    pairs = np.unique(doc * len(x.seeds) + k)
-                    df += np.bincount(pairs % len(x.seeds), minlength=len(x.seeds))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], names=["seed", "n"])
-
-    rows = docs.select(text).mapInArrow(tidy(run), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    got = {r["seed"]: r["n"] for r in rows}
-    return got, got.pop(-1, 0)
-
-
-def _rare(x: Index, df: dict[int, int], total: int, rare: float, least_seeds: int) -> Index:
-    count = np.array([df.get(i, 0) for i in range(len(x.seeds))], np.int64)
-    seed = np.repeat(np.arange(len(x.seeds)), np.diff(x.bounds))
-    o = np.argsort(x.owners, kind="stable")
-    keep = np.split(seed[o], np.searchsorted(x.owners[o], np.arange(1, len(x.items)))) if x.items else []
-    chosen = []
-    for own in keep:
-        own = own[np.lexsort((own, count[own]))]
-        k = max(least_seeds, int((count[own] <= rare * total).sum()))
-        chosen.append(own[:k])
-    owner = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
-    return _index(x.items, x.words, x.seeds[np.concatenate(chosen)] if chosen else np.zeros(0, U64), owner)
-
-
-def _windows(x: Index, at: np.ndarray, k: np.ndarray, words: int, least_hits: int):
-    """(item, first word, last word) of each group of hits of one document that are closer than the item is long."""
+def _windows(x: Index, doc: np.ndarray, at: np.ndarray, k: np.ndarray, words: np.ndarray, least_hits: int):
+    """(document, item, first word, last word) of each group of hits of a document that are closer than the item is long, in that order."""
     reps = np.diff(x.bounds)[k]
-    pos = np.repeat(at, reps)
-    item = np.concatenate([x.owners[x.bounds[s] : x.bounds[s + 1]] for s in k])
-    seed = np.repeat(k, reps)
-    o = np.lexsort((pos, item))
-    pos, item, seed = pos[o], item[o], seed[o]
-    size = np.array([len(w) for w in x.words])[item]
-    cut = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > size[1:])))
-    for a, b in zip(cut, np.append(cut[1:], len(pos)), strict=True):
-        if b - a >= least_hits and len(set(seed[a:b].tolist())) >= least_hits:
-            n = int(size[a])
-            yield int(item[a]), max(0, int(pos[a]) - n), min(words, int(pos[b - 1]) + n + 2)
-
-
-def _indexes(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, n: int, rare: float, least_seeds: int, least_words: int, block_bytes: int):
+    nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    item = x.owners[np.repeat(x.bounds[k], reps) + nth]
+    doc, pos, seed = np.repeat(doc, reps), np.repeat(at, reps), np.repeat(k, reps)
+    o = np.lexsort((pos, item, doc))
+    doc, item, pos, seed = doc[o], item[o], pos[o], seed[o]
+    fresh = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > x.sizes[item[1:]]))
+    cut, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    o = np.lexsort((seed, group))
+    other = np.append(True, (group[o][1:] != group[o][:-1]) | (seed[o][1:] != seed[o][:-1]))
+    enough = np.flatnonzero(np.bincount(group[o][other], minlength=len(cut)) >= least_hits)
+    first, last = cut[enough], np.append(cut[1:], len(pos))[enough] - 1
+    n = x.sizes[item[first]]
+    return zip(doc[first].tolist(), item[first].tolist(), np.maximum(0, pos[first] - n).tolist(), np.minimum(words[doc[first]], pos[last] + n + 2).tolist(), strict=True)
+
+
+def _reaches(item: np.ndarray, window: np.ndarray, least: float) -> bool:
+    """False if no alignment can score so much: an item's word matches once at most, and only a word that the window holds."""
+    return 2 * np.isin(item, window).sum() >= least
+
+
+def _indexes(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, n: int, least_words: int, block_bytes: int):
     """The broadcast index of each block of items."""
     spark = docs.sparkSession
     items = items.filter(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t"))
@@ -166,15 +138,14 @@ def _indexes(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_t
         rows = sorted((r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect())
         index = build(rows, n, least_words)
         if index.items:
-            df, total = _frequencies(docs, spark.sparkContext.broadcast(index), text, n)
-            yield spark.sparkContext.broadcast(_rare(index, df, total, rare, least_seeds))
+            yield spark.sparkContext.broadcast(index)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", n: int = 2, rare: float = 0.005, least_seeds: int = 12, least_hits: int = 3, least_words: int = 8, threshold: float = 0.45, block_bytes: int = 16 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", n: int = 2, least_hits: int = 3, least_words: int = 8, threshold: float = 0.45, block_bytes: int = 16 << 20) -> DataFrame:
     """(key, item_key, score, first_word, end_word) of the documents that hold a copy of an item."""
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` bigint, score double, first_word int, end_word int"
     out = None
-    for index in _indexes(docs, items, text, item_key, item_text, n, rare, least_seeds, least_words, block_bytes):
+    for index in _indexes(docs, items, text, item_key, item_text, n, least_words, block_bytes):
 
         def run(batches, index=index):
             for b in batches:
@@ -187,10 +158,10 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 2, rare: float = 0.005, least_seeds: int = 12, least_hits: int = 3, least_words: int = 8, threshold: float = 0.45, block_bytes: int = 16 << 20) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 2, least_hits: int = 3, least_words: int = 8, threshold: float = 0.45, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs that hold no copy of an item, dropped where they are read, without a join; only texts go to Python."""
     out = docs
-    for index in _indexes(docs, items, text, item_key, item_text, n, rare, least_seeds, least_words, block_bytes):
+    for index in _indexes(docs, items, text, item_key, item_text, n, least_words, block_bytes):
         out = out.filter(~F.arrow_udf(_holder(index, n, least_hits, threshold), "boolean")(F.coalesce(F.col(text), F.lit(""))))
     return out
 
@@ -216,17 +187,24 @@ def _found(col: pa.Array, x: Index, n: int, least_hits: int, threshold: float):
         if not len(at):
             continue
         doc = np.searchsorted(gb, at, side="right") - 1
-        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        for a, z in zip(cut, np.append(cut[1:], len(doc)), strict=True):
-            if z - a < least_hits:
-                continue
-            d = int(doc[a])
-            own = words[bounds[d] : bounds[d + 1]]
-            best: dict[int, tuple] = {}
-            for item, first, last in _windows(x, at[a:z] - gb[d], k[a:z], len(own), least_hits):
-                s, end = align(x.words[item], own[first:last])
-                s /= 2 * len(x.words[item])
-                if s >= threshold and s > best.get(item, (0,))[0]:
-                    best[item] = (s, max(first, first + end - len(x.words[item])), first + end)
-            for i, v in sorted(best.items()):
-                yield (lo + d, x.items[i], *v)
+        at -= gb[doc]
+        pairs = np.cumsum(np.diff(x.bounds)[k])
+        a = 0
+        while a < len(at):
+            z = int(np.searchsorted(pairs, (pairs[a - 1] if a else 0) + _PAIRS, side="right"))
+            z = int(np.searchsorted(doc, doc[z], side="left")) if z < len(doc) else z
+            z = z if z > a else int(np.searchsorted(doc, doc[a], side="right"))
+            found = _windows(x, doc[a:z], at[a:z], k[a:z], np.diff(bounds), least_hits)
+            for (d, item), group in groupby(found, lambda w: w[:2]):
+                size, own = len(x.words[item]), words[bounds[d] : bounds[d + 1]]
+                best: tuple = (0,)
+                for _, _, first, last in group:
+                    if not _reaches(x.words[item], own[first:last], 2 * size * threshold):
+                        continue
+                    s, end = align(x.words[item], own[first:last])
+                    s /= 2 * size
+                    if s >= threshold and s > best[0]:
+                        best = (s, max(first, first + end - size), first + end)
+                if best[0]:
+                    yield (lo + d, x.items[item], *best)
+            a = z

@@ -141,3 +141,18 @@ def test_decontamination(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b, block_bytes=300).collect()) == want
     assert sorted(r["doc_id"] for r in decontamination.clean(d, b).collect()) == [0, 4, 5, 6]
     assert decontamination.contaminated(d, b.limit(0)).count() == 0 and decontamination.contaminated(d.limit(0), b).count() == 0
+
+
+def test_repeated_partial_and_edited_copies(spark):
+    """A group of copies is found however large a share of the documents it is."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(3, 9)))
+    half, changed = [[word() for _ in range(40)] for _ in range(2)]
+    docs = [(i, " ".join(word() for _ in range(60))) for i in range(400)]
+    for i in range(0, 400, 10):
+        docs[i] = (i, docs[i][1] + " " + " ".join(half[:22]))
+        docs[i + 1] = (i + 1, " ".join(w if k % 4 < 3 else word() for k, w in enumerate(changed)) + " " + docs[i + 1][1])
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(half)), (2, " ".join(changed))], "item_id long, text string")
+    want = [(i + k, k + 1) for i in range(0, 400, 10) for k in (0, 1)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()) == want
+    assert decontamination.clean(d, b).count() == 400 - len(want)
