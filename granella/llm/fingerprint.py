@@ -1,12 +1,12 @@
 """Similarity digests from improbable features.
 
-Every 64-byte window of a text has the entropy of its bytes, as a whole number
+Every 16-byte window of a text has the entropy of its bytes, as a whole number
 from 0 to 1000. How often each entropy occurs is counted over all documents:
-the rarer its entropy, the better a window ranks. Of every 64 windows in a row
+the rarer its entropy, the better a window ranks. Of every 16 windows in a row
 the best (leftmost of equals) gets a point; windows with ``points`` or more are
 the text's features. Windows of low entropy (runs of one character) are no
-features. Texts under 512 bytes use windows of 16 bytes in runs of 16 and need 4 points,
-ranked among short texts. Feature hashes, without repeats and in text order, fill a chain of
+features. Texts of all lengths have the same kind of features, so any two can be
+compared. Feature hashes, without repeats and in text order, fill a chain of
 Bloom filters of 2048 bits, five bits a feature, 160 features a filter.
 
 Likeness of two digests: each filter of the shorter chain takes the best
@@ -15,7 +15,7 @@ cutoff explain and 1 is all it could be; the mean over those filters is the
 result. A last filter with few features counts only where it is the only one.
 
 Windows are counted with numpy for many texts at once: two numbers for every
-byte, how often it stands in the 64 bytes before and after, give all entropies
+byte, how often it stands in the window's bytes before and after, give all entropies
 as running sums of whole numbers, so results don't depend on batches.
 
 Defined results: null counts as empty; the empty text has an empty digest, like
@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 
 from granella.llm.common import U64, _power, buffers, mix, spans, tidy
 
-#: Bytes of a window, windows of a run, points of a feature; for short texts and others.
-WINDOW, RUN, POINTS = 64, 64, 16
-SHORT_BYTES, SHORT_WINDOW, SHORT_RUN, SHORT_POINTS = 512, 16, 16, 4
+#: Bytes of a window, windows of a run, points of a feature; for texts of all lengths.
+WINDOW, RUN, POINTS = 16, 16, 4
+#: The most bytes a window can have.
+WIDEST = 64
 SCALE = 1000
 WEAK = 100
 BITS = 2048
@@ -47,7 +48,7 @@ MOST = 160
 FEW = 16
 CUTOFF = 0.3
 _UNIT = 1 << 16
-_F = np.array([round(c * np.log2(c) * _UNIT) if c else 0 for c in range(WINDOW + 1)], np.int64)
+_F = np.array([round(c * np.log2(c) * _UNIT) if c else 0 for c in range(WIDEST + 1)], np.int64)
 _NONE = np.int64(1 << 20)
 
 
@@ -84,36 +85,23 @@ def entropies(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tu
     return (_F[window] - total) * SCALE // _F[window], start, bounds
 
 
-def _split(data: np.ndarray, offsets: np.ndarray):
-    """Short rows and the others, each as (rows, bytes, offsets, window, run, points)."""
-    sizes = np.diff(offsets)
-    short = sizes < SHORT_BYTES
-    for which, window, run, points in ((short, SHORT_WINDOW, SHORT_RUN, SHORT_POINTS), (~short, WINDOW, RUN, POINTS)):
-        rows = np.flatnonzero(which)
-        if len(rows) == len(sizes):
-            yield rows, data, offsets, window, run, points
-        elif len(rows):
-            yield rows, data[np.repeat(which, sizes)], np.concatenate(([0], np.cumsum(sizes[rows]))), window, run, points
-
-
 def entropy_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How many windows of all rows have each entropy: row 0 for short texts, row 1 for others."""
+    """How many windows of all rows have each entropy."""
 
     def run(batches):
-        count = np.zeros((2, SCALE + 1), np.int64)
+        count = np.zeros(SCALE + 1, np.int64)
         for b in batches:
             data, offsets = buffers(b.column("t"))
             for lo, hi in spans(offsets):
-                for _, d, o, window, _, _ in _split(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
-                    e, _, _ = entropies(d, o, window)
-                    count[int(window == WINDOW)] += np.bincount(e, minlength=SCALE + 1)
-        some = np.flatnonzero(count.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count.ravel()[some])], names=["e", "n"])
+                e, _, _ = entropies(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                count += np.bincount(e, minlength=SCALE + 1)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["e", "n"])
 
-    out = np.zeros(2 * (SCALE + 1), np.int64)
+    out = np.zeros(SCALE + 1, np.int64)
     for r in docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), "e bigint, n bigint").groupBy("e").agg(F.sum("n").alias("n")).collect():
         out[r["e"]] = r["n"]
-    return out.reshape(2, SCALE + 1)
+    return out
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -128,30 +116,23 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 
 def digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
-    """For each row its chain of (features, 2048 booleans). rank: of short texts and of others."""
-    out: list = [None] * (len(offsets) - 1)
-    for rows, d, o, window, run, points in _split(data, offsets):
-        for r, chain in zip(rows.tolist(), _digests(d, o, rank[int(window == WINDOW)], window, run, points), strict=True):
-            out[r] = chain
-    return out
-
-
-def _digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray, window: int, run: int, points: int) -> list[list[tuple[int, np.ndarray]]]:
+    """For each row its chain of (features, 2048 booleans). rank: of each entropy; of several tables the last holds."""
+    rank = rank[-1] if rank.ndim > 1 else rank
     rows, n = len(offsets) - 1, len(data)
-    e, start, bounds = entropies(data, offsets, window)
+    e, start, bounds = entropies(data, offsets)
     sizes = np.diff(bounds)
     row = np.repeat(np.arange(rows), sizes)
     score = np.zeros(len(e), np.int64)
     if len(e):
         low = rank[e] * (1 << 32) + np.arange(len(e))
         width = 1
-        while width < run:
+        while width < RUN:
             low = np.minimum(low[:-width], low[width:]) if len(low) > width else low[:0]
             width *= 2
-        won = low[row[: len(low)] == row[run - 1 :]] if len(low) else low
+        won = low[row[: len(low)] == row[RUN - 1 :]] if len(low) else low
         won = won[won < _NONE << 32] & 0xFFFFFFFF
         score += np.bincount(won, minlength=len(e))
-    chosen = score >= points
+    chosen = score >= POINTS
     has = np.bincount(row[chosen], minlength=rows)
     for r in np.flatnonzero((has == 0) & (sizes > 0)):
         chosen[bounds[r] + int(np.argmin(rank[e[bounds[r] : bounds[r + 1]]]))] = True
@@ -160,7 +141,7 @@ def _digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray, window: in
     if n:
         np.cumsum((data.astype(U64) + U64(1)) * p, out=acc[1:])
     at = start[chosen]
-    feature = mix((acc[at + window] - acc[at]) * q[at]) if len(at) else np.zeros(0, U64)
+    feature = mix((acc[at + WINDOW] - acc[at]) * q[at]) if len(at) else np.zeros(0, U64)
     cut = np.searchsorted(at, offsets)
     out = []
     for r in range(rows):

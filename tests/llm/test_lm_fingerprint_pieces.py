@@ -137,3 +137,17 @@ def test_inclusion_scores_estimate_one():
     got = sentencepiece._sample_batch(lat, ["thing"] * n, mix(np.arange(n).astype(np.uint64) + np.uint64(10**6)), 3)
     total = [sum(math.exp(log - inclusion) for _, log, inclusion in g) for g in got]
     assert abs(np.mean(total) - 1) < 0.05
+
+
+def test_near_copies_of_all_lengths(spark):
+    """A text and its copy with a few more or fewer bytes are alike, whatever their lengths."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(2000)]
+    text = " ".join(rng.choice(words) for _ in range(400))
+    docs = [text[: n + 1] for n in (100, 250, 499, 510, 511, 512, 529, 767, 1023, 2000)]
+    rank = fingerprint.ranks(fingerprint.entropy_counts(spark.createDataFrame([(t,) for t in docs], "text string")))
+    for n in (256, 500, 505, 511, 512, 515, 530, 768, 1024):
+        long, short = fingerprint.digests(*fingerprint._buffer([text[: n + 10], text[: n - 10]]), rank)
+        assert fingerprint.likeness(long, short) > 0.8, n
+        (other,) = fingerprint.digests(*fingerprint._buffer([text[-n:]]), rank)
+        assert fingerprint.likeness(long, other) < 0.2, n
