@@ -8,7 +8,10 @@ are kept when their score reaches ``least``.
 
 A span is (kind, start, end, score), counted in code points, end exclusive.
 Matches of one kind are leftmost and don't overlap; spans of different kinds
-may. Positions come from the lengths of the pieces between matches, so every
+may. Where a bank account number ends can't be seen from its characters, as it
+is written with blanks and a word or number can follow: every end of a word that
+leaves 1 modulo 97 is possible, and the one at the length of its country is
+taken, or else the last. Positions come from the lengths of the pieces between matches, so every
 kind needs two regex passes over a text, and only over texts that hold a
 character the kind needs.
 
@@ -36,14 +39,20 @@ BASE = ("email", "ip", "card", "phone")
 #: ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
 #: card [0-9]([\x20-]?[0-9])+
 #: phone \+[0-9][\x20().0-9-]+[0-9]
+#: iban is the first four characters, and looks ahead over the words that can belong to it.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9](?:[\x20().-]*+[0-9])++",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}+|[0-9a-f]{40}+)(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}+|[0-9A-Fa-f]{40}+)(?![A-Za-z0-9])",
 }
+#: Characters of a country's account numbers, without blanks.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: A text without this can't hold the kind.
 NEEDS = {"email": "@", "phone": "+"}
 #: Score before context, and words that change it when they stand within NEAR characters before a span.
@@ -107,12 +116,26 @@ def _confirmed(kind: str, s: Column) -> Column:
         return F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False)
     if kind == "phone":
         return F.length(_digits(s)).between(9, 15)
-    if kind == "iban":
-        a = F.regexp_replace(s, " ", "")
-        return F.when(F.length(a).between(15, 34), mod97(a)).otherwise(False)
     return F.lit(True)
 
 
+def _account(run: Column) -> Column:
+    """The account number that a run of words begins with, or null: up to the word's end at its country's length, or else the last possible one."""
+    words = F.split(run, " ")
+    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+
+    def possible(h: Column) -> Column:
+        a = F.regexp_replace(h, " ", "")
+        return F.when(F.length(a).between(15, 34) & ~a.rlike("[a-z]"), mod97(a)).otherwise(False)
+
+    def usual(h: Column) -> Column:
+        n = F.length(F.regexp_replace(h, " ", ""))
+        return F.coalesce(*(F.when(F.substr(h, F.lit(1), F.lit(2)).isin(*names.split()), n == k) for k, names in IBAN_LENGTHS.items()), F.lit(False))
+
+    ends = F.array_sort(F.transform(F.filter(heads, possible), lambda h: F.struct(usual(h).alias("usual"), F.length(h).alias("n"), h.alias("h"))))
+    return F.try_element_at(ends, F.lit(-1))["h"]
+
+
 def _proposed(text: Column, kind: str) -> Column:
     """Array of (start, end, match, before) of the confirmed matches of a kind."""
     pattern = F.lit(PATTERNS[kind])
@@ -133,6 +156,25 @@ def _proposed(text: Column, kind: str) -> Column:
     return F.when(needs, found).otherwise(none)
 
 
+def _proposed_accounts(text: Column) -> Column:
+    """The same for account numbers: runs overlap, and those that begin within a confirmed number are passed over."""
+    kind = "iban"
+    runs = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1))
+    gaps = F.transform(F.split(text, PATTERNS[kind]), lambda g: F.length(g))
+    pairs = F.zip_with(F.transform(runs, _account), gaps, lambda m, n: F.struct(m.alias("m"), n.alias("n")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast("array<struct<start:int,end:int,match:string,before:string>>").alias("got"))
+
+    def step(a: Column, x: Column) -> Column:
+        s = a["at"] + x["n"]
+        e = s + F.length(x["m"])
+        more = F.array(F.struct(s.alias("start"), e.alias("end"), x["m"].alias("match"), F.substr(text, F.greatest(s - NEAR, F.lit(0)) + 1, F.least(s, F.lit(NEAR))).alias("before")))
+        ok = x["m"].isNotNull() & (s >= a["free"])
+        return F.struct((s + 4).alias("at"), F.when(ok, e).otherwise(a["free"]).alias("free"), F.when(ok, F.concat(a["got"], more)).otherwise(a["got"]).alias("got"))
+
+    found = F.aggregate(F.filter(pairs, lambda x: x["n"].isNotNull()), start, step, lambda a: a["got"])
+    return F.when(text.rlike(PATTERNS[kind]), found).otherwise(F.array().cast("array<struct<start:int,end:int,match:string,before:string>>"))
+
+
 def _scored(rank: int, kind: str):
     def f(x: Column) -> Column:
         score = F.lit(SCORES[kind]) + F.when(x["before"].rlike(UP[kind]), 0.1).otherwise(0.0) - F.when(x["before"].rlike(DOWN[kind]), 0.3).otherwise(0.0)
@@ -146,7 +188,7 @@ def find_spans(text: Column, least: float = 0.5) -> Column:
     text = F.coalesce(text, F.lit(""))
     every = []
     for rank, kind in enumerate(KINDS):
-        got = F.transform(_proposed(text, kind), _scored(rank, kind))
+        got = F.transform(_proposed_accounts(text) if kind == "iban" else _proposed(text, kind), _scored(rank, kind))
         every.append(got if kind in BASE else F.filter(got, lambda x: x["score"] >= least))
     return F.array_sort(F.concat(*every))
 

@@ -44,3 +44,24 @@ def test_redaction(spark):
 
 def test_empty_table(spark):
     assert pii.with_spans(rows(spark, [])).count() == 0
+
+
+def test_accounts_and_what_follows(spark):
+    a, b, c = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    odd = "XX65" + "1" * 19  # no country's length
+    cases = {
+        f"{a} Bank": [a], f"{b} Sparkasse": [b], f"{b} 12 euros": [b], f"{a} EUR 500 A": [a], f"{a} {c}": [a, c], f"{b} {b} {c} x": [b, b, c], f"pay {c}, {b}.": [c, b], f"é {a}": [a], "x " * 30 + f"iban {b} Ab": [b],
+        f"{b}a": [], f"{b}1": [], f"{b[:-1]}1 Bank": [], f"x{b}": [], f"AB12 {b} CD": [b], f"{b} AB12 CDEF": [b], "AB12": [],
+    }
+    for k in range(100):
+        t = f"XX{k:02d}" + odd[4:]
+        v = int("".join(str(int(ch, 36)) for ch in t[4:] + t[:4])) % 97
+        cases[f"{t} Bank"] = [t] if v == 1 else []
+    key = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    cases |= {f"TOKEN = {key}": [key], f"{key.lower()} {key}": [key.lower(), key], f"{key}0": [], f"AKIA{key}": []}
+    texts = list(cases)
+    for r in pii.with_spans(rows(spark, texts)).collect():
+        t = texts[r["doc_id"]]
+        assert [t[s["start"] : s["end"]] for s in r["pii"] if s["kind"] in ("iban", "secret")] == cases[t], t
+    masked = pii.with_spans(rows(spark, [f"to {b} Sparkasse", f"{a} {c}"])).select("doc_id", pii.redacted(F.col("text"), F.col("pii")).alias("t"))
+    assert [r["t"] for r in masked.orderBy("doc_id").collect()] == ["to <IBAN> Sparkasse", "<IBAN> <IBAN>"]
