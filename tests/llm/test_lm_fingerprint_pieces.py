@@ -38,6 +38,16 @@ def test_stupid_backoff(spark):
     assert lm_scoring.score(df.limit(0)).count() == 0
 
 
+def test_query_counts_every_row(spark, tmp_path):
+    from granella.llm.queries import op1_lm_scoring
+
+    docs = [(i, f"own{i} words{i} of document{i} the same end") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = stupid_backoff(docs, {d for d, _ in docs}, 3)
+    for r in op1_lm_scoring(spark, str(tmp_path)).collect():
+        assert r["n_backoff"] == 0 and math.isclose(r["log_score"], want[r["doc_id"]][1], rel_tol=1e-9)
+
+
 def test_entropies_are_brute_force():
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcde fgh"[: rng.randrange(1, 9)]) for _ in range(rng.choice((0, 5, 63, 64, 65, 200)))) for _ in range(40)]
