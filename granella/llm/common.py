@@ -72,7 +72,24 @@ def written(df: DataFrame, name: str, tasks_per_slot: int = 0) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and nothing reads any more; what is left goes when the driver ends."""
+    for t in tables:
+        if path := getattr(t, "written_to", None):
+            folder, files = _folder(t.sparkSession, path)
+            files.delete(folder, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -16,7 +16,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(_documents(spark, sf_dir))
+    found = lm_scoring.score(_documents(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +71,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_sentencepiece, op4_license_scan, op5_pii, op6_language_id, op7_token_counts, op8_decontamination, op9_fingerprint, op10_ngram_jaccard_join)}
 
 
+#: Words as the n-gram operators take them: runs of other characters than ASCII white space, A-Z lower-cased.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+#: All rows train, so every n-gram of a text has been seen and nothing backs off.
+_OP1 = f"""
+WITH doc AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+place AS (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM doc),
+tok AS (SELECT r, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c FROM place),
+one AS (SELECT a, count(*) AS n FROM tok GROUP BY a),
+two AS (SELECT b, a, count(*) AS n FROM tok WHERE i > 1 GROUP BY b, a),
+three AS (SELECT c, b, a, count(*) AS n FROM tok WHERE i > 2 GROUP BY c, b, a),
+scored AS (
+  SELECT r, ln(CASE WHEN i = 1 THEN one.n / (SELECT sum(n) FROM one) WHEN i = 2 THEN two.n / before.n ELSE three.n / pair.n END) AS s
+  FROM tok
+  LEFT JOIN one ON one.a = tok.a
+  LEFT JOIN one AS before ON before.a = tok.b
+  LEFT JOIN two ON two.b = tok.b AND two.a = tok.a
+  LEFT JOIN two AS pair ON pair.b = tok.c AND pair.a = tok.b
+  LEFT JOIN three ON three.c = tok.c AND three.b = tok.b AND three.a = tok.a
+),
+total AS (SELECT r, count(*) AS n, sum(s) AS s FROM scored GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(s, 0.0), 6) AS log_score, round(s / n, 6) AS mean_log_score, CAST(0 AS BIGINT) AS n_backoff
+FROM doc LEFT JOIN total USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express on whole tables."""
+    return {"op1_lm_scoring": _OP1}

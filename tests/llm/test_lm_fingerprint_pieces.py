@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from granella.llm import fingerprint, lm_scoring, sentencepiece
@@ -38,6 +39,37 @@ def test_stupid_backoff(spark):
     assert lm_scoring.score(df.limit(0)).count() == 0
 
 
+def test_relays_change_nothing(spark):
+    """Groups that ask through relays get the answers they would get from the shards."""
+    rng = random.Random(5)
+    docs = [(i % 90 if i % 7 else None, " ".join(rng.choice("a b c d e f g".split()) for _ in range(rng.randrange(60)))) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    plain = sorted(lm_scoring.score(df).collect(), key=str)
+    assert sorted(lm_scoring.score(df, direct=1).collect(), key=str) == plain and len(plain) == 200
+
+
+def test_counts_beyond_32_bits():
+    c = np.array([3, 254, 255, 2**32 + 7, 0, 2**40], np.uint64)
+    assert (lm_scoring._unpack_counts(lm_scoring._pack_counts(c), len(c)) == c).all()
+    u = np.arange(1, 7, dtype=np.uint64)
+    rows = lm_scoring._Rows()
+    for asker in (1, 2):
+        rows.add(asker, 1, u, c, 1)
+    out = lm_scoring._shard(pa.Table.from_batches([rows.batch()])).to_pylist()
+    assert [r["asker"] for r in out] == [1, 2] and out[0]["total"] == int(c.sum())
+    assert all((lm_scoring._unpack_counts(r["counts"], 6) == 2 * c).all() for r in out)
+
+
+def test_rows_grow_with_groups_not_with_shards():
+    """A group's rows are bounded by its own n-grams and by the shards it may ask."""
+    u = np.sort(mix(np.arange(1000, dtype=np.uint64)))
+    for cells in (1, 7, 1000, 10**6):
+        cell, at = lm_scoring._cells(u, cells)
+        assert len(cell) <= min(cells, len(u)) and at[-1] == len(u)
+        sub = lm_scoring._cells(u, cells * 3)[0] // 3
+        assert set(sub.tolist()) == set(cell.tolist())
+
+
 def test_query_counts_every_row(spark, tmp_path):
     from granella.llm.queries import op1_lm_scoring
 
