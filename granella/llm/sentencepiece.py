@@ -15,11 +15,16 @@ to come first as its probability says:
   as logarithms, since a long text's are tiny.
 
 Random numbers come from a hash of (seed, row key, sample, character), so a row
-gets the same samples wherever it is computed.
+gets the same samples wherever it is computed. Two things are left out that the
+numbers don't show: rests whose path is less likely than exp(-60), which would be
+among the best about once in 10**26 draws, and rests of less than 1e-9 of a
+node's mass, which doubles don't tell from rounding.
 
 The lattice: blanks are the piece mark U+2581, and one stands before the text;
-a new unit begins at each mark, at and after a line break, and after 64
-characters; pieces don't cross units. Equal units of a batch are built once.
+a new unit begins at each mark, and at and after a line break, which no piece
+crosses; a run without blanks is one unit, whatever its length. Equal units of a
+batch are built once. Masses are a number and a power of two, so that those of
+long units neither vanish nor overflow.
 A piece's weight is its probability to the power ``alpha``: exp(score) of a
 unigram model; for a BPE model, whose scores are negative ranks, 1 / (rank + 2.7).
 A character without a piece is spelled in byte pieces.
@@ -45,8 +50,9 @@ from granella.llm.common import U64, _power, buffers, mix, small_batches, spans,
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL, BREAK = 0x2581, 0x200000, 10
-UNIT = 64
 CHUNK = 1_100_000
+#: Characters before a unit's end up to which masses are plain numbers.
+PLAIN = 16
 _BITS = 22
 #: A rest whose path is less likely than exp(FAINT) can't be among the best.
 FAINT = -60.0
@@ -165,16 +171,28 @@ class Lattices:
         f, k, ids, w = f[o], k[o], ids[o].astype(np.int32), w[o]
         mass = np.zeros(total)
         mass[self.at[1:] - 1] = 1.0
-        depth = left[f].astype(np.uint8)
+        far = int(left.max(initial=0))
+        power = np.zeros(total if far > PLAIN else 0, np.int64)  # of two, of long units' masses
+        depth = left[f].astype(np.uint16 if far < 1 << 16 else np.int64)
         deep = np.argsort(depth, kind="stable").astype(np.int32)
         cut = np.concatenate(([0], np.cumsum(np.bincount(depth, minlength=1))))
         fd, to, wd = f[deep], (f + k)[deep], w[deep]
-        for a, b in zip(cut, cut[1:], strict=False):
+        for d, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
             if b > a:
                 begin = np.flatnonzero(np.append(True, fd[a + 1 : b] != fd[a : b - 1]))
-                mass[fd[a:b][begin]] = np.add.reduceat(wd[a:b] * mass[to[a:b]], begin)
+                node, value = fd[a:b][begin], wd[a:b] * mass[to[a:b]]
+                if d > PLAIN:
+                    most = np.maximum.reduceat(power[to[a:b]], begin)
+                    value = np.ldexp(value, power[to[a:b]] - np.repeat(most, np.diff(np.append(begin, b - a))))
+                    mass[node], up = np.frexp(np.add.reduceat(value, begin))
+                    power[node] = most + up
+                else:
+                    mass[node] = np.add.reduceat(value, begin)
         del deep, fd, to, wd
-        self.source, self.length, self.ids, self.q = f, k, ids, w * mass[f + k] / mass[f]
+        q = w * mass[f + k] / mass[f]
+        if far > PLAIN:
+            q = np.ldexp(q, power[f + k] - power[f])
+        self.source, self.length, self.ids, self.q = f, k, ids, q
         self.upto = np.cumsum(self.q)
         self.edge = np.zeros(total + 1, np.int64)
         np.cumsum(np.bincount(f, minlength=total), out=self.edge[1:])
@@ -270,13 +288,7 @@ def _units(texts: list[str]):
     cut[1:] |= line[:-1]
     cut[starts[:-1]] = True
     first = np.flatnonzero(cut)
-    size = np.diff(np.append(first, len(codes)))
-    if (size > UNIT).any():
-        parts = -(-size // UNIT)
-        base, end = np.repeat(first, parts), np.repeat(first + size, parts)
-        first = base + (np.arange(len(base)) - np.repeat(np.cumsum(parts) - parts, parts)) * UNIT
-        size = np.minimum(end - first, UNIT)
-    return codes, starts, first, size
+    return codes, starts, first, np.diff(np.append(first, len(codes)))
 
 
 def _sample_batch(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int):
