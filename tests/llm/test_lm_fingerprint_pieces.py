@@ -201,7 +201,7 @@ def test_long_runs_are_one_lattice():
                     piece = pieces.raw[i].decode().replace(" ", "▁")
                     own, at = own + weight[piece], at + len(piece)
                     ends.add(at)
-                assert at == len(s) and math.isclose(own - total[0], log, rel_tol=1e-6)
+                assert at == len(s) and math.isclose(own - total[0], log, rel_tol=1e-6, abs_tol=1e-6)
                 whole += 64 not in ends
             assert whole or text[0] != "a"
 

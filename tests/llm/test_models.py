@@ -103,7 +103,73 @@ def test_licences(spark):
     got = [(r["doc_id"], r["licence"], r["rule"]) for r in license_scan.scan(rows).orderBy("doc_id", "start").collect()]
     assert got == [(2, "MIT", "text"), (3, "CC-BY-NC-4.0", "notice"), (5, "MIT", "grant"), (6, "MIT", "notice"), (6, "MIT", "notice"), (6, "MIT", "notice"), (8, "MIT", "notice")]
     r = license_scan.scan(rows).filter("doc_id = 3").first()
-    assert texts[3][r["start"] : r["end"]] == S["cc-by-nc.short"]
+    assert texts[3][r["start"] : r["end"]] == "Licensed under CC BY-NC 4.0."
+
+
+def naive_rules(found, rules, gap):
+    """What the rules say, tried one by one: at each unused sentence the longest rule that can be filled with unused ones."""
+    out, used = [], set()
+    for i in range(len(found)):
+        if i in used:
+            continue
+        best = None
+        for licence, rule, ids in rules:
+            if ids[0] != found[i][0] or best and len(best[2]) >= len(ids):
+                continue
+            taken = [i]
+            for want in ids[1:]:
+                for k in range(taken[-1] + 1, len(found)):
+                    if k not in used and found[k][0] == want and found[k][1] - found[taken[-1]][2] <= gap:
+                        taken.append(k)
+                        break
+                else:
+                    break
+            if len(taken) == len(ids):
+                best = (licence, rule, ids, taken)
+        if best:
+            used |= set(best[3])
+            out.append((best[0], best[1], list(best[2]), found[i][3], found[best[3][-1]][4]))
+    return out
+
+
+def test_rules_are_those_of_a_naive_search():
+    rng = random.Random(11)
+    sentences = {k: f"{k} one two" for k in "abcdef"}
+    for _ in range(150):
+        rules = tuple({("".join(ids), "r", ids) for ids in (tuple(rng.choice("abcdef") for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 7)))})
+        r = license_scan.Rules(sentences, rules)
+        text = " ".join(f"{rng.choice('abcdefxy')} one two." for _ in range(rng.randrange(12)))
+        for gap in (0, 2):
+            assert r.match(text, gap) == naive_rules(r.sentences(text), rules, gap)
+
+
+def test_licence_catalogue():
+    """Every notice, tag and text of the catalogue is found, wrapped and in other case; every rule can pass the filter for telling words."""
+    import re
+
+    r, telling = license_scan.Rules(), re.compile(license_scan.TELLING)
+    same = {}
+    for licence, rule, ids in license_scan.RULES:
+        text = "\n".join(license_scan.SENTENCES[i] for i in ids)
+        assert telling.search(text), ids
+        same.setdefault(tuple(license_scan.words(text)), set()).add(licence)
+    for licence, rule, ids in license_scan.RULES:
+        text = "\n".join(license_scan.SENTENCES[i] for i in ids)
+        for t in (text, "Some words.\n\n" + text.upper().replace(" ", "\n") + "\nMore words."):
+            got = r.match(t, 6)
+            assert len(got) == 1 and got[0][0] in same[tuple(license_scan.words(text))], (ids, got)
+
+
+def test_grants_use_sentences_up(spark):
+    S = license_scan.SENTENCES
+    text = "\n".join(S[f"mit.{k}"] for k in ("grant", "grant", "notice", "warranty", "liability"))
+    long = "license words.\n" * 20000 + text
+    rows = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, S["zlib.grant"], "y"), (2, long, "z")], "doc_id long, text string, licence string")
+    got = sorted(((r["doc_id"], r["licence"], r["rule"], r["start"]) for r in license_scan.scan(rows).collect()), key=str)
+    second = len(S["mit.grant"]) + 1
+    want = [(1, "MIT", "text", 0), (1, "MIT", "grant", second)] * 2 + [(2, "MIT", "text", len(long) - len(text)), (2, "MIT", "grant", len(long) - len(text) + second)]
+    assert got == sorted(want, key=str)
+    assert license_scan.scan(rows.limit(0)).count() == 0
 
 
 def smith_waterman(a, b):
