@@ -21,8 +21,9 @@ ended, and quantifiers are possessive. They match what the plain forms in the
 comments match.
 
 Defined results: null text counts as empty and has no spans; repeated rows give
-repeated results; other columns pass unchanged. A text is one row of work, so a
-very long text costs time in proportion to its length.
+repeated results; other columns pass unchanged. A text is one row of work; n
+matches in it cost about n log n steps besides the time in proportion to its
+length, as positions are running sums by doubling and texts are cut up once.
 """
 
 from __future__ import annotations
@@ -136,43 +137,72 @@ def _account(run: Column) -> Column:
     return F.try_element_at(ends, F.lit(-1))["h"]
 
 
+_FOUND = "array<struct<start:int,end:int,match:string,before:string>>"
+#: Elements of an array that one inner loop handles, where a loop can't be had without copying what it has gathered.
+_BLOCK = 256
+#: Code points of the pieces that a text is cut into before parts of it are taken.
+_PIECE = 4096
+
+
+def _once(x: Column, use) -> Column:
+    """use(x), where x is computed once however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _running(x: Column, n: Column, join) -> Column:
+    """Running sums (or maxima, by join) of an array of n numbers, by doubling: as many passes as n has binary digits."""
+
+    def doubled(a: Column, s: Column) -> Column:
+        return F.transform(a, lambda v, i: F.coalesce(join(v, F.get(a, (i - F.call_function("shiftleft", F.lit(1), s)).cast("int"))), v))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(n)) - 1), x, doubled)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _proposed(text: Column, kind: str) -> Column:
     """Array of (start, end, match, before) of the confirmed matches of a kind."""
-    pattern = F.lit(PATTERNS[kind])
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     gaps = F.transform(F.split(text, PATTERNS[kind]), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(NEAR)).alias("before")))
-    pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("m"), g["n"].alias("n"), g["before"].alias("before")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string,before:string>>").alias("got"))
+    pairs = F.filter(F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("m"), g["n"].alias("n"), g["before"].alias("before"))), lambda x: x["m"].isNotNull())
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["n"]
-        e = s + F.length(x["m"])
-        more = F.array(F.struct(s.alias("start"), e.alias("end"), x["m"].alias("match"), x["before"].alias("before")))
-        return F.struct(e.alias("at"), F.when(_confirmed(kind, x["m"]), F.concat(a["got"], more)).otherwise(a["got"]).alias("got"))
+    def placed(p: Column) -> Column:
+        ends = _running(F.transform(p, lambda x: x["n"] + F.length(x["m"])), F.size(p), _plus)
+        return F.zip_with(p, ends, lambda x, e: F.struct((e - F.length(x["m"])).alias("start"), e.alias("end"), x["m"].alias("match"), x["before"].alias("before")))
 
-    found = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), start, step, lambda a: a["got"])
-    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
+    found = F.filter(_once(pairs, placed), lambda x: _confirmed(kind, x["match"]))
     needs = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike(PATTERNS[kind])
-    return F.when(needs, found).otherwise(none)
+    return F.when(needs, found).otherwise(F.array().cast(_FOUND))
 
 
 def _proposed_accounts(text: Column) -> Column:
     """The same for account numbers: runs overlap, and those that begin within a confirmed number are passed over."""
     kind = "iban"
     runs = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1))
-    gaps = F.transform(F.split(text, PATTERNS[kind]), lambda g: F.length(g))
-    pairs = F.zip_with(F.transform(runs, _account), gaps, lambda m, n: F.struct(m.alias("m"), n.alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast("array<struct<start:int,end:int,match:string,before:string>>").alias("got"))
+    gaps = F.transform(F.split(text, PATTERNS[kind]), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(NEAR)).alias("before")))
+    pairs = F.zip_with(F.transform(runs, _account), gaps, lambda m, g: F.struct(m.alias("m"), g["n"].alias("n"), g["before"].alias("before")))
+
+    def placed(p: Column) -> Column:
+        heads = _running(F.transform(p, lambda x: x["n"] + 4), F.size(p), _plus)
+        return F.zip_with(p, heads, lambda x, e: F.struct((e - 4).alias("start"), (e - 4 + F.length(x["m"])).alias("end"), x["m"].alias("match"), x["before"].alias("before")))
 
     def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["n"]
-        e = s + F.length(x["m"])
-        more = F.array(F.struct(s.alias("start"), e.alias("end"), x["m"].alias("match"), F.substr(text, F.greatest(s - NEAR, F.lit(0)) + 1, F.least(s, F.lit(NEAR))).alias("before")))
-        ok = x["m"].isNotNull() & (s >= a["free"])
-        return F.struct((s + 4).alias("at"), F.when(ok, e).otherwise(a["free"]).alias("free"), F.when(ok, F.concat(a["got"], more)).otherwise(a["got"]).alias("got"))
+        ok = x["start"] >= a["free"]
+        return F.struct(F.when(ok, x["end"]).otherwise(a["free"]).alias("free"), F.when(ok, F.concat(a["got"], F.array(x))).otherwise(a["got"]).alias("got"))
+
+    def block(a: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(a["free"].alias("free"), F.array().cast(_FOUND).alias("got")), step)
+        return _once(own, lambda o: F.struct(o["free"].alias("free"), F.concat(a["got"], F.array(o["got"])).alias("got")))
+
+    def apart(c: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / _BLOCK).cast("int")), lambda b: F.slice(c, b * _BLOCK + 1, F.lit(_BLOCK)))
+        start = F.struct(F.lit(0).alias("free"), F.array().cast(f"array<{_FOUND}>").alias("got"))
+        return F.when(F.size(c) > 0, F.flatten(F.aggregate(parts, start, block, lambda a: a["got"]))).otherwise(c)
 
-    found = F.aggregate(F.filter(pairs, lambda x: x["n"].isNotNull()), start, step, lambda a: a["got"])
-    return F.when(text.rlike(PATTERNS[kind]), found).otherwise(F.array().cast("array<struct<start:int,end:int,match:string,before:string>>"))
+    found = _once(F.filter(_once(pairs, placed), lambda x: x["match"].isNotNull()), apart)
+    return F.when(text.rlike(PATTERNS[kind]), found).otherwise(F.array().cast(_FOUND))
 
 
 def _scored(rank: int, kind: str):
@@ -207,13 +237,26 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "pii", least: flo
     return docs.withColumn(out, find_spans(F.col(text), least))
 
 
+def _cut(pieces: Column, a: Column, z: Column) -> Column:
+    """Code points a to z of a text in pieces of _PIECE."""
+    first, last = F.floor(a / _PIECE).cast("int"), F.floor(z / _PIECE).cast("int")
+    at = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    across = F.concat(F.substr(at(first), a % _PIECE + 1), F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substr(at(last), F.lit(1), z % _PIECE))
+    return F.when(first == last, F.substr(at(first), a % _PIECE + 1, z - a)).otherwise(across)
+
+
 def redacted(text: Column, spans: Column) -> Column:
     """text with every span replaced by its kind in angle brackets; overlapping spans give one mark, of the first."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["start"] >= a["at"]
-        before = F.substring(text, a["at"] + 1, x["start"] - a["at"])
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["parts"], F.array(before, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))))).otherwise(a["parts"]).alias("parts"))
+    def marked(most: Column) -> Column:
+        """most: the largest end of each span and those before it."""
+
+        def joined_up(pieces: Column) -> Column:
+            places = F.transform(spans, lambda x, i: F.struct(F.coalesce(F.get(most, i - 1), F.lit(0)).alias("at"), x["start"].alias("start"), x["kind"].alias("kind")))
+            parts = F.transform(F.filter(places, lambda x: x["start"] >= x["at"]), lambda x: F.concat(_cut(pieces, x["at"], x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+            return F.concat(F.array_join(parts, ""), _cut(pieces, F.element_at(most, F.lit(-1)), F.length(text)))
+
+        return _once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), joined_up)
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(text, a["at"] + 1))))
+    most = _running(F.transform(spans, lambda x: x["end"]), F.size(spans), F.greatest)
+    return F.when(F.size(spans) == 0, text).otherwise(_once(most, marked))
