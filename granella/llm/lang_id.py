@@ -9,11 +9,13 @@ two nearest codewords are almost as near as each other, the row is flagged as
 ambiguous.
 
 Features are square roots of the relative frequencies of byte bigrams and
-trigrams of the lower-cased text; what is not a letter is a blank, and n-grams
-with two blanks are left out.
+trigrams; A-Z are lower-cased, other ASCII characters but a-z are blanks, and
+n-grams with two blanks are left out.
 
-Training uses a bounded sample of labelled rows (``rows_per_language``,
-expected number, chosen by a hash of the id); scoring reads every row whole.
+Every language that labels a row is learned, however many there are. Training
+uses a bounded sample of labelled rows, chosen by a hash of id and text: about
+``rows_per_language`` of each language, less where that would be over
+``most_rows`` in all, and one of each at least. Scoring reads every row whole.
 
 Defined results: null text, or text without a letter: ``und``, score 0, no
 ambiguity; no labelled rows at all: every row is ``und``; one language: that
@@ -70,17 +72,18 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def codewords(k: int) -> np.ndarray:
-    """k rows of +1 and -1: all splits of up to 6 classes, else the best of 200 seeded random codes."""
+    """k rows of +1 and -1: all splits of up to 6 classes, else the best of 200 seeded random codes (of fewer for over 500 classes)."""
     if k == 1:
         return np.ones((1, 1), np.int8)
     if k <= 6:
         bits = (1 << (k - 1)) - 1
         return np.array([[1 if i == k - 1 or not (m >> i) & 1 else -1 for m in range(1, bits + 1)] for i in range(k)], np.int8)
-    rng, best, far = np.random.default_rng(7), None, -1
-    for _ in range(200):
+    rng, best, far = np.random.default_rng(7), None, -np.inf
+    for _ in range(max(2, min(200, 200 * 500**2 // k**2))):
         code = rng.choice(np.array([-1, 1], np.int8), (k, 10 * int(np.ceil(np.log2(k)))))
-        gaps = (code[:, None, :] != code[None]).sum(2) + 10**6 * np.eye(k, dtype=int)
-        if (near := gaps.min()) > far:
+        alike = code.astype(np.float32) @ code.T.astype(np.float32)
+        np.fill_diagonal(alike, -np.inf)
+        if (near := -alike.max()) > far:
             best, far = code, near
     return best
 
@@ -101,26 +104,28 @@ class Model:
         if len(self.languages) == 1:
             return np.zeros(len(x), int), np.ones(len(x)), np.zeros(len(x), bool)
         margin = np.clip(x @ self.weights + self.intercept, -2, 2)
-        far = np.einsum("nkb,kb->nk", np.exp(-2.0 * margin[:, None, :] * self.code[None]), self.trust)
+        far = np.exp(-2.0 * margin) @ np.where(self.code > 0, self.trust, 0).T + np.exp(2.0 * margin) @ np.where(self.code < 0, self.trust, 0).T
         two = np.partition(far, 1, axis=1)[:, :2]
         p = np.exp(-4.0 * (far - two[:, :1]) / np.maximum(two[:, :1], 1e-9))
         return far.argmin(1), 1 / p.sum(1), (two[:, 1] - two[:, 0]) < self.ambiguous_below * (two[:, 0] + two[:, 1])
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 300, most_languages: int = 200, penalty: float = 0.02) -> Model | None:
-    """Fit on about rows_per_language rows of each of the most_languages largest languages, chosen by a hash of the key.
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 300, most_rows: int = 4000, penalty: float = 0.02) -> Model | None:
+    """Fit on a sample of the labelled rows, of all languages. labelled holds only rows that may train.
 
-    labelled holds only rows that may train. At most
-    rows_per_language x most_languages rows, in expectation, reach the driver.
-    None if there is no labelled row with a letter.
+    In expectation at most max(most_rows, languages) rows reach the driver, as
+    16 KB of features each, and a matrix of rows x rows. None if there is no
+    labelled row with a letter.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = rows.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
+    rows = rows.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("k"))
+    rows = rows.withColumn("u", F.pmod("k", F.lit(1 << 30)) / float(1 << 30))
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"), F.min("u").alias("least")).collect()  # a row for each language
     if not counts:
         return None
-    rate = F.create_map(*(x for r in counts for x in (F.lit(r["l"]), F.lit(rows_per_language / r["count"]))))
-    u = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(u < F.coalesce(rate[F.col(lang)], F.lit(0.0))).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("k"))
+    each = min(rows_per_language, most_rows / len(counts))
+    limits = labelled.sparkSession.createDataFrame([(r["l"], max(each / r["n"], r["least"])) for r in counts], "l string, most double")
+    sample = rows.join(limits, "l").filter("u <= most").groupBy("l", "k").agg(F.first("t").alias("t"))  # rows that repeat train once
 
     def featurise(batches):
         for b in batches:
@@ -133,23 +138,26 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     if not got:
         return None
     languages = sorted({r[0] for r in got})
-    x = np.stack([np.frombuffer(r[2], np.float16) for r in got]).astype(np.float32)
-    y = np.array([languages.index(r[0]) for r in got])
+    number = {name: i for i, name in enumerate(languages)}
+    y = np.array([number[r[0]] for r in got])
+    x = np.empty((len(got), WIDTH), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r[2], np.float16)
+    del got
     code = codewords(len(languages))
     if len(languages) == 1:
         return Model(languages, code, np.zeros((WIDTH, 1), np.float32), np.zeros(1, np.float32), np.ones((1, 1)))
     target = code[y].astype(np.float32)
     balance = (len(y) / (len(languages) * np.bincount(y, minlength=len(languages))))[y]
     mean, centre = x.mean(0), (target * balance[:, None]).sum(0) / balance.sum()
-    z = x - mean
-    gram = z @ z.T
+    x -= mean
+    gram = (x @ x.T).astype(np.float64)
     gram[np.diag_indices_from(gram)] += penalty / balance * len(y) / 100
-    alpha = np.linalg.solve(gram.astype(np.float64), (target - centre).astype(np.float64))
-    weights = (z.T @ alpha).astype(np.float32)
+    alpha = np.linalg.solve(gram, (target - centre).astype(np.float64))
+    weights = (x.T @ alpha.astype(np.float32)).astype(np.float32)
     intercept = (centre - mean @ weights).astype(np.float32)
     # leave-one-out margins of ridge regression, for the bits' weights
-    inverse = np.linalg.inv(gram.astype(np.float64))
-    loo = target - alpha / np.diag(inverse)[:, None]
+    loo = target - alpha / np.diag(np.linalg.inv(gram))[:, None]
     right = np.array([[np.mean(np.sign(loo[y == k, b]) == code[k, b]) for b in range(code.shape[1])] for k in range(len(languages))])
     trust = np.maximum(right, 0.05)
     return Model(languages, code, weights, intercept, trust / trust.sum(1, keepdims=True))

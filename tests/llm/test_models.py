@@ -37,6 +37,41 @@ def test_language_edges(spark):
     assert [r["lang_pred"] for r in lang_id.identify(odd.filter("doc_id = 4"), one).collect()] == ["fr", "fr"]
 
 
+def test_decoding_is_brute_force(spark):
+    """Loss-weighted distances, nearest codeword and ambiguity, bit by bit."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for k in (2, 4, 9):
+        code = lang_id.codewords(k)
+        bits = code.shape[1]
+        trust = rng.random((k, bits))
+        m = lang_id.Model([f"l{i}" for i in range(k)], code, rng.normal(size=(6, bits)), rng.normal(size=bits), trust / trust.sum(1, keepdims=True))
+        x = rng.normal(size=(40, 6)) * 0.3
+        best, score, doubt = m.decode(x)
+        for i in range(len(x)):
+            margins = [min(2.0, max(-2.0, sum(x[i][f] * m.weights[f][b] for f in range(6)) + m.intercept[b])) for b in range(bits)]
+            far = [sum(m.trust[c][b] * math.exp(-2 * margins[b] * code[c][b]) for b in range(bits)) for c in range(k)]
+            one, two = sorted(far)[:2]
+            assert best[i] == far.index(one) and bool(doubt[i]) == (two - one < m.ambiguous_below * (one + two))
+            assert math.isclose(score[i], 1 / sum(math.exp(-4 * (f - one) / one) for f in far), rel_tol=1e-6)
+
+
+def test_every_language_is_learned(spark):
+    """No cap on languages: more than there are rows to train on, and one with a single row."""
+    rng = random.Random(4)
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(12)] for k in range(230)}
+    rows = [(10 * k + j, " ".join(rng.choice(words[k]) for _ in range(80)), f"x{k:03d}") for k in range(230) for j in range(1 if k == 7 else 3)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string")
+    model = lang_id.train(docs, most_rows=300)
+    assert model.languages == [f"x{k:03d}" for k in range(230)]
+    new = spark.createDataFrame([(k, " ".join(rng.choice(words[k]) for _ in range(80)), f"x{k:03d}") for k in range(230)], "doc_id long, text string, lang string")
+    got = lang_id.identify(new, model, keep=("lang",)).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.9 * len(got)
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 5, 9, 20):
         code = lang_id.codewords(k)
