@@ -217,6 +217,17 @@ def ngram_hashes(words: np.ndarray, bounds: np.ndarray, n: int, short: bool = Fa
     return got, b
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Ascending numbers as compressed planes of the bytes of their differences."""
+    d = np.diff(x, prepend=U64(0))
+    return pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(b: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(U64).ravel(), dtype=U64)
+
+
 def trim() -> None:
     """Gives freed memory of this worker back to the system, where the C library can; workers live on between tasks."""
     pa.default_memory_pool().release_unused()

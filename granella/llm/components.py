@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granella.llm.common import written
+from granella.llm.common import discard, written
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     now = written(_distinct(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges", tasks_per_slot=4)
     state = _state(now)
     for _ in range(most_rounds if state[0] else 0):
-        now = written(_small_star(_large_star(now)), "edges", tasks_per_slot=4)
+        last, now = now, written(_small_star(_large_star(now)), "edges", tasks_per_slot=4)
+        discard(last)
         if (next_state := _state(now)) == state:
             break
         state = next_state

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granella.llm.common import U64, buffers, ngram_hashes, spans, tidy, trim, word_hashes, written
+from granella.llm.common import U64, buffers, ngram_hashes, pack, spans, tidy, trim, unpack, word_hashes, written
 
 GROUP_BYTES = 4 << 20
 #: Groups ask shards themselves up to so many shards, and through relays beyond.
@@ -53,17 +53,6 @@ _REQUEST = "asker bigint, cell int, n int, total bigint, size bigint, hashes bin
 _ANSWER = "asker bigint, cell int, n int, total bigint, size bigint, counts binary"
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Ascending numbers as compressed planes of the bytes of their differences."""
-    d = np.diff(x, prepend=U64(0))
-    return pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(b: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(U64).ravel(), dtype=U64)
-
-
 def _pack_counts(c: np.ndarray) -> bytes:
     """Counts as one byte each, and eight more for those of 255 or over."""
     large = c[c >= 255].astype(U64)
@@ -144,7 +133,7 @@ class _Rows:
         """Ascending hashes u with their counts c, a row for each range of the hash that is not empty."""
         cell, at = _cells(u, cells)
         for s, a, b in zip(cell.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-            self.rows.append((asker, s, n, int(c[a:b].sum()), b - a, _pack(u[a:b]), _pack_counts(c[a:b])))
+            self.rows.append((asker, s, n, int(c[a:b].sum()), b - a, pack(u[a:b]), _pack_counts(c[a:b])))
 
     def batch(self) -> pa.RecordBatch:
         return _batch(self.rows, 7)
@@ -202,7 +191,7 @@ def _shard(table: pa.Table) -> pa.Table:
     del table
     out = []
     for n, rows in held.items():
-        _, total, number = _summed([_unpack(r[4], r[3]) for r in rows], [_unpack_counts(r[5], r[3]) for r in rows])
+        _, total, number = _summed([unpack(r[4], r[3]) for r in rows], [_unpack_counts(r[5], r[3]) for r in rows])
         end = 0
         for asker, cell, own, size, _, _ in rows:
             out.append((asker, cell, n, own, size, _pack_counts(total[number[end : end + size]])))
@@ -223,7 +212,7 @@ def _answers(requests: DataFrame, groups: int, shards: int, direct: int) -> Data
     def ask(table: pa.Table) -> pa.Table:
         out = _Rows()
         for n, rows in _by_order(table, "size", "hashes", "counts").items():
-            u, c, _ = _summed([_unpack(r[1], r[0]) for r in rows], [_unpack_counts(r[2], r[0]) for r in rows])
+            u, c, _ = _summed([unpack(r[1], r[0]) for r in rows], [_unpack_counts(r[2], r[0]) for r in rows])
             out.add(table.column("relay")[0].as_py(), n, u, c, lanes * subs)
         trim()
         return pa.Table.from_batches([out.batch()])
@@ -232,7 +221,7 @@ def _answers(requests: DataFrame, groups: int, shards: int, direct: int) -> Data
         answers = {n: np.concatenate([_unpack_counts(c, size) for _, size, c in sorted(rows, key=lambda r: r[0])]) for n, rows in _by_order(told, "cell", "size", "counts").items()}
         out = []
         for n, rows in _by_order(asked, "asker", "cell", "total", "size", "hashes").items():
-            hashes = [_unpack(r[4], r[3]) for r in rows]
+            hashes = [unpack(r[4], r[3]) for r in rows]
             u = np.unique(np.concatenate(hashes))
             out += [(*r[:2], n, r[2], r[3], _pack_counts(answers[n][np.searchsorted(u, h)])) for r, h in zip(rows, hashes, strict=True)]
         trim()
