@@ -92,6 +92,14 @@ def discard(*tables: DataFrame) -> None:
             files.delete(folder, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with so many underscores that no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 8 MB for this session, unless another size was set: rows of text are large, and both sides hold whole batches."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granella.llm.common import buffers, spans, tidy, trim
+from granella.llm.common import buffers, free_name, spans, tidy, trim
 
 UNKNOWN = "und"
 BITS = 12
@@ -169,6 +169,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
     if model is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits x WIDTH numbers at most
+    has = free_name([*keep, text], "letter")
 
     def run(batches):
         m = sent.value
@@ -179,7 +180,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
                     to = min(at + 512, hi)
                     x = features(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
                     k, score, doubt = m.decode(x)
-                    ok = b.column("_letter").slice(at, to - at).to_numpy(zero_copy_only=False).astype(bool)
+                    ok = b.column(has).slice(at, to - at).to_numpy(zero_copy_only=False).astype(bool)
                     names = np.array([*m.languages, UNKNOWN], object)
                     yield pa.RecordBatch.from_arrays(
                         [*(b.column(c).slice(at, to - at) for c in keep), pa.array(names[np.where(ok, k, len(m.languages))], pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(doubt & ok)],
@@ -187,7 +188,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
                     )
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, ambiguous boolean"])
-    return docs.select(*dict.fromkeys([*keep, text]), letter.alias("_letter")).mapInArrow(tidy(run), schema)
+    return docs.select(*dict.fromkeys([*keep, text]), letter.alias(has)).mapInArrow(tidy(run), schema)
 
 
 def with_language(docs: DataFrame, model: Model | None, text: str = "text", out: str = "language") -> DataFrame:

@@ -25,8 +25,8 @@ How that is spread over a cluster:
 4. Candidates are verified with their whole sets, by binary probes: whether a
    set stands in an inverted list is asked of the set instead, which is the same
    question, and the long lists need not be built. First each node's most frequent
-   partner is verified; what is linked is one class from then on, and only
-   candidates of different classes are verified after that.
+   partner is verified; what is linked is one class from then on. Then the other
+   candidates are, as far as their ends are of different classes.
 5. Lists that turn out to hold over ``longest`` entries (near copies by the
    hundred) are long lists too: they aren't counted, and the needed count falls by
    as many as both sets have of them. Each entry meets ``centres`` entries of its
@@ -58,7 +58,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granella.llm.common import U64, buffers, discard, mix, ngram_hashes, pack, signed, spans, tidy, unpack, word_hashes, written
+from granella.llm.common import U64, buffers, discard, free_name, mix, ngram_hashes, pack, signed, spans, tidy, unpack, word_hashes, written
 from granella.llm.components import components
 
 _COUNTERS = 1 << 14
@@ -547,16 +547,19 @@ def _named(docs: DataFrame, text: str, key: str, n: int, num: int, den: int, lon
         entries = _to_shards(entries, shards, lanes, max(1, shards // (16 * lanes)))
     merged = written(_merge(entries, shards, num, den, levels, longest, centres), "merged", tasks_per_slot=16)
     pairs = written(_candidates(merged, num, den, centres, bool((known.parts(_every_bucket(bits)) > 1).any())), "pairs", tasks_per_slot=4)
+    verified = lambda some: _verified(docs, some, members, text, key, n, num, den, names)
     first = written(_best(pairs), "pairs", tasks_per_slot=4)
-    links = _verified(docs, first, members, text, key, n, num, den, names)
+    links = verified(first)
     roots = components(links)
-    rest = _apart(pairs, roots)
+    rest = written(_apart(pairs.join(_best(pairs), ["a", "b"], "left_anti"), roots), "pairs", tasks_per_slot=4)
+    if not rest.isEmpty():
+        links = links.union(verified(rest))
+        roots = components(links)
     long = merged.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("tok"), F.col("x").alias("size"), F.col("y").alias("pos"))
     if not long.isEmpty():
-        rest = rest.union(_across(_mixed(long, roots, members), num, den)).distinct()
-    rest = written(rest.join(_best(pairs), ["a", "b"], "left_anti"), "pairs", tasks_per_slot=4)
-    if not rest.isEmpty():
-        roots = components(links.union(_verified(docs, rest, members, text, key, n, num, den, names)))
+        more = written(_across(_mixed(long, roots, members), num, den).join(pairs, ["a", "b"], "left_anti"), "pairs", tasks_per_slot=4)
+        if not more.isEmpty():
+            roots = components(links.union(verified(more)))
     discard(merged, pairs)
     own = F.when(F.col("k").isNotNull(), F.struct("k", "h"))
     nodes = members.filter("node is not null").groupBy("node").agg(F.min(own).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -590,14 +593,6 @@ def survivors(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int =
     if repeated.isEmpty():
         return out
     alone = F.col(key).isNull() | ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    name = _free(docs.columns)
+    name = free_name(docs.columns, "row_hash")
     once = out.filter(~alone).withColumn(name, row).dropDuplicates([key, name]).select(*docs.columns)
     return once.union(out.filter(alone))
-
-
-def _free(columns: list[str]) -> str:
-    """A column name that isn't taken."""
-    name = "row_hash"
-    while name.lower() in {c.lower() for c in columns}:
-        name += "_"
-    return name
