@@ -97,6 +97,105 @@ FROM doc LEFT JOIN total USING (r)
 """
 
 
+#: Greedy lengths of a blank and a word's bytes, as hexadecimal digits, step by step; a word that can't be covered has one token.
+_OP7 = rf"""
+WITH RECURSIVE piece AS (SELECT DISTINCT hex(from_base64(split_part(line, ' ', 1))) AS h FROM read_csv('{token_counts.DEFAULT_VOCABULARY}', columns = {{'line': 'VARCHAR'}}, delim = '\t', header = false, quote = '', escape = '') WHERE line <> ''),
+size AS (SELECT DISTINCT len(h) AS n FROM piece),
+doc AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x1C-\x20\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+') AS w FROM documents),
+token AS (SELECT r, unnest(w) AS w FROM doc),
+rest AS (
+  SELECT w, '20' || hex(encode(w)) AS h, 0 AS n FROM (SELECT DISTINCT w FROM token)
+  UNION ALL
+  SELECT w, substr(h, best + 1), n + 1 FROM (SELECT rest.w, rest.h, rest.n, max(size.n) AS best FROM rest JOIN size ON size.n <= len(rest.h) JOIN piece ON piece.h = substr(rest.h, 1, size.n) WHERE rest.h <> '' GROUP BY rest.w, rest.h, rest.n)
+),
+length AS (SELECT w, coalesce(max(n) FILTER (WHERE h = ''), 1) AS n FROM rest GROUP BY w),
+total AS (SELECT r, count(*) AS words, sum(n) AS tokens FROM token JOIN length USING (w) GROUP BY r)
+SELECT doc_id, coalesce(words, 0) AS n_words, CAST(coalesce(tokens, 0) AS BIGINT) AS n_tokens FROM doc LEFT JOIN total USING (r)
+"""
+
+#: Links by counting common shingles, classes by carrying the least id along links.
+_OP10 = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+grams AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN generate_series(1, len(w) - 4)]) END AS g FROM doc),
+size AS (SELECT doc_id, len(g) AS n FROM grams),
+entry AS (SELECT doc_id, unnest(g) AS g FROM grams),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM entry x JOIN entry y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS (SELECT a, b FROM common JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 100 * common.n >= 75 * (sa.n + sb.n - common.n)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT size.doc_id, size.n AS n_shingles, coalesce(least(least.b, size.doc_id), size.doc_id) AS component_id FROM size LEFT JOIN least ON least.a = size.doc_id
+"""
+
+
+def _op5() -> str:
+    """Base kinds by their plain patterns; secrets as whole runs; accounts from each head by the ends that leave 1 modulo 97."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "secret": r"[A-Za-z0-9]+",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum([CASE WHEN i % 2 = 0 THEN CAST(reverse({digits})[i] AS INT) * 2 - CASE WHEN reverse({digits})[i] > '4' THEN 9 ELSE 0 END ELSE CAST(reverse({digits})[i] AS INT) END FOR i IN generate_series(1, len({digits}))]) % 10 = 0"
+    checks = {
+        "email": "true",
+        "ip": "len(list_filter(str_split(m, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(p AS HUGEINT), 0) > 255)) = 0",
+        "card": f"CASE WHEN len({digits}) BETWEEN 12 AND 19 THEN {luhn} ELSE false END",
+        "phone": f"len({digits}) BETWEEN 9 AND 15",
+        "secret": "regexp_full_match(m, 'AKIA[A-Z0-9]{16}|[0-9A-Fa-f]{40}')",
+    }
+
+    def scored(kind: str, before: str) -> str:
+        return f"{pii.SCORES[kind]} + CASE WHEN regexp_matches({before}, '{pii.UP[kind]}') THEN 0.1 ELSE 0 END - CASE WHEN regexp_matches({before}, '{pii.DOWN[kind]}') THEN 0.3 ELSE 0 END >= 0.5"
+
+    parts = []
+    for rank, kind in enumerate(pii.KINDS):
+        if kind == "iban":
+            continue
+        keep = checks[kind] + ("" if kind in pii.BASE else f" AND {scored(kind, 'context')}")
+        parts.append(
+            f"{kind}_m AS (SELECT r, unnest(regexp_extract_all(t, '{plain[kind]}')) AS m, unnest(list_slice(regexp_split_to_array(t, '{plain[kind]}'), 1, len(regexp_extract_all(t, '{plain[kind]}')))) AS g, unnest(generate_series(1, len(regexp_extract_all(t, '{plain[kind]}')))) AS i FROM doc),\n"
+            f"{kind}_p AS (SELECT r, m, i, right(g, {pii.NEAR}) AS before, sum(len(g) + len(m)) OVER (PARTITION BY r ORDER BY i) AS z FROM {kind}_m),\n"
+        )
+        if kind == "secret":  # what stands before goes back to the last key, not to the last run
+            parts.append(
+                f"secret_k AS (SELECT p.r, m, z, coalesce(lag(z) OVER (PARTITION BY p.r ORDER BY i), 0) AS last FROM secret_p p WHERE {checks[kind]}),\n"
+                f"secret_s AS (SELECT k.r, 'secret' AS kind, {rank} AS rank, z - len(m) AS a, z FROM secret_k k JOIN doc USING (r) WHERE {scored('secret', f'right(doc.t[CAST(last AS BIGINT) + 1:CAST(z - len(m) AS BIGINT)], {pii.NEAR})')}),\n"
+            )
+        else:
+            parts.append(f"{kind}_s AS (SELECT r, '{kind}' AS kind, {rank} AS rank, z - len(m) AS a, z FROM {kind}_p WHERE {keep}),\n")
+    lengths = " OR ".join(f"(n = {n} AND country IN ({', '.join(repr(c) for c in names.split())}))" for n, names in pii.IBAN_LENGTHS.items())
+    return (
+        "WITH RECURSIVE doc AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),\n"
+        + "".join(parts)
+        + f"""head AS (SELECT r, z - len(m) AS a, row_number() OVER (PARTITION BY r ORDER BY z) AS i FROM secret_p WHERE regexp_matches(m, '^[A-Z]{{2}}[0-9]{{2}}')),
+candidate AS (SELECT r, a, regexp_extract(doc.t[CAST(a AS BIGINT) + 1:CAST(a AS BIGINT) + 80], '^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}[A-Za-z0-9]?') AS run, head.i FROM head JOIN doc USING (r)),
+proposed AS (SELECT r, a, run, row_number() OVER (PARTITION BY r ORDER BY a) AS i, coalesce(lag(a) OVER (PARTITION BY r ORDER BY a) + 4, 0) AS last FROM candidate WHERE run <> ''),
+ends AS (SELECT r, a, i, last, unnest([array_to_string(str_split(run, ' ')[1:k], ' ') FOR k IN generate_series(1, len(str_split(run, ' ')))]) AS h FROM proposed),
+bare AS (SELECT r, a, i, last, h, replace(h, ' ', '') AS s FROM ends),
+possible AS (SELECT r, a, i, last, h, len(s) AS n, left(s, 2) AS country FROM bare WHERE len(s) BETWEEN 15 AND 34 AND NOT regexp_matches(s, '[a-z]') AND list_reduce(list_prepend(0, [CAST(CASE WHEN c >= 'A' THEN ord(c) + 45 ELSE ord(c) - 48 END AS BIGINT) FOR c IN str_split(s[5:] || s[1:4], '')]), lambda x, y: CASE WHEN y >= 100 THEN (x * 100 + y - 100) % 97 ELSE (x * 10 + y) % 97 END) = 1),
+account AS (SELECT r, a, i, last, arg_max(h, (CASE WHEN {lengths} THEN 1 ELSE 0 END) * 1000 + len(h)) AS h FROM possible GROUP BY r, a, i, last),
+numbered AS (SELECT r, a, a + len(h) AS z, last, row_number() OVER (PARTITION BY r ORDER BY a) AS i FROM account),
+chosen AS (
+  SELECT r, i, z AS free, a, z, last, true AS ok FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT n.r, n.i, CASE WHEN n.a >= c.free THEN n.z ELSE c.free END, n.a, n.z, n.last, n.a >= c.free FROM chosen c JOIN numbered n ON n.r = c.r AND n.i = c.i + 1
+),
+iban_s AS (SELECT r, 'iban' AS kind, 4 AS rank, a, z FROM chosen JOIN doc USING (r) WHERE ok AND {scored('iban', f'right(doc.t[CAST(last AS BIGINT) + 1:CAST(a AS BIGINT)], {pii.NEAR})')}),
+span AS ({' UNION ALL '.join(f'SELECT * FROM {k}_s' for k in pii.KINDS)}),
+joined AS (
+  SELECT r, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.BASE)},
+    string_agg(kind || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(z AS BIGINT) AS VARCHAR), ',' ORDER BY a, rank) FILTER (WHERE rank < 4) AS base,
+    string_agg(kind || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(z AS BIGINT) AS VARCHAR), ',' ORDER BY a, rank) AS spans
+  FROM span GROUP BY r
+)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM doc LEFT JOIN joined USING (r)
+"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express on whole tables."""
-    return {"op1_lm_scoring": _OP1}
+    return {"op1_lm_scoring": _OP1, "op5_pii": _op5(), "op7_token_counts": _OP7, "op10_ngram_jaccard_join": _OP10}
