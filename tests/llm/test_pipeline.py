@@ -1,4 +1,6 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from granella.llm.common import written
 
 
@@ -25,3 +27,27 @@ def test_nulls(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, sf), name)
     assert {r["doc_id"] for r in docs.collect()} == {2, 3}
+
+
+def test_clashing_names_and_no_labels(spark, sf):
+    """Columns that are named like a stage's own pass unchanged; without labels rows with a letter stay."""
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = base.withColumns({"language": F.col("doc_id") * 2, "spans": F.lit("own"), "row_hash": F.col("doc_id") + 1})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf), name)
+        assert docs.columns == [*base.columns, "language", "spans", "row_hash"]
+        assert docs.filter("language <> doc_id * 2 or spans <> 'own' or row_hash <> doc_id + 1").count() == 0
+    blank = base.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, blank, sf).count() == base.filter(F.col("text").rlike(r"\p{L}")).count()
+
+
+def test_very_long_and_repeated_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    text = "the house of the river is a long story and it was told to all of us. " * 12000
+    more = spark.createDataFrame([(10**6, text, "en", "s", len(text)), (10**6, text, "en", "s", len(text)), (10**6 + 1, text + "end", "en", "s", len(text))], docs.schema)
+    docs = docs.union(more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf), name)
+    assert [r["doc_id"] for r in docs.filter("doc_id >= 1000000").collect()] == [10**6]
+    out = corpus_pipeline.encoding(spark, docs, sf)
+    assert out.filter("not round_trip").count() == 0
