@@ -104,19 +104,18 @@ class Lattices:
     def __init__(self, pieces: Pieces, alpha: float):
         self.pieces = pieces
         self.longest = max((len(p) for p in pieces.names), default=1)
-        self.mask = np.zeros(1 << _BITS, np.uint8)  # 1: a piece begins so, 2: a piece
-        by: dict[int, list] = {}
-        for name, i, log in zip(pieces.names, pieces.ids, pieces.logs, strict=True):
+        self.mask = np.zeros(1 << _BITS, np.uint8)  # 1: a piece begins so, 2: a piece, 4: more than one
+        self.slot = np.zeros(1 << _BITS, np.int32)  # the piece there
+        self.full, self.piece_ids, self.weight = np.zeros(len(pieces.names), U64), np.array(pieces.ids, np.int32), np.exp(alpha * np.array(pieces.logs, float))
+        for n, name in enumerate(pieces.names):
             codes = np.array([ord(c) for c in name], np.uint32)
             h = self.hashes(np.concatenate(([U64(0)], self.sums(codes))), np.zeros(len(codes), np.int64), np.arange(1, len(codes) + 1))
-            by.setdefault(len(codes), []).append((int(h[-1]), i, math.exp(alpha * log)))
             at = (h >> U64(64 - _BITS)).astype(np.int64)
+            self.full[n] = h[-1]
             self.mask[at] |= 1
-            self.mask[at[-1]] |= 2
-        self.tables = {}
-        for n, rows in by.items():
-            rows.sort()
-            self.tables[n] = (np.array([r[0] for r in rows], U64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows]))
+            self.mask[at[-1]] |= 4 if self.mask[at[-1]] & 2 else 2
+            self.slot[at[-1]] = n
+        self.order = np.argsort(self.full)
         self.spelled = math.exp(alpha * (min(pieces.logs, default=0.0) - 1))
         self.byte_ids = np.array(pieces.byte_ids, np.int32)
 
@@ -139,34 +138,34 @@ class Lattices:
         self.at = np.zeros(n + 1, np.int64)
         np.cumsum(size + 1, out=self.at[1:])
         total = int(self.at[-1])
-        unit = np.repeat(np.arange(n), size + 1)
-        place = np.arange(total) - self.at[:-1][unit]
-        left = size[unit] - place
+        left = np.repeat(self.at[1:] - 1, size + 1) - np.arange(total)
+        left = left.astype(np.int32)  # characters to the unit's end
         c = np.zeros(total, np.uint32)
         inner = left > 0
-        c[inner] = codes[(first[unit] + place)[inner]]
+        c[inner] = codes[(np.repeat(first - self.at[:-1], size + 1) + np.arange(total))[inner]]
         self.codes, self.left = c, left
         acc = np.concatenate(([U64(0)], self.sums(c)))
         bare, parts = inner.copy(), []
         begins = np.flatnonzero(inner).astype(np.int32)
         for k in range(1, self.longest + 1):
             h = self.hashes(acc, begins, k)
-            what = self.mask[(h >> U64(64 - _BITS)).astype(np.int64)]
-            if k in self.tables:
-                known, known_ids, weight = self.tables[k]
-                some = what >= 2
-                f, own = begins[some], h[some]
-                j = np.searchsorted(known, own)
-                j[j == len(known)] = 0
-                ok = known[j] == own
-                parts.append((f[ok], np.full(int(ok.sum()), k, np.int32), known_ids[j[ok]], weight[j[ok]]))
+            at = (h >> U64(64 - _BITS)).astype(np.int32)
+            what = self.mask[at]
+            some = np.flatnonzero(what >= 2)
+            if len(some):
+                f, own, piece = begins[some], h[some], self.slot[at[some]]
+                shared = np.flatnonzero(what[some] >= 4)
+                piece[shared] = self.order[np.minimum(np.searchsorted(self.full, own[shared], sorter=self.order), len(self.order) - 1)]
+                ok = self.full[piece] == own
+                f, piece = f[ok], piece[ok]
+                parts.append((f, np.full(len(f), k, np.int32), self.piece_ids[piece], self.weight[piece]))
                 if k == 1:
-                    bare[f[ok]] = False
+                    bare[f] = False
             begins = begins[(what > 0) & (left[begins] > k)]
         f = np.flatnonzero(bare).astype(np.int32)
         parts.append((f, np.ones(len(f), np.int32), np.where(c[f] < 128, self.byte_ids[np.minimum(c[f], 127)], -2), np.full(len(f), self.spelled)))
-        f, k, ids, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts, acc, begins, unit, place
+        f, k, ids, w = (np.concatenate(x) for x in zip(*reversed(parts), strict=True))  # long pieces, the likelier ones, first
+        del parts, acc, begins
         o = np.argsort(f, kind="stable").astype(np.int32)
         f, k, ids, w = f[o], k[o], ids[o].astype(np.int32), w[o]
         mass = np.zeros(total)
@@ -191,21 +190,23 @@ class Lattices:
         del deep, fd, to, wd
         q = w * mass[f + k] / mass[f]
         if far > PLAIN:
-            q = np.ldexp(q, power[f + k] - power[f])
+            some = np.flatnonzero(depth > PLAIN)
+            q[some] = np.ldexp(q[some], power[(f + k)[some]] - power[f[some]])
         self.source, self.length, self.ids, self.q = f, k, ids, q
-        self.upto = np.cumsum(self.q)
-        self.edge = np.zeros(total + 1, np.int64)
+        self.upto = np.cumsum(q)
+        self.edge = np.zeros(total + 1, np.int32)
         np.cumsum(np.bincount(f, minlength=total), out=self.edge[1:])
+        self.before = np.concatenate(([0.0], self.upto))[self.edge]
 
     def clear(self) -> None:
         """Forgets the units."""
-        for name in ("at", "codes", "left", "source", "length", "ids", "q", "upto", "edge"):
+        for name in ("at", "codes", "left", "source", "length", "ids", "q", "upto", "before", "edge"):
             self.__dict__.pop(name, None)
 
     def draw(self, node: np.ndarray, r: np.ndarray) -> np.ndarray:
         """An edge of each node, by its probability."""
         e = self.edge[node]
-        goal = self.upto[e] - self.q[e] + r
+        goal = self.before[node] + r
         last = self.edge[node + 1] - 1
         on = np.flatnonzero((self.upto[e] <= goal) & (e < last))
         while len(on):
@@ -232,7 +233,8 @@ def _walk(lat: Lattices, doc: np.ndarray, node: np.ndarray, place: np.ndarray, r
     place is a node's character in its text. Nodes come by text and place.
     """
     out = []
-    unit = np.arange(len(node))
+    unit = np.arange(len(node), dtype=np.int32)
+    doc, node, place = doc.astype(np.int32), node.astype(np.int32), place.astype(np.int32)
     while len(node):
         e = lat.draw(node, random(doc, sample, 0, place))
         out.append((unit, doc, place, e))
@@ -240,7 +242,7 @@ def _walk(lat: Lattices, doc: np.ndarray, node: np.ndarray, place: np.ndarray, r
         go = lat.left[node] > k
         unit, doc, node, place = unit[go], doc[go], (node + k)[go], (place + k)[go]
     if not out:
-        z = np.zeros(0, np.int64)
+        z = np.zeros(0, np.int32)
         return z, z, z
     unit, doc, place, e = (np.concatenate(x) for x in zip(*out, strict=True))
     o = np.argsort(unit, kind="stable")  # steps of a unit are in order already
@@ -300,7 +302,7 @@ def _sample_batch(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int):
     n = len(texts)
     bounds = np.searchsorted(first, starts)
     owner = np.repeat(np.arange(n), np.diff(bounds))
-    local = first - starts[:-1][owner]  # a unit's place in its own text
+    local = (first - starts[:-1][owner]).astype(np.int32)  # a unit's place in its own text
     random = _Random(seeds)
     root = -np.log(-np.log(random(np.arange(n), 0, 2, np.zeros(n, np.int64))))
     steps = _walk(lat, owner, lat.at[unit], local, random, 0)
