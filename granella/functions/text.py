@@ -12,10 +12,10 @@ UFS = ("AC", "AL", "AP", "AM", "BA", "CE", "DF", "ES", "GO", "MA", "MT", "MS", "
 
 
 def parse_br_number(s: Column) -> Column:
-    """`8.958,97` is 8958.97; a dot without a comma is a decimal point; what is no number is 0."""
-    t = F.trim(s)
+    """`8.958,97` is 8958.97; a dot without a comma is a decimal point; white space doesn't count; what is no number is 0."""
+    t = F.regexp_replace(s, r"(?U)\s+", "")
     plain = F.when(F.contains(t, F.lit(",")), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(t)
-    return F.coalesce(plain.try_cast("double"), F.lit(0.0))
+    return F.coalesce(F.when(plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), plain.try_cast("double")), F.lit(0.0))
 
 
 def format_brl(v: Column) -> Column:
@@ -39,11 +39,20 @@ def normalise_cnpj(s: Column) -> Column:
     return F.when(F.length(d) == 14, masked).otherwise(F.lit(""))
 
 
+#: A registration behind its label, and alone.
+_CREA = r"(?iU)CREA\s*([A-Z]{2})\s*[-/]?\s*(\d{4,6})\s*[/]?\s*([A-Z])?"
+_CREA_ALONE = r"(?iU)^([A-Z]{2})-?(\d{4,6})([A-Z])?$"
+
+
 def normalise_crea(s: Column) -> Column:
-    """`CREA SP 54321D`, `CREA-SP 54321/D` and glued spellings are `SP-54321/D`, else the empty string."""
-    p = r"(?iU)CREA\W*([A-Z]{2})\W*(\d{4,7})\W*([A-Z])(?![A-Z])"
-    uf, number, letter = (F.regexp_extract(s, p, i) for i in (1, 2, 3))
-    return F.when(F.length(number) > 0, F.concat(F.upper(uf), F.lit("-"), number, F.lit("/"), F.upper(letter))).otherwise(F.lit(""))
+    """`CREA SP 54321/D`, `CREASP-54321D` and `SP54321D` are `SP-54321/D`, without a letter `SP-54321`; else the empty string."""
+    alone = F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", ""), r"(?i)^CREA", "")
+
+    def form(t: Column, pattern: str) -> Column:
+        uf, number, letter = (F.regexp_extract(t, pattern, i) for i in (1, 2, 3))
+        return F.when(number != "", F.concat(F.upper(uf), F.lit("-"), number, F.when(letter != "", F.concat(F.lit("/"), F.upper(letter))).otherwise("")))
+
+    return F.coalesce(form(s, _CREA), form(alone, _CREA_ALONE), F.lit(""))
 
 
 def city_uf(city: Column, uf: Column) -> Column:
@@ -61,47 +70,40 @@ def format_date(day: Column, month: Column, year: Column) -> Column:
     return F.format_string("%02d/%02d/%04d", day.cast("int"), month.cast("int"), year.cast("int"))
 
 
-def ocr_floor_number(n: Column) -> Column:
-    """A degree sign read as 2: numbers of 100 or more that end in 2 lose the last digit."""
-    return F.when((n >= 100) & (n % 10 == 2), F.floor(n / 10)).otherwise(n).cast("int")
+def floor_number(s: Column) -> Column:
+    """A floor's number: `202` is 20, as the degree sign is often read as a 2."""
+    n = s.try_cast("int")
+    return F.when((n >= 100) & F.endswith(s, F.lit("2")), F.substring(s, F.lit(1), F.length(s) - 1).try_cast("int")).otherwise(n)
 
 
-def permit_score(s: Column) -> Column:
-    """Points of a permit number's spelling: slash, year, length; glued digits and letters cost."""
-    d = F.length(digits(s))
-    return (
-        F.when(s.rlike(r"[0-9]/[0-9]"), 10).otherwise(0)
-        + F.when(s.rlike(r"/(19|20)[0-9]{2}$"), 5).otherwise(0)
-        + F.when(d.between(4, 10), 3).otherwise(-3)
-        - F.when(s.rlike(r"[A-Za-z]"), 4).otherwise(0)
+def admin_number_score(s: Column) -> Column:
+    """Points of an administrative number's spelling: number and year are best, long numbers without a slash are glued ones; -1 for none."""
+    v = F.regexp_replace(F.trim(s), r"(?U)\s+", "")
+    slash, n = F.contains(v, F.lit("/")), F.length(v)
+    points = (
+        F.when(v.rlike(r"/20\d{2}"), 25).otherwise(0)
+        + F.when(v.rlike(r"^\d{1,6}/\d{4}$"), 20).when(slash & (n <= 24), 12).when(v.rlike(r"^\d{3,6}$"), 8).otherwise(0)
+        - F.when((n >= 9) & ~slash, 20).otherwise(0)
+        + F.when(v.rlike(r"^\d+\.\d+\.\d+/"), 15).otherwise(0)
     )
-
-
-def squeeze_repeats(s: Column) -> Column:
-    """Capital letters four or more in a row leave one; symbols and words repeated three or more times leave one."""
-    s = F.regexp_replace(s, r"([A-ZÀ-Ý])\1{3,}", "$1")
-    s = F.regexp_replace(s, r"([^\p{L}\p{N}\s])\1{2,}", "$1")
-    return F.regexp_replace(s, r"(?U)\b(\w+)(?:\s+\1\b){2,}", "$1")
+    return F.when(v == "", -1).otherwise(points)
 
 
 #: Ordered spelling repairs after character recognition.
 OCR_REPAIRS = (
-    (r"(?iU)\bAREA\b", "ÁREA"),
-    (r"(?iU)\bALVARA\b", "ALVARÁ"),
-    (r"(?iU)\bEDIFICIO\b", "EDIFÍCIO"),
-    (r"(?iU)\bPAVIMENT0\b", "PAVIMENTO"),
-    (r"(?iU)\bTERRE0\b", "TÉRREO"),
-    (r"(?iU)\bTERREO\b", "TÉRREO"),
-    (r"(?iU)\bC0BERTURA\b", "COBERTURA"),
-    (r"(?iU)\bMUNICIPI0\b", "MUNICÍPIO"),
-    (r"(?iU)\bCONSTRUCAO\b", "CONSTRUÇÃO"),
-    (r"(?iU)([0-9])\s*M2(?![0-9])", "$1 m²"),
-)
+    (r"\bPROJEGAO\b", "PROJEÇÃO"), (r"\bPROJEGOES\b", "PROJEÇÕES"), (r"\bCONSTRUGAO\b", "CONSTRUÇÃO"), (r"\bCONSTRUGOES\b", "CONSTRUÇÕES"), (r"\bCIRCULAGAO\b", "CIRCULAÇÃO"), (r"\bCIRCULAGOES\b", "CIRCULAÇÕES"),
+    (r"\bEDIFICAGAO\b", "EDIFICAÇÃO"), (r"\bEDIFICAGOES\b", "EDIFICAÇÕES"), (r"\bAPROVAGAO\b", "APROVAÇÃO"), (r"\bINSCRIGAO\b", "INSCRIÇÃO"), (r"\bOCUPAGAO\b", "OCUPAÇÃO"), (r"\bINSTALAGAO\b", "INSTALAÇÃO"),
+    (r"\bINSTALAGOES\b", "INSTALAÇÕES"), (r"\bILUMINAGAO\b", "ILUMINAÇÃO"), (r"\bVENTILAGAO\b", "VENTILAÇÃO"), (r"\bPRESSURIZAGAO\b", "PRESSURIZAÇÃO"), (r"\bAGAO\b", "AÇÃO"), (r"\bGAO\b", "ÇÃO"),
+    (r"\bAREA\b", "ÁREA"), (r"\bAREAS\b", "ÁREAS"), (r"\bTERREO\b", "TÉRREO"), (r"\bSUBSOLO\b", "SUBSOLO"), (r"\bPAVIMENTO\b", "PAVIMENTO"), (r"\bMAQUINAS\b", "MÁQUINAS"), (r"\bD AGUA\b", "D'ÁGUA"),
+    (r"\bDAGUA\b", "D'ÁGUA"), (r"\bAGUA\b", "ÁGUA"), (r"\bGAS\b", "GÁS"), (r"\bMAO DE OBRA\b", "MÃO DE OBRA"), (r"\bMAOOBRA\b", "MÃO DE OBRA"), (r"\bRESPONSAVEL\b", "RESPONSÁVEL"), (r"\bTECNICO\b", "TÉCNICO"),
+    (r"\bPAV\b(?!\.)", "PAV."), (r"\bN[Iİ]VEL\b", "NÍVEL"), (r"M\s*[2²]\b", "m²"), (r"\bM2\b", "m²"),
+)
 
 
 def repair_ocr(s: Column) -> Column:
-    """Repairs one after the other, then single blanks."""
-    return squeeze_spaces(reduce(lambda c, r: F.regexp_replace(c, *r), OCR_REPAIRS, s))
+    """Repairs one after the other, then single blanks, one empty line at most, and no blanks around line breaks."""
+    s = reduce(lambda c, r: F.regexp_replace(c, f"(?iU){r[0]}", r[1]), OCR_REPAIRS, s)
+    return reduce(lambda c, r: F.regexp_replace(c, *r), (("[ \\t]{2,}", " "), ("\\n{3,}", "\n\n"), (" +\\n", "\n"), ("\\n +", "\n")), s)
 
 
 def escape_xml(s: Column) -> Column:
@@ -115,13 +117,6 @@ def visual_cut(s: Column, limit: int = 20) -> Column:
     return F.when(F.length(s) > limit, F.concat(F.left(s, F.lit(limit - 3)), F.lit("..."))).otherwise(s)
 
 
-def filled(v: Column, kind: str) -> Column:
-    """Truth of a value: false, 0, blank and null are missing."""
-    if kind == "string":
-        return F.coalesce(F.trim(v) != "", F.lit(False))
-    return F.coalesce(v != F.lit(False if kind == "boolean" else 0), F.lit(False))
-
-
 def cell_ref(sheet: Column, column: Column, row: Column) -> Column:
     """`Sheet!C17` from a column number of up to 702 and a row number."""
     low = F.chr(F.lit(65) + (column - 1) % 26)

@@ -1,20 +1,11 @@
-"""Workbooks as a relation of cells: staging, formula protection, audit, formula inventory."""
+"""Formulas of workbooks, as a relation of cells."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granella.functions.text import cell_ref, equivalent, is_formula
-
-
-def table_cells(rows: DataFrame, columns: dict[str, int], sheet: str, first_row: int, most_rows: int, order: list[str], key: str = "doc") -> DataFrame:
-    """(doc, sheet, row, col, ref, value) of a table's first rows, each column at its number; blanks are null."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    numbered = rows.withColumn("_n", n).filter(F.col("_n") <= most_rows)
-    pairs = F.explode(F.array(*(F.struct(F.lit(no).alias("col"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("value")) for c, no in columns.items())))
-    out = numbered.select(key, (F.col("_n") + first_row - 1).cast("int").alias("row"), pairs.alias("x")).select(key, "row", "x.col", "x.value")
-    return out.select(key, F.lit(sheet).alias("sheet"), "row", "col", cell_ref(F.lit(sheet), F.col("col"), F.col("row")).alias("ref"), "value")
+from granella.functions.text import is_formula
 
 
 def without_formulas(cells: DataFrame, template: DataFrame) -> DataFrame:
@@ -22,12 +13,6 @@ def without_formulas(cells: DataFrame, template: DataFrame) -> DataFrame:
     return cells.join(template.filter(is_formula(F.col("value"))).select("ref"), "ref", "left_anti")
 
 
-def audit(expected: DataFrame, found: DataFrame, tolerance: float = 0.001, key: str = "doc") -> DataFrame:
-    """(doc, ref, expected, found) of cells that differ."""
-    both = expected.select(key, "ref", F.col("value").alias("expected")).join(found.select(key, "ref", F.col("value").alias("found")), [key, "ref"], "left")
-    return both.filter(~equivalent(F.col("expected"), F.col("found"), tolerance))
-
-
 def formula_inventory(cells: DataFrame) -> DataFrame:
     """Formulas by sheet, and in all (sheet null)."""
     return cells.filter(is_formula(F.col("value"))).rollup("sheet").agg(F.count("*").alias("formulas"))

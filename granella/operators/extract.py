@@ -1,25 +1,24 @@
-"""Field extraction from line relations (doc, line_no, line)."""
+"""Relations of what documents (doc, text) state: units, floors, parking; and choices among candidates (doc, line_no, ..)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granella.functions import patterns as P
 from granella.functions import text as T
+from granella.operators import project as J
 
-UNIT = r"(?iU)\(?\s*1\s*[º°o]?\s*AO\s*([0-9]{1,3})\s*[º°o]?\s*\)?.*?PAV\w*\.?\s*TIPO\s*-\s*([0-9.]+,[0-9]+)?\s*X?\s*([0-9]+)\s*APTOS"
 
+def units(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
+    """Distinct (area, qty) of the unit lines of each document, and the highest floor of its typical floors.
 
-def units(lines: DataFrame, key: str = "doc") -> DataFrame:
-    """Distinct (area, qty) of the unit lines of each document, and the highest floor of their range.
-
-    A quantity without an area goes if the document has the same quantity with one.
+    Only texts that mention units are looked at by line.
     """
-    hit = lines.select(key, *(F.regexp_extract("line", UNIT, i).alias(n) for i, n in ((1, "top"), (2, "area"), (3, "qty")))).filter("qty <> ''")
-    got = hit.select(key, T.parse_br_number(F.col("area")).alias("area"), F.col("qty").cast("int").alias("qty"), T.ocr_floor_number(F.col("top").cast("int")).alias("top"))
-    got = got.groupBy(key, "area", "qty").agg(F.max("top").alias("top"))
-    with_area = F.max(F.when(F.col("area") > 0, 1).otherwise(0)).over(Window.partitionBy(key, "qty"))
-    return got.withColumn("_w", with_area).filter((F.col("area") > 0) | (F.col("_w") == 0)).drop("_w")
+    some = docs.filter(P.has(F.col(text), P.MENTIONS["aptos"])).select(key, P.lines_of(F.col(text)).alias("l"))
+    tops = F.transform(F.filter(F.col("l"), lambda x: P.has(x, P.TYPICAL_LINE)), lambda x: F.zip_with(P.hits(x, P.FLOOR_RANGE, 1), P.hits(x, P.FLOOR_RANGE, 2), lambda a, b: F.greatest(T.floor_number(a), T.floor_number(b))))
+    rows = some.select(key, F.explode(J.units(F.col("l"))).alias("u"), F.coalesce(F.array_max(F.flatten(tops)), F.lit(0)).alias("top"))
+    return rows.select(key, "u.area", "u.qty", "top")
 
 
 def unit_totals(units_: DataFrame, key: str = "doc") -> DataFrame:
@@ -29,30 +28,24 @@ def unit_totals(units_: DataFrame, key: str = "doc") -> DataFrame:
         F.sum("qty").alias("units"),
         F.round(F.sum(F.col("area") * F.col("qty")), 2).alias("area_total"),
         F.max("top").alias("floors"),
-        F.round(F.sum(F.col("area") * F.col("qty")) / F.max("top"), 4).alias("typical_area"),
+        F.when(F.max("top") > 0, F.round(F.round(F.sum(F.col("area") * F.col("qty")), 3) / F.max("top"), 3)).alias("typical_area"),
     )
 
 
-def floor_count(lines: DataFrame, key: str = "doc") -> DataFrame:
-    """Highest bound of the first range line, plus one for a ground floor and one for a roof mentioned anywhere; 0 without a range."""
-    top = T.ocr_floor_number(F.regexp_extract("line", r"1º AO ([0-9]+)", 1).try_cast("int"))
-    marked = lines.select(key, "line_no", top.alias("top"), F.col("line").rlike(r"(?iU)T[EÉ]RREO").alias("ground"), F.col("line").rlike(r"(?i)COBERTURA").alias("roof"))
-    rows = marked.groupBy(key).agg(F.min_by("top", F.when(F.col("top").isNotNull(), F.col("line_no"))).alias("base"), F.max(F.col("ground").cast("int")).alias("ground"), F.max(F.col("roof").cast("int")).alias("roof"))
-    return rows.select(key, F.when(F.col("base").isNull(), 0).otherwise(F.col("base") + F.col("ground") + F.col("roof")).cast("int").alias("floors"))
+def floor_count(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
+    return docs.select(key, J.floor_count(F.col(text)).alias("floors"))
 
 
-def parking(lines: DataFrame, key: str = "doc") -> DataFrame:
-    """Most common and double spaces that a line states, and the text of both."""
-    n = lambda p: F.coalesce(F.max(F.regexp_extract("line", p, 1).try_cast("int")), F.lit(0))
-    got = lines.groupBy(key).agg(n(r"(?i)VAGAS COMUNS:?\s*([0-9]+)").alias("common"), n(r"(?i)VAGAS DUPLAS:?\s*([0-9]+)").alias("double"))
-    part = lambda c, s: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(s)))
-    return got.withColumn("text", F.concat_ws("; ", part("common", " vagas comuns"), part("double", " vagas duplas")))
+def parking(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
+    """Most common and double spaces that a text states, and the garages' text of both."""
+    got = docs.select(key, J.spaces(F.col(text), P.COMMON_SPACES).alias("common"), J.spaces(F.col(text), P.DOUBLE_SPACES).alias("double"))
+    return got.withColumn("text", J.garages(F.col("common"), F.col("double")))
 
 
 def best_permit(candidates: DataFrame, key: str = "doc") -> DataFrame:
     """The permit spelling with the most points of each document, the first of equals; none if the best is below zero."""
     rn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "line_no"))
-    best = candidates.withColumn("score", T.permit_score(F.col("permit")).cast("int")).withColumn("rn", rn).filter("rn = 1")
+    best = candidates.withColumn("score", T.admin_number_score(F.col("permit")).cast("int")).withColumn("rn", rn).filter("rn = 1")
     return best.select(key, F.when(F.col("score") < 0, "").otherwise(F.col("permit")).alias("permit"), "score")
 
 
@@ -70,48 +63,3 @@ def nearest_date(lines: DataFrame, reach: int = 2, key: str = "doc") -> DataFram
     dist = F.least(F.coalesce("_b", F.lit(1 << 30)), F.coalesce("_a", F.lit(1 << 30)))
     rank = F.struct(F.when(dist <= reach, dist).otherwise(reach + 1).alias("d"), F.when(dist <= reach, (F.coalesce("_b", F.lit(1 << 30)) > dist).cast("int")).otherwise(0).alias("side"), F.col("line_no"))
     return d.groupBy(key).agg(F.min_by("date", rank).alias("date"), F.min(rank).alias("r")).select(key, "date", F.least(F.col("r.d"), F.lit(reach + 1)).cast("int").alias("distance"))
-
-
-#: Material words and the surfaces they can follow.
-MATERIALS = ("PORCELANATO", "CERAMICA", "CIMENTADO", "PINTURA", "GRANITO", "GESSO", "LAMINADO")
-ROOMS = {"VII": ("SALA", "QUARTO", "COZINHA", "BWC", "SACADA", "SUITE"), "VIII": ("HALL", "ESCADA", "GARAGEM", "PORTARIA", "CORREDOR")}
-EQUIPMENT = ("ELEVADOR", "GAS", "BOMBA", "GERADOR", "INTERFONE")
-
-
-def _any(words) -> str:
-    return r"(^|[^A-Z0-9])(" + "|".join(words) + r")([^A-Z]|$)"
-
-
-def line_class():
-    """VI for equipment, VII for private rooms, VIII for common ones, with a material for rooms; else null."""
-    u, m = F.upper(F.col("line")), _any(MATERIALS)
-    return F.when(u.rlike(_any(EQUIPMENT)), "VI").when(u.rlike(m) & u.rlike(_any(ROOMS["VIII"])), "VIII").when(u.rlike(m) & u.rlike(_any(ROOMS["VII"])), "VII")
-
-
-def section_lines(lines: DataFrame, limit: int = 78, key: str = "doc") -> DataFrame:
-    """Classified distinct lines, max(20, limit / 3) of each section and document at most, in order."""
-    got = lines.withColumn("section", line_class()).filter("section is not null").groupBy(key, "section", "line").agg(F.min("line_no").alias("line_no"))
-    rn = F.row_number().over(Window.partitionBy(key, "section").orderBy("line_no"))
-    return got.withColumn("rank", rn).filter(F.col("rank") <= max(20, limit // 3))
-
-
-def finish_candidates(lines: DataFrame, key: str = "doc") -> DataFrame:
-    """(section, room, material) of lines with one room and a material behind it, or of a private room line and the material line after it."""
-    u = F.upper(F.col("line"))
-    room = F.regexp_extract(u, _any(ROOMS["VII"] + ROOMS["VIII"]), 2)
-    material = F.regexp_extract(u, _any(MATERIALS), 2)
-    got = lines.select(key, "line_no", room.alias("room"), material.alias("material"))
-    w = Window.partitionBy(key).orderBy("line_no")
-    got = got.withColumns({"next_room": F.lead("room").over(w), "next_material": F.lead("material").over(w)})
-    private = F.col("room").isin(*ROOMS["VII"])
-    pair = private & (F.col("room") != "BWC") & (F.col("material") == "") & (F.col("next_room") == "") & (F.col("next_material") != "")
-    same = (F.col("room") != "") & (F.col("material") != "")
-    return got.filter(same | pair).select(key, F.when(private, "VII").otherwise("VIII").alias("section"), "room", F.when(same, F.col("material")).otherwise(F.col("next_material")).alias("material")).distinct()
-
-
-def equipment_rollup(lines: DataFrame, key: str = "doc") -> DataFrame:
-    """Lift tags of a document by number, as `ELEVADOR01/ELEVADOR02 citados`."""
-    tag = F.regexp_extract("line", r"ELEVADOR([0-9]{2})", 1)
-    tags = lines.select(key, tag.alias("tag")).filter("tag <> ''").distinct()
-    names = F.transform(F.array_sort(F.collect_list(F.col("tag").cast("int"))), lambda n: F.format_string("ELEVADOR%02d", n))
-    return tags.groupBy(key).agg(F.count("*").cast("int").alias("lifts"), F.concat(F.array_join(names, "/"), F.lit(" citados")).alias("detail"))

@@ -28,37 +28,66 @@ def point_segment_distance2(px: Column, py: Column, x0: Column, y0: Column, x1:
     return ex * ex + ey * ey
 
 
-def near_counts(segments: DataFrame, points: DataFrame, radius: float, grid: float = 64.0, page: str = "page") -> DataFrame:
-    """segments with how many of their page's points lie within radius.
+def near_counts(segments: DataFrame, points: DataFrame, radius: float, grid: float = 64.0, page: str = "page", kinds: tuple[str, ...] = ()) -> DataFrame:
+    """segments with how many of their page's points (px, py) lie within radius; with kinds, of each value of points' column ``what``, as columns of that name.
 
     A segment is dealt to the grid cells that its box, grown by the radius,
-    covers; a point has one cell, so no pair meets twice.
+    covers; a point has one cell, so no pair meets twice. One join and one
+    grouping, which carries the segments along; rows that repeat are one segment.
     """
     cell = lambda c: F.floor(c / grid)
     xs = F.sequence(cell(F.least("x0", "x1") - radius), cell(F.greatest("x0", "x1") + radius))
     ys = F.sequence(cell(F.least("y0", "y1") - radius), cell(F.greatest("y0", "y1") + radius))
     dealt = segments.select("*", F.explode(xs).alias("gx")).select("*", F.explode(ys).alias("gy"))
-    p = points.select(page, "px", "py", cell(F.col("px")).alias("gx"), cell(F.col("py")).alias("gy"))
-    near = dealt.join(p, [page, "gx", "gy"]).filter(point_segment_distance2(*(F.col(c) for c in ("px", "py", "x0", "y0", "x1", "y1"))) <= radius * radius)
-    counts = near.groupBy(page, "idx").agg(F.count("*").alias("near"))
-    return segments.join(counts, [page, "idx"], "left").withColumn("near", F.coalesce("near", F.lit(0)))
+    p = points.select(page, "px", "py", *(["what"] if kinds else []), cell(F.col("px")).alias("gx"), cell(F.col("py")).alias("gy"))
+    inside = point_segment_distance2(*(F.col(c) for c in ("px", "py", "x0", "y0", "x1", "y1"))) <= radius * radius
+    counted = [F.sum((inside & (F.col("what") == k)).cast("long")).alias(k) for k in kinds] or [F.sum(inside.cast("long")).alias("near")]
+    names = list(kinds) or ["near"]
+    return dealt.join(p, [page, "gx", "gy"], "left").groupBy(*segments.columns).agg(*counted).withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in names})
 
 
-def bucket(seg_length: Column, kind: Column, cx: Column, cy: Column, near: Column, width: float = 1000.0, height: float = 1000.0, short: float = 8.0, wall: float = 20.0, title: float = 0.72, crowded: int = 3) -> Column:
-    """The exclusive bucket of a line: the first rule that holds."""
-    right, low = cx >= width * title, cy >= height * title
+#: Buckets of lines, their reasons, and limits of classes.
+WALL, AXIS, DIAGONAL, THIN, SHORT, TEXT_NEAR, TITLE = "wall_candidates", "axis_aligned_segments", "diagonal_segments", "thin_noise", "short_noise", "text_nearby_noise", "titleblock_or_legend_noise"
+NOISE = (DIAGONAL, TITLE, TEXT_NEAR, SHORT, THIN)
+LEAST_WALL, LEAST_POINT, TITLE_SHARE, NEAR_RADIUS, MOST_TEXTS, MOST_RECTS = 10.0, 0.5, 0.72, 12.0, 4, 3
+IS_POINT, NO_LENGTH, TOO_SHORT, IS_DIAGONAL, IN_TITLE, NEAR_TITLE, AMONG_TEXTS, IS_WALL = (
+    "orientation_point", "length_near_zero", "length_below_min_length_wall", "orientation_diagonal", "inside_titleblock_region_strong", "inside_titleblock_region_suspect", "near_text_density", "axis_aligned_long_segment",
+)
+
+
+def title_block(cx: Column, cy: Column, width: Column | float, height: Column | float) -> tuple[Column, Column]:
+    """Whether a place is in the page's lower right corner, and whether it is in its right or lower band only."""
+    right, low = cx > F.lit(TITLE_SHARE) * width, cy > F.lit(TITLE_SHARE) * height
+    return right & low, (right | low) & ~(right & low)
+
+
+def classify(seg_length: Column, kind: Column, cx: Column, cy: Column, texts: Column, rects: Column, width: Column | float = 1000.0, height: Column | float = 1000.0) -> Column:
+    """(bucket, reason) of a line: the first rule that holds. texts and rects: how many are near."""
+    strong, suspect = title_block(cx, cy, width, height)
+    pair = lambda b, r: F.struct(F.lit(b).alias("bucket"), F.lit(r).alias("reason"))
     return (
-        F.when(kind == "ponto", "thin")
-        .when(right & low, "titleblock")
-        .when(near >= crowded, "text_near")
-        .when(seg_length < short, "short")
-        .when(kind == "diagonal", "diagonal")
-        .when((right | low) & (seg_length < wall * 2), "titleblock_suspect")
-        .when(seg_length >= wall, "wall")
-        .otherwise("other")
+        F.when(kind == "ponto", pair(THIN, IS_POINT))
+        .when(seg_length < LEAST_POINT, pair(THIN, NO_LENGTH))
+        .when(seg_length < LEAST_WALL, pair(SHORT, TOO_SHORT))
+        .when(kind == "diagonal", pair(DIAGONAL, IS_DIAGONAL))
+        .when(strong, pair(TITLE, IN_TITLE))
+        .when(suspect & ((texts >= MOST_TEXTS) | (rects >= MOST_RECTS)), pair(TITLE, NEAR_TITLE))
+        .when(texts >= MOST_TEXTS, pair(TEXT_NEAR, AMONG_TEXTS))
+        .otherwise(pair(WALL, IS_WALL))
     )
 
 
+def long_axis_line(seg_length: Column, kind: Column) -> Column:
+    """What the layer of axis-parallel lines shows, whatever its bucket."""
+    return kind.isin("horizontal", "vertical") & (seg_length >= LEAST_WALL)
+
+
+def shapes_outside_title(shapes: DataFrame, width: float, height: float) -> DataFrame:
+    """Rectangles and curves (kind rect or curve, x0, top, x1, bottom) whose centre isn't in the title block, with bucket and reason."""
+    strong, _ = title_block((F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2, width, height)
+    return shapes.filter(~strong).withColumns({"bucket": F.concat(F.col("kind"), F.lit("_candidates")), "reason": F.concat(F.col("kind"), F.lit("_outside_titleblock"))})
+
+
 def budget(items: DataFrame, order: list, limit: int, page: str = "page") -> DataFrame:
     """A shared budget of a page's items, used up in the given order."""
     return items.withColumn("_n", F.row_number().over(Window.partitionBy(page).orderBy(*order))).filter(F.col("_n") <= limit).drop("_n")
@@ -83,21 +112,30 @@ def merge_segments(segments: DataFrame, tolerance: float = 2.0, page: str = "pag
     return islands.withColumn("_p", F.avg("pos").over(mean)).groupBy(page, "orient", "g", "i").agg(F.round(F.first("_p"), 3).alias("pos"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("sources")).drop("g", "i")
 
 
-def closed_cells(merged: DataFrame, snap: float = 2.0, page: str = "page") -> DataFrame:
-    """Rectangles between consecutive wall positions of both directions whose four sides are covered by a merged segment.
+def _covered(walls: DataFrame, gaps: DataFrame, snap: float, grid: float, page: str) -> DataFrame:
+    """(page, pos, lo, hi, sources): gaps (page, lo, hi) that a wall (page, pos, start, end) covers. Walls meet gaps by the strips that they run through."""
+    strip = lambda c: F.floor(c / grid)
+    dealt = walls.select(page, "pos", "start", "end", "sources", F.explode(F.sequence(strip(F.col("start") - snap), strip(F.col("end") + snap))).alias("k"))
+    met = dealt.join(gaps.withColumn("k", strip(F.col("lo"))), [page, "k"]).filter((F.col("start") <= F.col("lo") + snap) & (F.col("end") >= F.col("hi") - snap))
+    return met.groupBy(page, "pos", "lo", "hi").agg(F.max("sources").alias("sources"))
+
+
+def closed_cells(merged: DataFrame, snap: float = 2.0, grid: float = 64.0, page: str = "page") -> DataFrame:
+    """Rectangles between consecutive wall positions of both directions whose four sides are covered by a merged segment, with the segments behind each side.
 
-    Candidates are bounded by a page's positions; each side is a semi join with
-    the segments at that position, an equality of rounded positions.
+    Only gaps that a wall covers are tops; bottoms and sides are found by
+    equality. So a page's columns and rows never meet all pairwise.
     """
     pos = merged.select(page, "orient", "pos").distinct()
     nxt = pos.withColumn("next", F.lead("pos").over(Window.partitionBy(page, "orient").orderBy("pos"))).filter("next is not null")
-    xs = nxt.filter("orient = 'v'").select(page, F.col("pos").alias("left"), F.col("next").alias("right"))
-    ys = nxt.filter("orient = 'h'").select(page, F.col("pos").alias("top"), F.col("next").alias("bottom"))
-    cells = xs.join(ys, page)
-    h = merged.filter("orient = 'h'").select(F.col(page).alias("_page"), F.col("pos").alias("_pos"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    v = merged.filter("orient = 'v'").select(F.col(page).alias("_page"), F.col("pos").alias("_pos"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    for side, walls, lo, hi in (("top", h, "left", "right"), ("bottom", h, "left", "right"), ("left", v, "top", "bottom"), ("right", v, "top", "bottom")):
-        cells = cells.join(walls, (F.col(page) == F.col("_page")) & (F.col(side) == F.col("_pos")) & (F.col("_s") <= F.col(lo) + snap) & (F.col("_e") >= F.col(hi) - snap), "left_semi")
+    gap = lambda o: nxt.filter(F.col("orient") == o).select(page, F.col("pos").alias("lo"), F.col("next").alias("hi"))
+    wall = lambda o: merged.filter(F.col("orient") == o).select(page, "pos", "start", "end", "sources")
+    flat, upright = _covered(wall("h"), gap("v"), snap, grid, page), _covered(wall("v"), gap("h"), snap, grid, page)
+    side = lambda d, at, lo, hi, name: d.select(page, F.col("pos").alias(at), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("sources").alias(name))
+    cells = side(flat, "top", "left", "right", "top_sources").join(gap("h").withColumnsRenamed({"lo": "top", "hi": "bottom"}), [page, "top"])
+    cells = cells.join(side(flat, "bottom", "left", "right", "bottom_sources"), [page, "bottom", "left", "right"])
+    for at in ("left", "right"):
+        cells = cells.join(side(upright, at, "top", "bottom", f"{at}_sources"), [page, at, "top", "bottom"])
     rn = F.row_number().over(Window.partitionBy(page).orderBy("top", "left"))
     return cells.withColumn("cell", rn).withColumn("area", F.round((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top")), 3))
 
@@ -146,30 +184,69 @@ def page_components(cells: DataFrame, edges: DataFrame, page: str = "page") -> D
     return rows.groupBy(page).applyInPandas(components, f"{page} {cells.schema[page].dataType.simpleString()}, cell int, component int")
 
 
-def composites(cells: DataFrame, components_: DataFrame, edges: DataFrame, most_cells: int = 200, least_fill: float = 0.5, page: str = "page") -> DataFrame:
+#: Reasons to reject a composite, and its limits.
+SINGLE, MANY, SPARSE, WIDE, HIGH = "single_cell_component", "too_many_cells", "fill_ratio_below_min", "width_above_page_ratio", "height_above_page_ratio"
+MOST_CELLS, LEAST_COMPOSITE_SIDE, LEAST_COMPOSITE_AREA, LEAST_FILL, MOST_COMPOSITE_SHARE, MOST_COMPOSITE_SIDE = 200, 20.0, 400.0, 0.05, 0.25, 0.5
+
+
+def composite_reason(cells: Column, w: Column, h: Column, fill: Column, width: float, height: float, lone: Column | None = None) -> Column:
+    """The first reason to reject a component of cells, or the empty string. lone: single cells that are regions themselves."""
+    single = cells < 2 if lone is None else (cells < 2) & ~lone
+    area = F.round(w * h, 3)
+    return (
+        F.when(single, SINGLE).when(cells > MOST_CELLS, MANY).when(w < LEAST_COMPOSITE_SIDE, NARROW).when(h < LEAST_COMPOSITE_SIDE, FLAT).when(area < LEAST_COMPOSITE_AREA, SMALL).when(fill < LEAST_FILL, SPARSE)
+        .when(area > MOST_COMPOSITE_SHARE * width * height, LARGE).when(F.round(w / width, 4) > MOST_COMPOSITE_SIDE, WIDE).when(F.round(h / height, 4) > MOST_COMPOSITE_SIDE, HIGH).otherwise("")
+    )
+
+
+def composites(cells: DataFrame, components_: DataFrame, edges: DataFrame, width: float = 1000.0, height: float = 1000.0, page: str = "page") -> DataFrame:
     """Union box, fill ratio, cells and edges of each component, with the first reason to reject it."""
     c = cells.join(components_, [page, "cell"])
     box = c.groupBy(page, "component").agg(F.count("*").alias("cells"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.sum("area").alias("covered"))
     e = edges.join(components_.withColumnRenamed("cell", "src"), [page, "src"]).groupBy(page, "component").agg(F.count("*").alias("edges"))
     got = box.join(e, [page, "component"], "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
-    fill = F.round(F.col("covered") / ((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))), 4)
-    reason = F.when(F.col("cells") < 2, "single").when(F.col("cells") > most_cells, "too_many").when(F.col("fill") < least_fill, "sparse").otherwise("")
-    return got.withColumn("fill", fill).withColumn("reason", reason)
+    w, h = F.round(F.col("right") - F.col("left"), 3), F.round(F.col("bottom") - F.col("top"), 3)
+    got = got.withColumn("fill", F.when(w * h > 0, F.round(F.col("covered") / (w * h), 4)).otherwise(0.0))
+    return got.withColumn("reason", composite_reason(F.col("cells"), w, h, F.col("fill"), width, height))
+
+
+#: Reasons to reject a region, their limits, and confidences.
+NARROW, FLAT, SMALL, LARGE = "width_below_min", "height_below_min", "area_below_min", "area_above_page_ratio"
+LEAST_SIDE, LEAST_AREA, MOST_SHARE, MOST_REGIONS, MOST_REJECTED = 8.0, 100.0, 0.25, 5000, 1000
+ACCEPTED_CONFIDENCE, REJECTED_CONFIDENCE = "candidate", "rejected"
+
+
+def region_reason(w: Column, h: Column, area: Column, page_area: Column | float) -> Column:
+    """The first reason to reject a region, or the empty string."""
+    return F.when(w < LEAST_SIDE, NARROW).when(h < LEAST_SIDE, FLAT).when(area < LEAST_AREA, SMALL).when(area > F.lit(MOST_SHARE) * page_area, LARGE).otherwise("")
 
 
-def regions(cells: DataFrame, width: float, height: float, least_side: float = 10.0, least_share: float = 0.0005, most_share: float = 0.6, title: float = 0.72, most: int = 5000, page: str = "page") -> DataFrame:
-    """Cells as named regions with centre, shares of the page, the first reason to reject, and a number among the accepted; at most ``most`` accepted a page."""
-    w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
-    share = F.col("area") / (width * height)
+def regions(cells: DataFrame, width: float, height: float, most: int = MOST_REGIONS, most_rejected: int = MOST_REJECTED, page: str = "page") -> DataFrame:
+    """Cells as named regions with centre, the first reason to reject, confidence, and a number among the accepted or the rejected, by place.
+
+    As many of both as their limits are kept of a page.
+    """
+    w, h = F.round(F.col("right") - F.col("left"), 3), F.round(F.col("bottom") - F.col("top"), 3)
     cx, cy = F.round((F.col("left") + F.col("right")) / 2, 3), F.round((F.col("top") + F.col("bottom")) / 2, 3)
-    reason = F.when(F.least(w, h) < least_side, "estreita").when(share < least_share, "pequena").when(share > most_share, "grande").when((cx >= width * title) & (cy >= height * title), "carimbo").otherwise("")
-    got = cells.withColumns({"cx": cx, "cy": cy, "reason": reason})
-    n = F.row_number().over(Window.partitionBy(page, F.col("reason") == "").orderBy("top", "left"))
-    numbered = got.withColumn("_n", n).filter((F.col("reason") != "") | (F.col("_n") <= most))
-    name = F.when(F.col("reason") == "", F.format_string("p%03d_r%04d", F.col(page).cast("int"), F.col("_n"))).otherwise(F.format_string("p%03d_x%04d", F.col(page).cast("int"), F.col("_n")))
-    return numbered.withColumn("region", name).drop("_n")
+    got = cells.withColumns({"cx": cx, "cy": cy, "reason": region_reason(w, h, F.col("area"), width * height)})
+    ok = F.col("reason") == ""
+    n = F.row_number().over(Window.partitionBy(page, ok).orderBy("top", "left"))
+    numbered = got.withColumn("_n", n).filter(F.when(ok, F.col("_n") <= most).otherwise(F.col("_n") <= most_rejected))
+    name = F.format_string("p%03d_%s%04d", F.col(page).cast("int"), F.when(ok, "r").otherwise("x"), F.col("_n"))
+    return numbered.withColumns({"region": name, "confidence": F.when(ok, ACCEPTED_CONFIDENCE).otherwise(REJECTED_CONFIDENCE)}).drop("_n")
+
+
+def edge_sources() -> Column:
+    """How many segments are behind each side of a cell, as `top:1,right:2,bottom:1,left:3`."""
+    return F.concat_ws(",", *(F.concat(F.lit(f"{side}:"), F.col(f"{side}_sources").cast("string")) for side in ("top", "right", "bottom", "left")))
+
+
+def box_key(left: Column, top: Column, right: Column, bottom: Column, snap: float) -> Column:
+    """A box on the grid of the snap, by which equal boxes are found; a snap of 0 counts as 1."""
+    s = snap if snap > 0 else 1.0
+    return F.struct(*((c / s).cast("int").alias(n) for c, n in ((left, "x0"), (top, "top"), (right, "x1"), (bottom, "bottom"))))
 
 
-def base_cells(regions_: DataFrame, eligible: tuple[str, ...] = ("pequena", "estreita")) -> DataFrame:
+def base_cells(regions_: DataFrame, eligible: tuple[str, ...] = (SMALL, NARROW, FLAT)) -> DataFrame:
     """What composites are built from: accepted regions, and rejected ones of the eligible reasons."""
     return regions_.filter((F.col("reason") == "") | F.col("reason").isin(*eligible))

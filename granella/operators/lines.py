@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,60 +12,8 @@ def explode_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once: a one-element explode keeps the optimiser from copying a long expression into each use."""
-    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
-
-
-def letters(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(r"[A-Za-z]"))
-
-
-def noise_reason(line: Column) -> Column:
-    """The first rule that drops a line, or null: blank, separator, number grid, mostly symbols."""
-    n = F.length(line)
-    return (
-        F.when(F.trim(line) == "", "blank")
-        .when(line.rlike(r"^[=_*. -]{4,}$"), "separator")
-        .when(F.regexp_count(line, F.lit(r"[0-9]+x[0-9]+")) >= 3, "grid")
-        .when((n >= 12) & (letters(line) * 100 < n * 45), "symbols")
-    )
-
-
-def drop_noise(lines: DataFrame) -> DataFrame:
-    return lines.filter(noise_reason(F.col("line")).isNull())
-
-
-def drop_consecutive_repeats(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Lines that equal the line before them in their document go."""
-    before = F.lag("line").over(Window.partitionBy(key).orderBy("line_no"))
-    return lines.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("_b") != F.col("line"))).drop("_b")
-
-
-def evidence_score(line: Column) -> Column:
-    """Digits, currency and capitals make a line worth keeping; length costs."""
-    return (
-        F.regexp_count(line, F.lit(r"[0-9]")) * 3
-        + F.when(line.rlike(r"[$€£]|R\$"), 10).otherwise(0)
-        + F.regexp_count(line, F.lit(r"[A-Z]"))
-        - F.floor(F.length(line) / 80)
-    ).cast("int")
-
-
-def top_evidence(lines: DataFrame, k: int = 5, key: str = "doc_id") -> DataFrame:
-    """The k best distinct lines of each document: score, then position. The rank limit is pushed below the shuffle."""
-    scored = lines.withColumn("score", evidence_score(F.col("line")))
-    first = scored.groupBy(key, "line").agg(F.min("line_no").alias("line_no"), F.first("score").alias("score"))
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "line_no"))
-    return first.withColumn("rank", rn).filter(F.col("rank") <= k).select(key, "rank", "line_no", "score")
-
-
-def blocks(lines: DataFrame, words: tuple[str, ...], key: str = "doc_id") -> DataFrame:
-    """Runs of non-blank lines as blocks, with how many lines and key words they have."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blank = F.trim("line") == ""
-    numbered = lines.withColumn("block", F.sum(blank.cast("int")).over(w)).filter(~blank)
-    hits = sum((F.regexp_count(F.lower("line"), F.lit(x)) for x in words), F.lit(0))
-    return numbered.groupBy(key, "block").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.sum(hits).alias("hits"))
+    """df with a column that is computed once: a filter that keeps all rows, but can't be moved, keeps the optimiser from copying a long expression into each use."""
+    return df.select(*(c for c in df.columns if c != name), value.alias(name)).filter(F.rand(0) >= 0)
 
 
 def page_envelope(doc: Column, page: Column, text: Column) -> Column:
@@ -85,14 +33,19 @@ def split_documents(text: DataFrame, column: str = "text") -> DataFrame:
 def batch_numbers(parts: DataFrame, key: str, order: str, size: str, limit: int) -> DataFrame:
     """Greedy packing in order: a part that would lift its batch over the limit opens the next one.
 
-    A running state, so each key is folded by one aggregate over its own ordered parts.
+    Of every part the place of the one that would open the next batch is known
+    from running sums; a batch's first parts are then those that the chain of such
+    places reaches from the first. A key's parts are one array of numbers; their
+    texts stay where they are.
     """
-    rows = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<o:{parts.schema[order].dataType.simpleString()},batch:int>>").alias("out"))
+    o = F.col(order).alias("o")
+    rows = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(o, F.col(size).cast("long").alias("n")))).alias("rows"))
+    state = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"))
 
     def step(a: Column, x: Column) -> Column:
         new = (a["used"] > 0) & (a["used"] + x["n"] > limit)
-        batch = a["batch"] + new.cast("int")
-        return F.struct(batch.alias("batch"), F.when(new, x["n"]).otherwise(a["used"] + x["n"]).alias("used"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), batch.alias("batch")))).alias("out"))
+        return F.struct((a["batch"] + new.cast("int")).alias("batch"), F.when(new, x["n"]).otherwise(a["used"] + x["n"]).alias("used"), F.when(new, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"]).alias("starts"), (a["i"] + 1).alias("i"))
 
-    return rows.select(key, F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
+    found = rows.select(key, F.aggregate("rows", state, step, lambda a: a["starts"]).alias("s"), "rows")
+    each = found.select(key, "s", F.posexplode("rows").alias("i", "x"))
+    return each.select(key, F.col("x.o").alias(order), F.size(F.filter("s", lambda b: b <= F.col("i"))).alias("batch"))

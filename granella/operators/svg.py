@@ -1,4 +1,4 @@
-"""Page drawings as SVG text, one row per page."""
+"""Page drawings as SVG text, one row per page: layers of elements, a title block of metadata, and legends."""
 
 from __future__ import annotations
 
@@ -6,6 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granella.functions.text import escape_xml, visual_cut
+from granella.operators import geometry as G
+
+#: Limits of layers.
+MOST_LINES, MOST_CURVES, MOST_TEXTS, MOST_REGIONS = 50_000, 20_000, 20_000, 50_000
+#: Classes and colours of elements.
+LINE_CLASSES = {"horizontal": "geo-line-horizontal", "vertical": "geo-line-vertical", "diagonal": "geo-line-diagonal"}
+BUCKET_LAYERS = {
+    G.WALL: ("layer-wall-candidates", "cls-wall"), G.AXIS: ("layer-axis-aligned", "cls-axis"), G.DIAGONAL: ("layer-diagonal", "cls-diagonal"), G.TITLE: ("layer-titleblock-noise", "cls-titleblock"),
+    G.TEXT_NEAR: ("layer-text-nearby-noise", "cls-text-near"), G.SHORT: ("layer-short-noise", "cls-short"), G.THIN: ("layer-thin-noise", "cls-thin"),
+}
+#: Legends, (label, class, colour, dashed or round).
+GEOMETRY_LEGEND = (("Texto", "geo-text", "#222222", "T"), ("Horizontal", "geo-line-horizontal", "#0066cc", ""), ("Vertical", "geo-line-vertical", "#228833", ""), ("Diagonal", "geo-line-diagonal", "#cc6600", ""), ("Retangulo", "geo-rect", "#6633cc", ""), ("Curva (bbox)", "geo-curve", "#cc2222", "-"))
+CLASS_LEGEND = (
+    ("Contorno candidato", "cls-wall", "#00cccc", ""), ("Eixo alinhado", "cls-axis", "#88ddff", ""), ("Diagonal", "cls-diagonal", "#cc6600", ""), ("Carimbo/legenda", "cls-titleblock", "#999999", ""), ("Texto denso", "cls-text-near", "#ddaa00", ""),
+    ("Curta", "cls-short", "#ff9999", ""), ("Fina/ponto", "cls-thin", "#ffcccc", ""), ("Retangulo", "cls-rect", "#6633cc", ""), ("Curva bbox", "cls-curve", "#cc2222", "-"),
+)
+REGION_LEGEND = (("Regiao candidata", "cls-region", "#00cc88", ""), ("Rejeitada", "cls-rejected", "#ff6633", "-"), ("Centroide", "cls-centroid", "#333333", "o"))
 
 
 def number(c: Column) -> Column:
@@ -13,59 +30,177 @@ def number(c: Column) -> Column:
     return F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(F.round(c, 3).cast("string"))
 
 
-def line_element(css: Column) -> Column:
+def _element(tag: str, attributes: list[tuple[str, Column | str]], title: Column | None = None, body: Column | None = None) -> Column:
+    """An element with a title, escaped, and a body; without both it is closed at once."""
+    parts = [F.lit(f"<{tag}")]
+    for name, value in attributes:
+        parts += [F.lit(f' {name}="'), F.lit(value) if isinstance(value, str) else value, F.lit('"')]
+    if title is None and body is None:
+        return F.concat(*parts, F.lit("/>"))
+    inner = [F.lit(">"), *([F.lit("<title>"), escape_xml(title), F.lit("</title>")] if title is not None else []), *([body] if body is not None else []), F.lit(f"</{tag}>")]
+    return F.concat(*parts, *inner)
+
+
+def _ends() -> list[tuple[str, Column]]:
+    return [("x1", number(F.col("x0"))), ("y1", number(F.col("y0"))), ("x2", number(F.col("x1"))), ("y2", number(F.col("y1")))]
+
+
+def line_element(css: Column, title: Column | None = None) -> Column:
     """A line from columns x0, y0, x1, y1."""
-    parts = [F.lit('<line class="'), css]
-    for name, c in (("x1", "x0"), ("y1", "y0"), ("x2", "x1"), ("y2", "y1")):
-        parts += [F.lit(f'" {name}="'), number(F.col(c))]
-    return F.concat(*parts, F.lit('"/>'))
+    return _element("line", [("class", css), *_ends()], title)
+
+
+def line_class(kind: Column) -> Column:
+    """The class of a line by its orientation; null for points, which aren't drawn."""
+    return F.when(kind != "ponto", F.coalesce(F.create_map(*(F.lit(x) for p in LINE_CLASSES.items() for x in p))[kind], F.lit("geo-line-diagonal")))
+
+
+def line_title() -> Column:
+    """What a classified line is: bucket, reason, orientation, length and ends."""
+    place = lambda a, b: F.concat(F.lit("("), number(F.col(a)), F.lit(","), number(F.col(b)), F.lit(")"))
+    return F.concat_ws(
+        " | ", F.concat(F.lit("bucket="), F.col("bucket")), F.concat(F.lit("reason="), F.col("reason")), F.concat(F.lit("orientation="), F.col("kind")), F.concat(F.lit("length="), number(F.col("length"))),
+        F.concat(F.lit("coords="), place("x0", "y0"), F.lit("-"), place("x1", "y1")),
+    )
+
+
+def shape_element(css: str, title: Column | None = None) -> Column:
+    """The box of a rectangle or curve from columns x0, top, x1, bottom."""
+    w, h = F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top")
+    return _element("rect", [("class", css), ("x", number(F.col("x0"))), ("y", number(F.col("top"))), ("width", number(w)), ("height", number(h))], title)
+
+
+def shape_title() -> Column:
+    w, h = F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top")
+    box = F.concat(F.lit("bbox=("), number(F.col("x0")), F.lit(","), number(F.col("top")), F.lit(")+"), number(w), F.lit("x"), number(h))
+    return F.concat_ws(" | ", F.concat(F.lit("bucket="), F.col("bucket")), F.concat(F.lit("reason="), F.col("reason")), box)
 
 
 def text_element() -> Column:
     """A text from columns px, py, label: title in full, label cut."""
-    return F.concat(F.lit('<text x="'), number(F.col("px")), F.lit('" y="'), number(F.col("py")), F.lit('"><title>'), escape_xml(F.col("label")), F.lit("</title>"), escape_xml(visual_cut(F.col("label"))), F.lit("</text>"))
+    return _element("text", [("class", "geo-text"), ("x", number(F.col("px"))), ("y", number(F.col("py")))], F.col("label"), escape_xml(visual_cut(F.col("label"))))
 
 
-def layer(items: DataFrame, name: str, limit: int, order: list[str], page: str = "page") -> DataFrame:
-    """(page, layer, body, n): a page's first elements joined; items has a column element."""
+def layer(items: DataFrame, name: str, limit: int, order: list, page: str = "page") -> DataFrame:
+    """(page, layer, body, n): a page's first elements joined; items has a column element, null for what isn't drawn."""
     n = F.row_number().over(Window.partitionBy(page).orderBy(*order))
     few = items.withColumn("_n", n).filter(F.col("_n") <= limit)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "element"))), lambda x: x["element"]), "")
     return few.groupBy(page).agg(F.lit(name).alias("layer"), F.concat(F.lit(f'<g id="{name}">'), body, F.lit("</g>")).alias("body"), F.count("*").alias("n"))
 
 
-def pages(layers: list[DataFrame], width: float, height: float, page: str = "page") -> DataFrame:
-    """(page, svg): layers in the given order."""
+def legend(entries: tuple, width: float, box: float, inset: float) -> str:
+    """A legend in the upper right corner; a fixed text for a page's width."""
+    rows = [f'<rect x="0" y="0" width="{box:g}" height="{14 + 11 * len(entries)}" fill="#ffffff" stroke="#cccccc" stroke-width="0.5" opacity="0.92"/>']
+    for i, (label, css, colour, mark) in enumerate(entries):
+        y = 12 + 11 * i
+        if mark == "T":
+            rows.append(f'<text class="geo-legend-text" x="6" y="{y}">T</text>')
+        elif mark == "o":
+            rows.append(f'<circle class="{css}" cx="14" cy="{y - 2}" r="2" fill="{colour}"/>')
+        else:
+            dashes = ' stroke-dasharray="2 2"' if mark else ""
+            rows.append(f'<line class="geo-legend-sample {css}" x1="6" y1="{y}" x2="22" y2="{y}" stroke="{colour}"{dashes}/>')
+        rows.append(f'<text class="geo-legend-text" x="28" y="{y}">{label}</text>')
+    return f'<g id="layer-legend" transform="translate({max(8.0, width - inset):.3f},8.000)">' + "".join(rows) + "</g>"
+
+
+def metadata(name: str, values: Column) -> Column:
+    """A struct as JSON in a metadata element."""
+    return F.concat(F.lit(f"<metadata><nbr12721:{name}>"), escape_xml(F.to_json(values)), F.lit(f"</nbr12721:{name}></metadata>"))
+
+
+def pages(layers: list[DataFrame], width: float, height: float, page: str = "page", legend_: str = "", head: DataFrame | None = None) -> DataFrame:
+    """(page, svg): metadata of the page (page, meta) if given, layers in the given order, a legend."""
     every = None
     for i, d in enumerate(layers):
-        d = d.withColumn("_i", F.lit(i))
+        d = d.select(page, F.lit(i).alias("_i"), "body")
         every = d if every is None else every.union(d)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "body"))), lambda x: x["body"]), "")
-    head = f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width:g} {height:g}">'
-    return every.groupBy(page).agg(F.concat(F.lit(head), body, F.lit("</svg>")).alias("svg"))
+    got = every.groupBy(page).agg(body.alias("_body"))
+    meta = F.lit("")
+    if head is not None:
+        got, meta = got.join(head, page, "left"), F.coalesce("meta", F.lit(""))
+    start = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}pt" height="{height:g}pt" viewBox="0 0 {width:g} {height:g}">'
+    return got.select(page, F.concat(F.lit(start), meta, F.lit(f'<rect class="geo-page" width="{width:g}" height="{height:g}"/>'), F.col("_body"), F.lit(legend_ + "</svg>")).alias("svg"))
+
+
+def geometry_page(lines: DataFrame, shapes: DataFrame, texts: DataFrame, width: float, height: float, page: str = "page") -> DataFrame:
+    """(page, svg) of a page as it is: rectangles, curves, lines by orientation, texts."""
+    drawn = lines.withColumn("element", line_element(line_class(F.col("kind")))).filter("element is not null")
+    boxes = lambda kind, css: shapes.filter(F.col("kind") == kind).withColumn("element", shape_element(css))
+    order = ["x0", "top", "x1", "bottom"]
+    layers = [
+        layer(boxes("rect", "geo-rect"), "layer-rects", 1 << 30, order, page),
+        layer(boxes("curve", "geo-curve"), "layer-curves", MOST_CURVES, order, page),
+        layer(drawn, "layer-lines", MOST_LINES, ["idx"], page),
+        layer(texts.filter("label <> ''").withColumn("element", text_element()), "layer-texts", MOST_TEXTS, ["px", "py", "label"], page),
+    ]
+    counts = lines.groupBy(page).agg(F.count("*").alias("lines"))
+    head = counts.select(page, metadata("geometryDebug", F.struct(F.col(page).alias("page_number"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.struct("lines").alias("stats"))).alias("meta"))
+    return pages(layers, width, height, page, legend(GEOMETRY_LEGEND, width, 110, 118), head)
+
+
+def classified_page(lines: DataFrame, shapes: DataFrame, width: float, height: float, axis: bool = False, most_noise: int = MOST_LINES, page: str = "page") -> DataFrame:
+    """(page, svg) of classified lines and shapes: axis lines if wanted, curves, rectangles, noise within a shared budget, walls."""
+    element = lambda css: line_element(F.lit(css), line_title())
+    layers = []
+    if axis:
+        name, css = BUCKET_LAYERS[G.AXIS]
+        layers.append(layer(lines.filter(G.long_axis_line(F.col("length"), F.col("kind"))).withColumn("element", element(css)), name, MOST_LINES, ["idx"], page))
+    for kind in ("curve", "rect"):
+        layers.append(layer(shapes.filter(F.col("kind") == kind).withColumn("element", shape_element(f"cls-{kind}", shape_title())), f"layer-{kind}-candidates", MOST_CURVES, ["x0", "top", "x1", "bottom"], page))
+    rank = F.array_position(F.array(*map(F.lit, G.NOISE)), F.col("bucket"))
+    noise = G.budget(lines.filter(F.col("bucket").isin(*G.NOISE)), [rank, F.col("idx")], most_noise, page)
+    for bucket in (*G.NOISE, G.WALL):
+        name, css = BUCKET_LAYERS[bucket]
+        own = lines.filter(F.col("bucket") == G.WALL) if bucket == G.WALL else noise.filter(F.col("bucket") == bucket)
+        layers.append(layer(own.withColumn("element", element(css)), name, MOST_LINES, ["idx"], page))
+    stats = lines.groupBy(page).agg(F.count("*").alias("input_lines"), F.sum((F.col("bucket") == G.WALL).cast("long")).alias("wall_candidates"))
+    head = stats.select(page, metadata("vectorClassificationDebug", F.struct(F.col(page).alias("page_number"), F.struct("input_lines", "wall_candidates").alias("stats"))).alias("meta"))
+    entries = CLASS_LEGEND if axis else tuple(e for e in CLASS_LEGEND if e[1] != "cls-axis")
+    return pages(layers, width, height, page, legend(entries, width, 135, 145), head)
+
+
+def region_title() -> Column:
+    """A region's name, verdict, box, size and the segments behind its sides."""
+    w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
+    return F.concat_ws(
+        " | ", F.concat(F.lit("id="), F.col("region")), F.concat(F.lit("confidence="), F.col("confidence")), F.concat(F.lit("rejection_reason="), F.col("reason")),
+        F.concat(F.lit("bbox=("), number(F.col("left")), F.lit(","), number(F.col("top")), F.lit(")-("), number(F.col("right")), F.lit(","), number(F.col("bottom")), F.lit(")")),
+        F.concat(F.lit("width="), number(w)), F.concat(F.lit("height="), number(h)), F.concat(F.lit("area_pdf_units="), number(F.col("area"))), F.concat(F.lit("edge_source_counts="), G.edge_sources()),
+    )
 
 
 def region_element(css: str) -> Column:
-    """A rectangle from left, top, right, bottom with a tooltip of name, size and reason."""
+    """A rectangle from left, top, right, bottom with its title."""
     w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
-    tip = F.concat_ws(" | ", F.col("region"), F.concat(number(w), F.lit("x"), number(h)), F.nullif(F.col("reason"), F.lit("")))
-    return F.concat(F.lit(f'<rect class="{css}" x="'), number(F.col("left")), F.lit('" y="'), number(F.col("top")), F.lit('" width="'), number(w), F.lit('" height="'), number(h), F.lit('"><title>'), escape_xml(tip), F.lit("</title></rect>"))
+    return _element("rect", [("class", css), ("x", number(F.col("left"))), ("y", number(F.col("top"))), ("width", number(w)), ("height", number(h))], region_title())
 
 
 def centre_element() -> Column:
-    return F.concat(F.lit('<circle r="2" cx="'), number(F.col("cx")), F.lit('" cy="'), number(F.col("cy")), F.lit('"/>'))
+    return _element("circle", [("class", "cls-centroid"), ("cx", number(F.col("cx"))), ("cy", number(F.col("cy"))), ("r", "2")], region_title())
+
+
+def short_label(region: Column) -> Column:
+    """A region's name without its page."""
+    return F.when(F.contains(region, F.lit("_")), F.regexp_extract(region, "^[^_]*_(.*)$", 1)).otherwise(region)
 
 
 def label_element() -> Column:
-    """The region's name without its page, three units above its centre."""
-    return F.concat(F.lit('<text x="'), number(F.col("cx")), F.lit('" y="'), number(F.col("cy") - 3), F.lit('">'), F.regexp_extract("region", "_(.*)$", 1), F.lit("</text>"))
-
-
-def region_page(regions: DataFrame, width: float, height: float, rejected: bool = True, page: str = "page") -> DataFrame:
-    """(page, svg) of accepted and, if wanted, rejected regions, with centres and labels of the accepted."""
-    good = regions.filter("reason = ''")
-    layers = [layer(good.withColumn("element", region_element("aceita")), "aceitas", 5000, ["region"], page)]
-    if rejected:
-        layers.append(layer(regions.filter("reason <> ''").withColumn("element", region_element("rejeitada")), "rejeitadas", 1000, ["region"], page))
-    layers += [layer(good.withColumn("element", centre_element()), "centros", 5000, ["region"], page), layer(good.withColumn("element", label_element()), "rotulos", 5000, ["region"], page)]
-    return pages(layers, width, height, page)
+    """The region's short name, three units above its centre."""
+    return _element("text", [("class", "cls-label"), ("x", number(F.col("cx"))), ("y", number(F.col("cy") - 3))], region_title(), short_label(F.col("region")))
+
+
+def region_page(regions: DataFrame, width: float, height: float, rejected: bool = True, labels: bool = True, page: str = "page") -> DataFrame:
+    """(page, svg) of accepted and, if wanted, rejected regions, with their centres and labels."""
+    good, bad = regions.filter("reason = ''"), regions.filter("reason <> ''")
+    shown = regions if rejected else good
+    order = [F.col("reason") != "", F.col("region")]
+    layers = [layer(bad.withColumn("element", region_element("cls-rejected")), "layer-rejected-regions", MOST_REGIONS, ["region"], page)] if rejected else []
+    layers += [layer(good.withColumn("element", region_element("cls-region")), "layer-regions", MOST_REGIONS, ["region"], page), layer(shown.withColumn("element", centre_element()), "layer-centroids", MOST_REGIONS, order, page)]
+    if labels:
+        layers.append(layer(shown.withColumn("element", label_element()), "layer-labels", MOST_REGIONS, order, page))
+    counts = regions.groupBy(page).agg(F.sum((F.col("reason") == "").cast("long")).alias("rendered_regions"), F.sum((F.col("reason") != "").cast("long")).alias("rendered_rejected_regions"))
+    head = counts.select(page, metadata("regionDebug", F.struct(F.col(page).alias("page_number"), F.col("rendered_regions"), F.col("rendered_rejected_regions"))).alias("meta"))
+    return pages(layers, width, height, page, legend(REGION_LEGEND, width, 120, 130), head)

@@ -1,4 +1,4 @@
-"""The drawing run: segments and texts to buckets, merged walls, cells, composites and overlays."""
+"""The drawing run: segments, shapes and texts to classes, merged walls, cells, regions, composites and overlays."""
 
 from __future__ import annotations
 
@@ -16,25 +16,37 @@ ENDS = ("x0", "y0", "x1", "y1")
 @dataclass
 class Run:
     classified: DataFrame
+    shapes: DataFrame
     cells: DataFrame
+    regions: DataFrame
     composites: DataFrame
     overlays: DataFrame
 
 
-def run(segments: DataFrame, texts: DataFrame, width: float = 1000.0, height: float = 1000.0, radius: float = 12.0, least: float = 20.0) -> Run:
-    """segments (page, idx, x0, y0, x1, y1), texts (page, px, py, label)."""
+def classified(segments: DataFrame, points: DataFrame, width: float = 1000.0, height: float = 1000.0) -> DataFrame:
+    """segments (page, idx, x0, y0, x1, y1) with kind, length, near texts and rects, bucket and reason. points: (page, px, py, what), what is texts or rects."""
     ends = [F.col(c) for c in ENDS]
-    near = G.near_counts(segments, texts, radius).withColumns({"kind": G.orientation(*ends), "length": G.length(*ends)})
+    near = G.near_counts(segments, points, G.NEAR_RADIUS, kinds=("texts", "rects")).withColumns({"kind": G.orientation(*ends), "length": G.length(*ends)})
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    classified = near.withColumn("bucket", G.bucket(F.col("length"), F.col("kind"), cx, cy, F.col("near"), width, height, wall=least))
-    walls = classified.filter(F.col("bucket") == "wall").filter(F.col("kind").isin("horizontal", "vertical"))
+    found = near.withColumn("_c", G.classify(F.col("length"), F.col("kind"), cx, cy, F.col("texts"), F.col("rects"), width, height))
+    return found.select(*near.columns, "_c.bucket", "_c.reason")
+
+
+def walls(lines: DataFrame) -> DataFrame:
+    """Wall candidates as (page, orient, pos, start, end)."""
     flat = F.col("kind") == "horizontal"
-    axis = walls.select("page", F.when(flat, "h").otherwise("v").alias("orient"), F.when(flat, (F.col("y0") + F.col("y1")) / 2).otherwise((F.col("x0") + F.col("x1")) / 2).alias("pos"), F.when(flat, F.least("x0", "x1")).otherwise(F.least("y0", "y1")).alias("start"), F.when(flat, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1")).alias("end"))
-    cells = G.closed_cells(G.merge_segments(axis)).persist()  # far fewer than the segments, and read four times
-    edges = G.adjacency(cells).persist()
-    composites = G.composites(cells, G.page_components(cells, edges), edges)
-    layers = [
-        S.layer(classified.withColumn("element", S.line_element(F.col("bucket"))), "lines", 50_000, ["idx", *ENDS]),
-        S.layer(texts.withColumn("element", S.text_element()), "texts", 20_000, ["px", "py", "label"]),
-    ]
-    return Run(classified, cells, composites, S.pages(layers, width, height))
+    own = lines.filter((F.col("bucket") == G.WALL) & F.col("kind").isin("horizontal", "vertical"))
+    return own.select("page", F.when(flat, "h").otherwise("v").alias("orient"), F.when(flat, (F.col("y0") + F.col("y1")) / 2).otherwise((F.col("x0") + F.col("x1")) / 2).alias("pos"), F.when(flat, F.least("x0", "x1")).otherwise(F.least("y0", "y1")).alias("start"), F.when(flat, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1")).alias("end"))
+
+
+def run(segments: DataFrame, texts: DataFrame, shapes: DataFrame | None = None, width: float = 1000.0, height: float = 1000.0) -> Run:
+    """segments (page, idx, x0, y0, x1, y1), texts (page, px, py, label), shapes (page, kind, x0, top, x1, bottom)."""
+    if shapes is None:
+        shapes = segments.sparkSession.createDataFrame([], f"page {segments.schema['page'].dataType.simpleString()}, kind string, x0 double, top double, x1 double, bottom double")
+    centres = shapes.filter("kind = 'rect'").select("page", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("top") + F.col("bottom")) / 2).alias("py"), F.lit("rects").alias("what"))
+    lines = classified(segments, texts.select("page", "px", "py", F.lit("texts").alias("what")).union(centres), width, height)
+    outside = G.shapes_outside_title(shapes, width, height)
+    cells = G.closed_cells(G.merge_segments(walls(lines)))
+    edges = G.adjacency(cells)
+    composites = G.composites(cells, G.page_components(cells, edges), edges, width, height)
+    return Run(lines, outside, cells, G.regions(cells, width, height), composites, S.classified_page(lines, outside, width, height))

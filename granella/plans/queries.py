@@ -1,587 +1,8 @@
-"""Queries of the document and drawing operators over the driver's tables, each with the same result as SQL.
-
-The tables hold no construction documents, so each query derives its input
-from table columns by a formula that both sides share.
-"""
+"""All queries of the document and drawing operators over the driver's tables, each with the same result as SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from granella.functions import text as T
-from granella.operators import cells as C
-from granella.operators import extract as X
-from granella.operators import geometry as G
-from granella.operators import fields as D
-from granella.operators import lines as L
-from granella.operators import prices as PR
-from granella.operators import record as R
-from granella.operators import sections as SE
-from granella.operators import svg as S
-from granella.plans import documents as DP
-from granella.plans import prefilter as P
-from granella.session import table
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-_NUMBERED = "li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::INT AS n FROM lineitem)"
-
-
-def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem with a line number n that is unique within its order."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return table(spark, sf, "lineitem").withColumn("n", F.row_number().over(w))
-
-
-# ---- unit lines: one for each order line --------------------------------------------------------------------------
-
-_UNIT_SQL = """units AS (SELECT l_orderkey AS doc, l_partkey % 90 + 30 + (l_suppkey % 100) / 100.0::DOUBLE AS area, l_quantity::INT AS qty, max(l_linenumber) AS top
-  FROM lineitem GROUP BY ALL)"""
-
-
-def _unit_lines(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    line = F.format_string("(1º AO %dº) PAV. TIPO - %d,%02d X %d APTOS", "l_linenumber", F.col("l_partkey") % 90 + 30, F.col("l_suppkey") % 100, F.col("l_quantity").cast("int"))
-    return li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line_no"), line.alias("line"))
-
-
-@query(f"WITH {_UNIT_SQL} SELECT doc, area, qty, top FROM units")
-def q01_units_by_doc(spark, sf):
-    return X.units(_unit_lines(spark, sf)).select("doc", "area", "qty", "top")
-
-
-@query(f"""WITH {_UNIT_SQL} SELECT doc, count(*) AS kinds, sum(qty)::BIGINT AS units, round(sum(area * qty), 2) AS area_total, max(top) AS floors, round(sum(area * qty) / max(top), 4) AS typical_area FROM units GROUP BY doc""")
-def q02_typical_floor(spark, sf):
-    return X.unit_totals(X.units(_unit_lines(spark, sf)))
-
-
-@query(f"""WITH {_NUMBERED}, l AS (SELECT l_orderkey AS doc, n, CASE WHEN l_linenumber % 7 = 3 THEN 'PAV. TERREO' WHEN l_linenumber % 7 = 5 THEN 'COBERTURA' WHEN l_suppkey % 3 = 0 THEN 'RESUMO'
-      ELSE '1º AO ' || (CASE WHEN l_partkey % 5 = 0 THEN (l_partkey % 40 + 10)::VARCHAR || '2' ELSE (l_partkey % 40 + 3)::VARCHAR END) END AS line FROM li),
-  t AS (SELECT *, try_cast(nullif(regexp_extract(line, '1º AO ([0-9]+)', 1), '') AS INT) AS v FROM l),
-  u AS (SELECT doc, n, line, CASE WHEN v >= 100 AND v % 10 = 2 THEN v // 10 ELSE v END AS top FROM t)
-SELECT doc, CASE WHEN arg_min(top, n) FILTER (WHERE top IS NOT NULL) IS NULL THEN 0 ELSE (arg_min(top, n) FILTER (WHERE top IS NOT NULL)) + max((line = 'PAV. TERREO')::INT) + max((line = 'COBERTURA')::INT) END::INT AS floors FROM u GROUP BY doc""")
-def q03_num_floors(spark, sf):
-    n, p = F.col("l_linenumber"), F.col("l_partkey")
-    line = F.when(n % 7 == 3, "PAV. TERREO").when(n % 7 == 5, "COBERTURA").when(F.col("l_suppkey") % 3 == 0, "RESUMO").otherwise(F.concat(F.lit("1º AO "), F.when(p % 5 == 0, F.concat((p % 40 + 10).cast("string"), F.lit("2"))).otherwise((p % 40 + 3).cast("string"))))
-    return X.floor_count(_numbered(spark, sf).select(F.col("l_orderkey").alias("doc"), F.col("n").alias("line_no"), line.alias("line")))
-
-
-@query("""WITH p AS (SELECT l_orderkey AS doc, max(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey % 60 ELSE 0 END)::INT AS common, max(CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey % 25 ELSE 0 END)::INT AS double FROM lineitem GROUP BY 1)
-SELECT doc, common, double, concat_ws('; ', CASE WHEN common > 0 THEN common || ' vagas comuns' END, CASE WHEN double > 0 THEN double || ' vagas duplas' END) AS text FROM p""")
-def q04_parking_max(spark, sf):
-    n = F.col("l_linenumber")
-    line = F.when(n % 2 == 0, F.concat(F.lit("TOTAL DE VAGAS COMUNS: "), (F.col("l_partkey") % 60).cast("string"))).otherwise(F.concat(F.lit("TOTAL DE VAGAS DUPLAS: "), (F.col("l_suppkey") % 25).cast("string")))
-    return X.parking(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), line.alias("line")))
-
-
-@query("""SELECT l_orderkey AS doc, l_linenumber AS line_no, replace(replace(replace(format('{:,.2f}', l_extendedprice), ',', '_'), '.', ','), '_', '.') AS brl, round(l_extendedprice, 2) AS parsed FROM lineitem""")
-def q05_br_number(spark, sf):
-    brl = T.format_brl(F.col("l_extendedprice"))
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line_no"), brl.alias("brl"), T.parse_br_number(brl).alias("parsed"))
-
-
-@query("""WITH d AS (SELECT c_custkey, lpad((c_custkey * 7919 % 100000000)::VARCHAR, 8, '0') || '0001' || lpad((c_custkey % 97)::VARCHAR, 2, '0') AS d, lpad((c_custkey % 90000 + 10000)::VARCHAR, 5, '0') AS n FROM customer)
-SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE d[1:2] || '.' || d[3:5] || '.' || d[6:8] || '/' || d[9:12] || '-' || d[13:14] END AS cnpj, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'SP-' || n || '/D' END AS crea FROM d""")
-def q06_cnpj_crea_normalise(spark, sf):
-    k = F.col("c_custkey")
-    d = F.concat(F.lpad((k * 7919 % 100000000).cast("string"), 8, "0"), F.lit("0001"), F.lpad((k % 97).cast("string"), 2, "0"))
-    raw = F.when(k % 11 == 0, F.substring(d, 1, 12)).otherwise(F.concat(F.lit("CNPJ "), F.substring(d, 1, 2), F.lit(" . "), F.substring(d, 3, 12)))
-    n = F.lpad((k % 90000 + 10000).cast("string"), 5, "0")
-    crea = F.when(k % 5 == 0, F.concat(F.lit("CREA "), n)).when(k % 5 == 1, F.concat(F.lit("CREA-SP "), n, F.lit("/D"))).when(k % 5 == 2, F.concat(F.lit("CREASP-"), n, F.lit("D"))).otherwise(F.concat(F.lit("crea/sp: "), n, F.lit("-D")))
-    return table(spark, sf, "customer").select("c_custkey", T.normalise_cnpj(raw).alias("cnpj"), T.normalise_crea(crea).alias("crea"))
-
-
-@query(f"""WITH {_NUMBERED}, c AS (SELECT l_orderkey AS doc, n AS line_no, CASE l_partkey % 4 WHEN 0 THEN (l_partkey % 9000 + 1000) || '/' || (2010 + l_suppkey % 10) WHEN 1 THEN (l_partkey % 900000 + 100000)::VARCHAR WHEN 2 THEN 'AB' || (l_partkey % 90) ELSE (l_partkey % 90 + 10) || '/1' END AS permit FROM li),
-  s AS (SELECT *, (CASE WHEN regexp_matches(permit, '[0-9]/[0-9]') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(permit, '/(19|20)[0-9]{{2}}$') THEN 5 ELSE 0 END + CASE WHEN length(regexp_replace(permit, '[^0-9]', '', 'g')) BETWEEN 4 AND 10 THEN 3 ELSE -3 END - CASE WHEN regexp_matches(permit, '[A-Za-z]') THEN 4 ELSE 0 END)::INT AS score FROM c),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, line_no) AS rn FROM s)
-SELECT doc, CASE WHEN score < 0 THEN '' ELSE permit END AS permit, score FROM r WHERE rn = 1""")
-def q07_best_permit(spark, sf):
-    p = F.col("l_partkey")
-    s = lambda c: c.cast("string")
-    permit = F.when(p % 4 == 0, F.concat(s(p % 9000 + 1000), F.lit("/"), s(F.col("l_suppkey") % 10 + 2010))).when(p % 4 == 1, s(p % 900000 + 100000)).when(p % 4 == 2, F.concat(F.lit("AB"), s(p % 90))).otherwise(F.concat(s(p % 90 + 10), F.lit("/1")))
-    return X.best_permit(_numbered(spark, sf).select(F.col("l_orderkey").alias("doc"), F.col("n").alias("line_no"), permit.alias("permit")))
-
-
-@query(f"""WITH {_NUMBERED}, l AS (SELECT l_orderkey AS doc, n, CASE WHEN l_partkey % 3 > 0 THEN strftime(l_shipdate, '%d/%m/%Y') END AS date, l_suppkey % 4 = 0 AS anchor FROM li),
-  d AS (SELECT a.doc, a.n, a.date, min(abs(a.n - b.n)) AS dist, min(CASE WHEN b.n <= a.n THEN a.n - b.n END) AS back FROM l a LEFT JOIN l b ON a.doc = b.doc AND b.anchor WHERE a.date IS NOT NULL GROUP BY 1, 2, 3),
-  k AS (SELECT doc, date, n, CASE WHEN dist <= 2 THEN dist ELSE 3 END AS d, CASE WHEN dist <= 2 AND coalesce(back, 1000000) > dist THEN 1 ELSE 0 END AS side FROM d),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY d, side, n) AS rn FROM k)
-SELECT doc, date, d::INT AS distance FROM r WHERE rn = 1""")
-def q08_nearest_date(spark, sf):
-    rows = _numbered(spark, sf).select(F.col("l_orderkey").alias("doc"), F.col("n").alias("line_no"), F.when(F.col("l_partkey") % 3 > 0, F.date_format("l_shipdate", "dd/MM/yyyy")).alias("date"), (F.col("l_suppkey") % 4 == 0).alias("anchor"))
-    return X.nearest_date(rows)
-
-
-# ---- room, material and equipment lines ---------------------------------------------------------------------------
-
-_ROOMS = ("SALA", "HALL", "ESCADA", "BWC", "APTO", "ELEVADOR01", "COZINHA", "SACADA")
-_FINISH = ("PORCELANATO", "", "CIMENTADO", "PINTURA", "CODIGO", "GESSO", "")
-_ROOM_SQL = f"""fin AS (SELECT o_custkey AS doc, o_orderkey AS line_no, ({list(_ROOMS)})[(o_orderkey % 8 + 1)::INT] AS room, ({list(_FINISH)})[(o_custkey * 3 + o_orderkey // 8) % 7 + 1] AS mat FROM orders)"""
-
-
-def _finish_lines(spark: SparkSession, sf: str) -> DataFrame:
-    pick = lambda words, i: F.element_at(F.array(*map(F.lit, words)), i.cast("int"))
-    line = F.concat(pick(_ROOMS, F.col("o_orderkey") % 8 + 1), F.lit(" PISO "), pick(_FINISH, (F.col("o_custkey") * 3 + F.floor(F.col("o_orderkey") / 8)) % 7 + 1))
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("line_no"), line.alias("line"))
-
-
-@query(f"""WITH {_ROOM_SQL}, c AS (SELECT doc, line_no, room || ' PISO ' || mat AS line, CASE WHEN room = 'ELEVADOR01' THEN NULL WHEN mat IN ('', 'CODIGO') THEN NULL WHEN room IN ('HALL', 'ESCADA') THEN 'VIII' WHEN room IN ('SALA', 'BWC', 'COZINHA', 'SACADA') THEN 'VII' END AS section FROM fin),
-  e AS (SELECT doc, line_no, room || ' PISO ' || mat AS line, 'VI' AS section FROM fin WHERE room = 'ELEVADOR01'),
-  a AS (SELECT * FROM c WHERE section IS NOT NULL UNION ALL SELECT * FROM e),
-  g AS (SELECT doc, section, line, min(line_no) AS line_no FROM a GROUP BY ALL),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc, section ORDER BY line_no)::INT AS rank FROM g)
-SELECT doc, section, line, line_no, rank FROM r WHERE rank <= 26""")
-def q09_line_class(spark, sf):
-    return X.section_lines(_finish_lines(spark, sf).withColumn("line", F.regexp_replace("line", "ELEVADOR01", "ELEVADOR01"))).select("doc", "section", "line", "line_no", "rank")
-
-
-@query(f"""WITH {_ROOM_SQL}, t AS (SELECT doc, line_no, CASE WHEN room IN ('SALA', 'BWC', 'COZINHA', 'SACADA', 'HALL', 'ESCADA') THEN room ELSE '' END AS room, CASE WHEN mat = 'CODIGO' THEN '' ELSE mat END AS mat FROM fin),
-  w AS (SELECT *, lead(room) OVER v AS nr, lead(mat) OVER v AS nm FROM t WINDOW v AS (PARTITION BY doc ORDER BY line_no)),
-  k AS (SELECT doc, room, mat, nm, room IN ('SALA', 'BWC', 'COZINHA', 'SACADA') AS private, room <> '' AND mat <> '' AS same, nr, nm AS m2 FROM w)
-SELECT DISTINCT doc, CASE WHEN private THEN 'VII' ELSE 'VIII' END AS section, room, CASE WHEN same THEN mat ELSE nm END AS material FROM k WHERE same OR (private AND room <> 'BWC' AND mat = '' AND nr = '' AND nm <> '')""")
-def q10_finish_candidates(spark, sf):
-    return X.finish_candidates(_finish_lines(spark, sf))
-
-
-@query("""WITH t AS (SELECT DISTINCT o_custkey AS doc, (o_orderkey % 12 + 1)::INT AS n FROM orders WHERE o_orderkey % 3 = 0)
-SELECT doc, count(*)::INT AS lifts, string_agg('ELEVADOR' || lpad(n::VARCHAR, 2, '0'), '/' ORDER BY n) || ' citados' AS detail FROM t GROUP BY doc""")
-def q11_equipment_rollup(spark, sf):
-    line = F.when(F.col("o_orderkey") % 3 == 0, F.format_string("CASA DE MAQUINAS ELEVADOR%02d", F.col("o_orderkey") % 12 + 1)).otherwise("CASA DE MAQUINAS")
-    return X.equipment_rollup(table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), line.alias("line")))
-
-
-# ---- lines of the documents table ---------------------------------------------------------------------------------
-
-_LINES_SQL = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"""
-
-
-def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return L.explode_lines(table(spark, sf, "documents"))
-
-
-@query(f"""WITH {_LINES_SQL}, s AS (SELECT doc_id, line, min(line_no)::INT AS line_no, (len(regexp_extract_all(line, '[0-9]')) * 3 + CASE WHEN regexp_matches(line, '[$€£]') THEN 10 ELSE 0 END + len(regexp_extract_all(line, '[A-Z]')) - length(line) // 80)::INT AS score FROM lines GROUP BY doc_id, line),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no)::INT AS rank FROM s) SELECT doc_id, rank, line_no, score FROM r WHERE rank <= 5""")
-def q12_evidence_topk(spark, sf):
-    return L.top_evidence(_lines(spark, sf))
-
-
-@query(f"""WITH {_LINES_SQL}, k AS (SELECT doc_id, line FROM lines WHERE trim(line) <> '' AND NOT regexp_matches(line, '^[=_*. -]{{4,}}$') AND len(regexp_extract_all(line, '[0-9]+x[0-9]+')) < 3 AND NOT (length(line) >= 12 AND len(regexp_extract_all(line, '[A-Za-z]')) * 100 < length(line) * 45))
-SELECT doc_id, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM k GROUP BY doc_id""")
-def q13_line_filter(spark, sf):
-    return L.drop_noise(_lines(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
-
-
-@query(f"""WITH {_LINES_SQL}, b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM lines) SELECT doc_id, count(*) AS lines FROM b WHERE before IS NULL OR before <> line GROUP BY doc_id""")
-def q14_consecutive_dedup(spark, sf):
-    return L.drop_consecutive_repeats(_lines(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("lines"))
-
-
-@query(f"""WITH {_LINES_SQL}, n AS (SELECT *, sum((trim(line) = '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS block FROM lines)
-SELECT doc_id, block::BIGINT AS block, count(*) AS lines, sum(length(line))::BIGINT AS chars, sum(len(regexp_extract_all(lower(line), 'the')) + len(regexp_extract_all(lower(line), 'der')))::BIGINT AS hits FROM n WHERE trim(line) <> '' GROUP BY 1, 2""")
-def q15_block_relevance(spark, sf):
-    return L.blocks(_lines(spark, sf), ("the", "der"))
-
-
-@query()
-def q16_repeat_squeeze(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.length(T.squeeze_repeats(F.col("text"))).alias("squeezed"))
-
-
-@query("""WITH RECURSIVE r AS (SELECT conv_id, turn, length(text)::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
-  w AS (SELECT conv_id, turn, k, n AS used, 0 AS batch FROM r WHERE k = 1 UNION ALL SELECT r.conv_id, r.turn, r.k, CASE WHEN w.used > 0 AND w.used + r.n > 400 THEN r.n ELSE w.used + r.n END, w.batch + CASE WHEN w.used > 0 AND w.used + r.n > 400 THEN 1 ELSE 0 END FROM w JOIN r ON r.conv_id = w.conv_id AND r.k = w.k + 1)
-SELECT conv_id, turn, batch::INT AS batch FROM w""")
-def q17_batches(spark, sf):
-    return L.batch_numbers(table(spark, sf, "conversations").withColumn("n", F.length("text")), "conv_id", "turn", "n", 400)
-
-
-@query("""SELECT doc_id, 'Obra ' || doc_id AS name, length(text)::INT AS chars FROM documents WHERE doc_id % 2 = 0""")
-def q17_split_documents(spark, sf):
-    docs = table(spark, sf, "documents").filter("doc_id % 2 = 0")
-    joined = docs.select("doc_id", L.page_envelope(F.concat(F.lit("Obra "), F.col("doc_id").cast("string")), F.lit(1), F.col("text")).alias("text"))
-    parts = L.split_documents(joined)
-    return parts.select(F.regexp_extract("name", "[0-9]+", 0).cast("long").alias("doc_id"), "name", F.length("body").alias("chars"))
-
-
-# ---- geometry ----------------------------------------------------------------------------------------------------
-
-_SEG = """seg AS (SELECT l_orderkey % 50 AS page, l_orderkey * 8 + l_linenumber AS idx, l_partkey % 900 AS x0, l_suppkey * 37 % 900 AS y0, l_partkey % 900 + CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 4 ELSE 0 END AS x1, l_suppkey * 37 % 900 + CASE WHEN l_linenumber % 2 = 1 THEN l_quantity * 4 WHEN l_partkey % 11 = 0 THEN 5 ELSE 0 END AS y1 FROM lineitem WHERE l_linenumber <= 2)"""
-_KIND = "CASE WHEN abs(x1 - x0) <= 0.5 AND abs(y1 - y0) <= 0.5 THEN 'ponto' WHEN abs(y1 - y0) <= 0.5 THEN 'horizontal' WHEN abs(x1 - x0) <= 0.5 THEN 'vertical' ELSE 'diagonal' END"
-_NEAR = f"""{_SEG}, pts AS (SELECT l_orderkey % 50 AS page, (l_partkey * 7 % 1000)::DOUBLE AS px, ((l_suppkey * 91 + l_linenumber * 13) % 1000)::DOUBLE AS py FROM lineitem WHERE l_linenumber > 2),
-  d AS (SELECT s.page, s.idx, px, py, x0, y0, x1, y1, (x1 - x0) AS dx, (y1 - y0) AS dy FROM seg s JOIN pts p ON s.page = p.page),
-  t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0.0 ELSE least(greatest(((px - x0) * dx + (py - y0) * dy) / (dx * dx + dy * dy), 0.0), 1.0) END AS t FROM d),
-  near AS (SELECT page, idx, count(*) AS n FROM t WHERE (px - (x0 + t * dx)) * (px - (x0 + t * dx)) + (py - (y0 + t * dy)) * (py - (y0 + t * dy)) <= 144 GROUP BY 1, 2)"""
-
-
-def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    n, x, y, size = F.col("l_linenumber"), F.col("l_partkey") % 900, F.col("l_suppkey") * 37 % 900, F.col("l_quantity") * 4
-    x1 = x + F.when(n % 2 == 0, size).otherwise(0.0)
-    y1 = y + F.when(n % 2 == 1, size).when(F.col("l_partkey") % 11 == 0, 5.0).otherwise(0.0)
-    return table(spark, sf, "lineitem").filter("l_linenumber <= 2").select((F.col("l_orderkey") % 50).alias("page"), (F.col("l_orderkey") * 8 + n).alias("idx"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), x1.alias("x1"), y1.alias("y1"))
-
-
-def _points(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").filter("l_linenumber > 2").select((F.col("l_orderkey") % 50).alias("page"), (F.col("l_partkey") * 7 % 1000).cast("double").alias("px"), ((F.col("l_suppkey") * 91 + F.col("l_linenumber") * 13) % 1000).cast("double").alias("py"))
-
-
-_ENDS = ("x0", "y0", "x1", "y1")
-
-
-@query(f"WITH {_SEG} SELECT page, idx, {_KIND} AS kind, round(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 3) AS length FROM seg")
-def q18_line_orientation(spark, sf):
-    ends = [F.col(c) for c in _ENDS]
-    return _segments(spark, sf).select("page", "idx", G.orientation(*ends).alias("kind"), G.length(*ends).alias("length"))
-
-
-def _bucketed(spark, sf) -> DataFrame:
-    ends = [F.col(c) for c in _ENDS]
-    near = G.near_counts(_segments(spark, sf), _points(spark, sf), 12.0)
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    return near.withColumn("bucket", G.bucket(G.length(*ends), G.orientation(*ends), cx, cy, F.col("near")))
-
-
-_BUCKET = f"""WITH {_NEAR}, k AS (SELECT s.*, coalesce(n, 0) AS near, {_KIND} AS kind, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len, (x0 + x1) / 2 >= 720 AS r, (y0 + y1) / 2 >= 720 AS b FROM seg s LEFT JOIN near USING (page, idx)),
-  bucketed AS (SELECT *, CASE WHEN kind = 'ponto' THEN 'thin' WHEN r AND b THEN 'titleblock' WHEN near >= 3 THEN 'text_near' WHEN len < 8 THEN 'short' WHEN kind = 'diagonal' THEN 'diagonal' WHEN (r OR b) AND len < 40 THEN 'titleblock_suspect' WHEN len >= 20 THEN 'wall' ELSE 'other' END AS bucket FROM k)"""
-
-
-@query(f"{_BUCKET} SELECT page, idx, near::BIGINT AS near, bucket FROM bucketed")
-def q19_line_buckets(spark, sf):
-    return _bucketed(spark, sf).select("page", "idx", "near", "bucket")
-
-
-@query(f"{_BUCKET}, n AS (SELECT page, idx, bucket, row_number() OVER (PARTITION BY page ORDER BY CASE bucket WHEN 'thin' THEN 0 WHEN 'short' THEN 1 WHEN 'text_near' THEN 2 ELSE 3 END, idx) AS n FROM bucketed WHERE bucket <> 'wall') SELECT page, idx, bucket FROM n WHERE n <= 100")
-def q19b_noise_budget(spark, sf):
-    order = F.when(F.col("bucket") == "thin", 0).when(F.col("bucket") == "short", 1).when(F.col("bucket") == "text_near", 2).otherwise(3)
-    return G.budget(_bucketed(spark, sf).filter("bucket <> 'wall'"), [order, F.col("idx")], 100).select("page", "idx", "bucket")
-
-
-_WALLS = """walls AS (SELECT DISTINCT l_orderkey % 400 AS page, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS orient, ((l_partkey % 8) * 40 + 100)::DOUBLE AS pos, ((l_suppkey % 6) * 40 + 100)::DOUBLE AS s, ((l_suppkey % 6) * 40 + 100 + (l_quantity::INT % 5 + 1) * 40)::DOUBLE AS e FROM lineitem),
-  g AS (SELECT *, sum(j) OVER (PARTITION BY page, orient ORDER BY pos RANGE UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY page, orient ORDER BY pos) > 2 THEN 1 ELSE 0 END AS j FROM walls)),
-  i AS (SELECT *, sum(b) OVER (PARTITION BY page, orient, g ORDER BY s, e, pos ROWS UNBOUNDED PRECEDING) AS i, avg(pos) OVER (PARTITION BY page, orient, g) AS p FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY page, orient, g ORDER BY s, e, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 1 ELSE 0 END AS b FROM g)),
-  merged AS (SELECT page, orient, round(any_value(p), 3) AS pos, min(s) AS s, max(e) AS e, count(*) AS sources FROM i GROUP BY page, orient, g, i)"""
-_CELLS = f"""{_WALLS}, pos AS (SELECT page, orient, pos, lead(pos) OVER (PARTITION BY page, orient ORDER BY pos) AS nxt FROM (SELECT DISTINCT page, orient, pos FROM merged)),
-  cand AS (SELECT x.page, x.pos AS l, x.nxt AS r, y.pos AS t, y.nxt AS b FROM pos x JOIN pos y ON x.page = y.page AND x.orient = 'v' AND y.orient = 'h' WHERE x.nxt IS NOT NULL AND y.nxt IS NOT NULL),
-  cells AS (SELECT page, l, r, t, b, row_number() OVER (PARTITION BY page ORDER BY t, l)::INT AS cell, (r - l) * (b - t) AS area FROM cand c
-    WHERE EXISTS (SELECT 1 FROM merged m WHERE m.page = c.page AND m.orient = 'h' AND m.pos = c.t AND m.s <= c.l + 2 AND m.e >= c.r - 2) AND EXISTS (SELECT 1 FROM merged m WHERE m.page = c.page AND m.orient = 'h' AND m.pos = c.b AND m.s <= c.l + 2 AND m.e >= c.r - 2)
-      AND EXISTS (SELECT 1 FROM merged m WHERE m.page = c.page AND m.orient = 'v' AND m.pos = c.l AND m.s <= c.t + 2 AND m.e >= c.b - 2) AND EXISTS (SELECT 1 FROM merged m WHERE m.page = c.page AND m.orient = 'v' AND m.pos = c.r AND m.s <= c.t + 2 AND m.e >= c.b - 2))"""
-_EDGES = f"""{_CELLS}, edges AS (SELECT DISTINCT a.page, least(a.cell, b.cell) AS src, greatest(a.cell, b.cell) AS dst FROM cells a JOIN cells b ON a.page = b.page AND a.cell <> b.cell
-    WHERE (abs(a.r - b.l) <= 2 AND least(a.b, b.b) - greatest(a.t, b.t) >= greatest(2, 0.25 * least(a.b - a.t, b.b - b.t))) OR (abs(a.b - b.t) <= 2 AND least(a.r, b.r) - greatest(a.l, b.l) >= greatest(2, 0.25 * least(a.r - a.l, b.r - b.l))))"""
-_COMPONENTS = f"""{_EDGES}, both_ways AS (SELECT page, src, dst FROM edges UNION ALL SELECT page, dst, src FROM edges),
-  reach AS (SELECT page, cell, cell AS c FROM cells UNION SELECT r.page, b.dst, r.c FROM reach r JOIN both_ways b ON r.page = b.page AND r.cell = b.src),
-  comps AS (SELECT page, cell, min(c) AS component FROM reach GROUP BY 1, 2)"""
-
-
-def _merged(spark: SparkSession, sf: str) -> DataFrame:
-    s = ((F.col("l_suppkey") % 6) * 40 + 100).cast("double")
-    walls = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 400).alias("page"), F.when(F.col("l_linenumber") % 2 == 0, "h").otherwise("v").alias("orient"), ((F.col("l_partkey") % 8) * 40 + 100).cast("double").alias("pos"), s.alias("start"), (s + (F.col("l_quantity").cast("int") % 5 + 1) * 40).alias("end")).distinct()
-    return G.merge_segments(walls)
-
-
-def _cells(spark, sf) -> DataFrame:
-    return G.closed_cells(_merged(spark, sf))
-
-
-@query(f"WITH {_WALLS} SELECT page, orient, pos, s AS start, e AS \"end\", sources FROM merged")
-def q20_merge_segments(spark, sf):
-    return _merged(spark, sf)
-
-
-@query(f"WITH {_CELLS} SELECT page, cell, l AS \"left\", t AS top, r AS \"right\", b AS bottom, area FROM cells")
-def q21_region_cells(spark, sf):
-    return _cells(spark, sf).select("page", "cell", "left", "top", "right", "bottom", "area")
-
-
-@query(f"WITH {_EDGES} SELECT page, src, dst FROM edges")
-def q22_adjacency(spark, sf):
-    return G.adjacency(_cells(spark, sf).persist())
-
-
-@query(f"WITH RECURSIVE {_COMPONENTS} SELECT page, cell, component FROM comps")
-def q23_components(spark, sf):
-    cells = _cells(spark, sf).persist()  # read by both sides of the adjacency and again for lone cells
-    return G.page_components(cells, G.adjacency(cells))
-
-
-@query(f"""WITH RECURSIVE {_COMPONENTS}, k AS (SELECT page, component, count(*) AS cells, min(l) AS "left", min(t) AS top, max(r) AS "right", max(b) AS bottom, sum(area) AS a FROM cells JOIN comps USING (page, cell) GROUP BY 1, 2),
-  n AS (SELECT e.page, component, count(*) AS edges FROM edges e JOIN comps c ON c.page = e.page AND c.cell = e.src GROUP BY 1, 2),
-  f AS (SELECT k.*, coalesce(edges, 0) AS edges, round(a / (("right" - "left") * (bottom - top)), 4) AS fill FROM k LEFT JOIN n USING (page, component))
-SELECT page, component, cells, "left", top, "right", bottom, edges, fill, CASE WHEN cells < 2 THEN 'single' WHEN cells > 200 THEN 'too_many' WHEN fill < 0.5 THEN 'sparse' ELSE '' END AS reason FROM f""")
-def q24_composites(spark, sf):
-    cells = _cells(spark, sf).persist()
-    edges = G.adjacency(cells).persist()
-    return G.composites(cells, G.page_components(cells, edges), edges).select("page", "component", "cells", "left", "top", "right", "bottom", "edges", "fill", "reason")
-
-
-# ---- records -----------------------------------------------------------------------------------------------------
-
-_PRICES = (("R1-N", 2500.5), ("R4-N", 2300.0), ("R8-N", 2100.25), ("R16-N", 2050.0), ("CSL-8", 2700.0), ("PIS", 1800.0))
-
-
-@query(f"""WITH r AS (SELECT o_orderkey AS doc, (o_custkey % 25)::INT AS floors, o_orderkey % 9 = 0 AS commercial, CASE WHEN o_orderkey % 13 = 0 THEN 'PIS' ELSE '' END AS explicit, CASE WHEN o_orderkey % 17 = 0 THEN 999.0 ELSE 0.0 END AS price FROM orders),
-  t AS (SELECT *, CASE WHEN explicit <> '' THEN explicit WHEN commercial THEN 'CSL-8' WHEN floors > 0 THEN CASE WHEN floors <= 1 THEN 'R1-N' WHEN floors <= 4 THEN 'R4-N' WHEN floors <= 8 THEN 'R8-N' ELSE 'R16-N' END END AS price_type FROM r),
-  p AS (SELECT * FROM (VALUES {", ".join(map(str, _PRICES))}) AS v(price_type, p))
-SELECT doc, price_type, CASE WHEN price <> 0 THEN price ELSE coalesce(p, 0.0) END::DOUBLE AS price FROM t LEFT JOIN p USING (price_type)""")
-def q25_cub_choice(spark, sf):
-    k = F.col("o_orderkey")
-    rows = table(spark, sf, "orders").select(k.alias("doc"), (F.col("o_custkey") % 25).cast("int").alias("floors"), (k % 9 == 0).alias("commercial"), F.when(k % 13 == 0, "PIS").otherwise("").alias("explicit"), F.when(k % 17 == 0, 999.0).otherwise(0.0).alias("price"))
-    return R.choose_price(rows, spark.createDataFrame(_PRICES, "type string, price double")).select("doc", "price_type", "price")
-
-
-_FIELDS = {"nome": "string", "floors": "number", "ok_flag": "boolean", "area": "number", "city": "string"}
-_RECORD = """rec AS (SELECT c_custkey AS doc, CASE WHEN c_custkey % 7 = 0 THEN '  ' WHEN c_custkey % 11 = 0 THEN NULL ELSE c_name END AS nome, (c_custkey % 5)::INT AS floors, c_custkey % 3 = 0 AS ok_flag, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS area, CASE WHEN c_nationkey % 4 = 0 THEN '' ELSE 'Cidade' END AS city FROM customer),
-  flags AS (SELECT doc, coalesce(trim(nome) <> '', false) AS a, floors <> 0 AS b, ok_flag AS c, area <> 0 AS d, city <> '' AS e FROM rec)"""
-
-
-def _records(spark, sf) -> DataFrame:
-    k = F.col("c_custkey")
-    return table(spark, sf, "customer").select(k.alias("doc"), F.when(k % 7 == 0, "  ").when(k % 11 == 0, None).otherwise(F.col("c_name")).alias("nome"), (k % 5).cast("int").alias("floors"), (k % 3 == 0).alias("ok_flag"), F.when(F.col("c_acctbal") < 0, 0.0).otherwise(F.col("c_acctbal")).alias("area"), F.when(F.col("c_nationkey") % 4 == 0, "").otherwise("Cidade").alias("city"))
-
-
-@query(f"WITH {_RECORD} SELECT doc, a AND b AS ok, round((a::INT + b::INT + c::INT + d::INT + e::INT) / 5.0, 4)::DOUBLE AS score FROM flags")
-def q26_validation_score(spark, sf):
-    return R.validation(_records(spark, sf), _FIELDS, ("nome", "floors")).select("doc", "ok", F.col("score").cast("double").alias("score"))
-
-
-@query(f"WITH {_RECORD} SELECT doc, unnest(list_filter([CASE WHEN NOT a THEN 'nome' END, CASE WHEN NOT b THEN 'floors' END, CASE WHEN NOT c THEN 'ok_flag' END, CASE WHEN NOT d THEN 'area' END, CASE WHEN NOT e THEN 'city' END], lambda x: x IS NOT NULL)) AS path FROM flags")
-def q27_missing_fields(spark, sf):
-    return R.validation(_records(spark, sf), _FIELDS, ("nome",)).select("doc", F.explode("missing").alias("path"))
-
-
-_PATHS = ("projeto.nome", "projeto.local", "projeto.cub", "quadro1[3].area", "quadro6[1].nome", "quadro7[2].piso", "quadro7[2].teto", "outro.campo")
-_RULES_SQL = """rules AS (SELECT * FROM (VALUES ('projeto.nome', 'regex', true), ('projeto.local', 'regex', true), ('projeto.cub', 'tabela', false), ('quadro1[]', 'regex', false), ('quadro6[]', 'misto', true), ('quadro7[]', 'misto', true), ('quadro7[].piso', 'regex', false), ('responsavel.crea', 'regex', false)) AS v(rule, origin, patchable))"""
-_PATCH_SQL = f"""{_NUMBERED}, pat AS (SELECT l_orderkey AS doc, n AS pos, ({list(_PATHS)})[(l_partkey % 8 + 1)::INT] AS path, CASE WHEN l_suppkey % 6 = 0 THEN '' ELSE 'v' || l_suppkey END AS value, CASE WHEN l_suppkey % 5 = 0 THEN 'abc' ELSE 'linha do texto' END AS evidence, CASE WHEN l_partkey % 9 = 0 THEN 'baixa' ELSE 'alta' END AS confidence FROM li),
-  {_RULES_SQL}, j AS (SELECT p.*, origin, patchable, rule FROM pat p LEFT JOIN rules r ON regexp_replace(path, '\\[[0-9]+\\]', '[]') = rule OR starts_with(regexp_replace(path, '\\[[0-9]+\\]', '[]'), rule || '.') QUALIFY row_number() OVER (PARTITION BY doc, pos ORDER BY length(rule) DESC NULLS LAST) = 1),
-  judged AS (SELECT *, CASE WHEN path = '' THEN 'path_vazio' WHEN patchable IS NULL THEN 'path_desconhecido' WHEN NOT patchable THEN 'path_protegido' WHEN trim(value) = '' THEN 'valor_vazio' WHEN length(evidence) < 5 THEN 'sem_evidencia' WHEN confidence NOT IN ('alta', 'media') THEN 'confianca_baixa' END AS reason FROM j)"""
-
-
-def _patches(spark, sf) -> DataFrame:
-    s = F.col("l_suppkey")
-    return _numbered(spark, sf).select(
-        F.col("l_orderkey").alias("doc"), F.col("n").alias("pos"), F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("l_partkey") % 8 + 1).cast("int")).alias("path"),
-        F.when(s % 6 == 0, "").otherwise(F.concat(F.lit("v"), s.cast("string"))).alias("value"), F.when(s % 5 == 0, "abc").otherwise("linha do texto").alias("evidence"), F.when(F.col("l_partkey") % 9 == 0, "baixa").otherwise("alta").alias("confidence"),
-    )
-
-
-_BASE_SQL = """base AS (SELECT o_orderkey AS doc, p AS path, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'd' || o_orderkey END AS value FROM orders, (SELECT unnest(['projeto.nome', 'quadro7[2].teto']) AS p))"""
-
-
-def _base(spark, sf) -> DataFrame:
-    k = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(k.alias("doc"), F.explode(F.array(F.lit("projeto.nome"), F.lit("quadro7[2].teto"))).alias("path"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("d"), k.cast("string"))).alias("value"))
-
-
-@query(f"WITH {_PATCH_SQL}, {_BASE_SQL}, last AS (SELECT doc, path, arg_max(value, pos) AS patched FROM judged WHERE reason IS NULL GROUP BY 1, 2) SELECT doc, path, coalesce(patched, value) AS value, patched IS NOT NULL AS changed FROM base FULL JOIN last USING (doc, path)")
-def q28_patch_apply(spark, sf):
-    return R.apply_patches(_base(spark, sf), _patches(spark, sf), R.matrix(spark))
-
-
-@query(f"WITH {_PATCH_SQL} SELECT doc, pos::INT AS pos, coalesce(reason, 'aceito') AS reason FROM judged")
-def q28b_patch_reasons(spark, sf):
-    judged = R.lookup(_patches(spark, sf), R.matrix(spark))
-    return judged.select("doc", "pos", F.coalesce(R.patch_reason(*(F.col(c) for c in ("path", "value", "evidence", "confidence", "patchable"))), F.lit("aceito")).alias("reason"))
-
-
-@query(f"""WITH {_PATCH_SQL}, {_BASE_SQL}, last AS (SELECT doc, path, arg_max(value, pos) AS patched FROM judged WHERE reason IS NULL GROUP BY 1, 2),
-  o AS (SELECT doc, path, coalesce(patched, value) AS value FROM base FULL JOIN last USING (doc, path)),
-  d AS (SELECT doc, path, coalesce(trim(b.value) <> '', false) AS fa, coalesce(trim(o.value) <> '', false) AS fb, b.value AS a, o.value AS v FROM base b FULL JOIN o USING (doc, path)),
-  s AS (SELECT doc, path, CASE WHEN fa AND NOT fb THEN 'perdido' WHEN NOT fa AND fb THEN 'ganho' WHEN fa AND fb AND a <> v THEN 'diferente' END AS status FROM d) SELECT * FROM s WHERE status IS NOT NULL""")
-def q29_mode_diff(spark, sf):
-    base = _base(spark, sf)
-    return R.compare(base, R.apply_patches(base, _patches(spark, sf), R.matrix(spark)).drop("changed"))
-
-
-# ---- cells -------------------------------------------------------------------------------------------------------
-
-_CELL_SQL = """n AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderstatus AS status, o_orderpriority AS priority, o_orderkey FROM orders),
-  cells AS (SELECT doc, 'QUADRO I' AS sheet, (n + 16)::INT AS row, c.col, 'QUADRO I!' || chr(64 + c.col) || (n + 16) AS ref, CASE c.col WHEN 1 THEN status WHEN 3 THEN priority ELSE o_orderkey::VARCHAR END AS value FROM n, (SELECT unnest([1, 3, 4]) AS col) c WHERE n <= 25)"""
-
-
-def _order_cells(spark, sf) -> DataFrame:
-    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), "o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    return C.table_cells(rows, {"status": 1, "priority": 3, "o_orderkey": 4}, "QUADRO I", 17, 25, ["o_orderkey"])
-
-
-@query(f"""WITH {_CELL_SQL}, f AS (SELECT doc, ref, value, CASE WHEN col = 4 AND row % 3 = 0 THEN (value::BIGINT + 1)::VARCHAR WHEN col = 1 AND row % 5 = 0 THEN '' ELSE value || ' ' END AS found FROM cells)
-SELECT doc, ref, value AS expected, found FROM f WHERE trim(value) <> trim(found)""")
-def q30_cells_audit(spark, sf):
-    cells = _order_cells(spark, sf)
-    found = F.when((F.col("col") == 4) & (F.col("row") % 3 == 0), (F.col("value").try_cast("long") + 1).cast("string")).when((F.col("col") == 1) & (F.col("row") % 5 == 0), "").otherwise(F.concat(F.col("value"), F.lit(" ")))
-    return C.audit(cells, cells.withColumn("value", found))
-
-
-@query(f"""WITH {_CELL_SQL}, t AS (SELECT DISTINCT ref FROM cells WHERE col = 4 AND row % 2 = 0) SELECT sheet, col, count(*) AS written FROM cells WHERE ref NOT IN (SELECT ref FROM t) GROUP BY 1, 2""")
-def q31_formula_protect(spark, sf):
-    cells = _order_cells(spark, sf)
-    template = cells.select("ref", F.when((F.col("col") == 4) & (F.col("row") % 2 == 0), "=SUM(A1:A2)").otherwise("").alias("value")).distinct()
-    return C.without_formulas(cells, template).groupBy("sheet", "col").agg(F.count("*").alias("written"))
-
-
-@query("""WITH s AS (SELECT 'S' || (l_partkey % 10) AS sheet, CASE WHEN l_suppkey % 4 = 0 THEN '=A1' ELSE 'x' END AS value FROM lineitem) SELECT sheet, count(*) AS formulas FROM s WHERE starts_with(value, '=') GROUP BY ROLLUP (sheet)""")
-def q31b_formula_inventory(spark, sf):
-    return C.formula_inventory(table(spark, sf, "lineitem").select(F.concat(F.lit("S"), (F.col("l_partkey") % 10).cast("string")).alias("sheet"), F.when(F.col("l_suppkey") % 4 == 0, "=A1").otherwise("x").alias("value")))
-
-
-@query(f"WITH {_PATCH_SQL} SELECT DISTINCT path, origin, patchable, rule FROM j")
-def q32_matrix_lookup(spark, sf):
-    paths = _patches(spark, sf).select("path").distinct()
-    return R.lookup(paths, R.matrix(spark))
-
-
-# ---- drawings and texts ------------------------------------------------------------------------------------------
-
-
-@query(f"""WITH {_SEG}, n AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY idx, x0, y0, x1, y1) AS n, '<line class="' || {_KIND} || '" x1="' || x0::BIGINT || '" y1="' || y0::BIGINT || '" x2="' || x1::BIGINT || '" y2="' || y1::BIGINT || '"/>' AS element FROM seg)
-SELECT page, count(*) AS n, md5('<g id="lines">' || string_agg(element, '' ORDER BY n) || '</g>') AS body FROM n WHERE n <= 200 GROUP BY page""")
-def q33_svg_layers(spark, sf):
-    items = _segments(spark, sf).withColumn("element", S.line_element(G.orientation(*(F.col(c) for c in _ENDS))))
-    return S.layer(items, "lines", 200, ["idx", *_ENDS]).select("page", "n", F.md5("body").alias("body"))
-
-
-@query("""SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events""")
-def q34_noisy_json(spark, sf):
-    noisy = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Resposta: "), F.col("props"), F.lit(" fim."))).otherwise(F.col("props"))
-    body = F.regexp_extract(noisy, r"(?s)\{.*\}", 0)
-    return table(spark, sf, "events").select("event_id", F.from_json(body, "k bigint")["k"].alias("k"))
-
-
-@query("""SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM pages""")
-def q35_html_escape(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(T.escape_xml(F.col("html"))).alias("escaped"))
-
-
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Sao Jose-SC' END AS city, CASE WHEN length(c_name) > 20 THEN left(c_name, 17) || '...' ELSE c_name END AS label FROM customer""")
-def q36_city_and_label(spark, sf):
-    k = F.col("c_custkey")
-    return table(spark, sf, "customer").select("c_custkey", T.city_uf(F.when(k % 2 == 0, "  SAO   JOSE ").otherwise("sao jose"), F.when(k % 3 == 0, "XX").otherwise("sc")).alias("city"), T.visual_cut(F.col("c_name")).alias("label"))
-
-
-@query("""WITH i AS (SELECT o_custkey AS doc, o_orderkey AS pos, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS nome, o_orderstatus AS tipo FROM orders) SELECT doc, lower(nome) AS nome, tipo, min(pos) AS pos FROM i GROUP BY doc, lower(nome), tipo""")
-def q37_dedup_items(spark, sf):
-    nome = F.when(F.col("o_orderkey") % 2 == 0, F.upper("o_orderpriority")).otherwise(F.lower("o_orderpriority"))
-    items = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("pos"), nome.alias("nome"), F.col("o_orderstatus").alias("tipo"))
-    return R.first_of_equals(items, ["nome", "tipo"], "pos").select("doc", F.lower("nome").alias("nome"), "tipo", "pos")
-
-
-@query("""SELECT l_orderkey AS doc, l_linenumber AS line_no, l_quantity * 1.5 > 20 AND (l_partkey % 40 + 1) * l_quantity > (l_suppkey % 50 + 1) * 20 * 1.5 AS conflict FROM lineitem WHERE l_quantity * 1.5 > 20""")
-def q38_area_conflict(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_quantity * 1.5 > 20")
-    return li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line_no"), R.typical_area_conflict(F.col("l_partkey") % 40 + 1, F.col("l_quantity"), (F.col("l_suppkey") % 50 + 1) * 20).alias("conflict"))
-
-
-@query("""WITH t AS (SELECT p_partkey AS doc, p_partkey % 4 AS k, p_size AS n, p_partkey * 37 % 100000 + 100000 AS b FROM part),
-  r AS (SELECT doc, 'R' || n || '-' || s AS type, (b + j * 1111) / 100.0 AS price FROM t, (VALUES ('B', 0), ('N', 1), ('A', 2)) v(s, j) WHERE k <> 0 UNION ALL SELECT doc, 'CSL-8', (b + 7) / 100.0 FROM t WHERE k > 1)
-SELECT doc, type, round(price, 2)::DOUBLE AS price FROM r""")
-def q39_price_table(spark, sf):
-    b, n = F.col("p_partkey") * 37 % 100000 + 100000, F.col("p_size").cast("string")
-    money = lambda j: T.format_brl((b + j) / 100)
-    triple = F.concat(*(x for j in (0, 1111, 2222) for x in (F.lit("R-"), n, F.lit(" "), money(j), F.lit(" "))))
-    line = F.when(F.col("p_partkey") % 4 == 0, "sem tabela").when(F.col("p_partkey") % 4 == 1, triple).otherwise(F.concat(triple, F.lit(" CSL-8 "), money(7)))
-    got = PR.price_table(table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), line.alias("line")))
-    return got.select("doc", "type", F.round("price", 2).alias("price"))
-
-
-def _project_pages(spark, sf) -> DataFrame:
-    """One invented project text for each order."""
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    s = lambda x: x.cast("string")
-    rows = F.array(
-        F.lit("EDIFICIO AURORA"),
-        F.concat(F.lit("CNPJ: "), F.lpad(s(c * 7919 % 100000000), 8, "0"), F.lit("000190")),
-        F.when(k % 3 == 0, "Curitiba-PR").otherwise("sem cidade"),
-        F.concat(F.lit("ALVARA "), s(k % 9000 + 1000), F.lit("/2023")),
-        F.concat(F.lit("data "), F.date_format("o_orderdate", "dd/MM/yyyy")),
-        F.concat(F.lit("(1º AO "), s(c % 30 + 2), F.lit("º) PAV. TIPO - 55,50 X "), s(k % 8 + 1), F.lit(" APTOS")),
-        F.when(k % 2 == 0, "PAV. TERREO").otherwise("COBERTURA"),
-        F.concat(F.lit("TERRENO: "), T.format_brl(F.col("o_totalprice"))),
-        F.concat(F.lit("TOTAL DE VAGAS COMUNS: "), s(k % 50)),
-    )
-    return table(spark, sf, "orders").select(s(k).alias("doc"), F.lit(1).alias("page"), F.array_join(rows, "\n").alias("text"))
-
-
-@query("""WITH o AS (SELECT o_orderkey::VARCHAR AS doc, lpad((o_custkey * 7919 % 100000000)::VARCHAR, 8, '0') || '000190' AS d, o_orderkey AS k, o_custkey AS c, o_orderdate, o_totalprice FROM orders)
-SELECT doc, d[1:2] || '.' || d[3:5] || '.' || d[6:8] || '/' || d[9:12] || '-' || d[13:14] AS cnpj, CASE WHEN k % 3 = 0 THEN 'Curitiba-PR' ELSE '' END AS cidade_uf, (k % 9000 + 1000) || '/2023' AS alvara, strftime(o_orderdate, '%d/%m/%Y') AS data_aprovacao,
-  (k % 8 + 1)::BIGINT AS unidades, (c % 30 + 3)::INT AS pavimentos, round(o_totalprice, 2) AS area_terreno, (k % 50)::INT AS vagas_comuns FROM o""")
-def q40_project_record(spark, sf):
-    got = D.record(DP.lines_of(_project_pages(spark, sf)))
-    return got.select("doc", "cnpj", "cidade_uf", "alvara", "data_aprovacao", F.col("unidades").cast("long").alias("unidades"), "pavimentos", F.round("area_terreno", 2).alias("area_terreno"), "vagas_comuns")
-
-
-@query("""SELECT doc_id::VARCHAR AS doc FROM documents WHERE 1 = 0""")
-def q41_prefilter_over_budget(spark, sf):
-    """Documents whose reduced text is over the budget: none."""
-    lines = L.explode_lines(table(spark, sf, "documents")).select(F.col("doc_id").cast("string").alias("doc"), "line_no", "line")
-    return P.filtered_text(P.prefilter(lines, 2000)).filter(F.length("text") > 2000).select("doc")
-
-
-@query()
-def q42_prefilter(spark, sf):
-    lines = L.explode_lines(table(spark, sf, "documents")).select(F.col("doc_id").cast("string").alias("doc"), "line_no", "line")
-    return P.filtered_text(P.prefilter(lines, 16_000)).select("doc", F.length("text").alias("chars"))
-
-
-@query("""WITH f AS (SELECT p_partkey AS doc, p_partkey % 3 AS k, (p_partkey * 7 % 9000 + 100) / 100.0 AS a, (p_partkey * 11 % 9000 + 100) / 100.0 AS b, p_size AS q, p_partkey % 5 AS m FROM part)
-SELECT doc, 1 AS position, 'TÉRREO' AS nome, 0.0::DOUBLE AS area_priv_cob_padrao, a::DOUBLE AS area_comum_p_cob_padrao, CASE WHEN k = 1 THEN b ELSE 0 END::DOUBLE AS area_comum_np_cob_padrao, 1 AS qtd FROM f WHERE k > 0
-UNION ALL SELECT doc, 3, 'COBERTURA', b::DOUBLE, 0.0, 0.0, 1 FROM f WHERE m = 2
-UNION ALL SELECT doc, 0, '', 0.0, 0.0, 0.0, 1 FROM f WHERE k = 0 AND m <> 2""")
-def q43_floor_table(spark, sf):
-    k, money = F.col("p_partkey"), lambda c: T.format_brl(c / 100)
-    a, b = money(F.col("p_partkey") * 7 % 9000 + 100), money(F.col("p_partkey") * 11 % 9000 + 100)
-    lines = F.array(
-        F.when(k % 3 > 0, F.concat(F.lit("PAV. TERREO AREA COBERTA: "), a)).otherwise("nada"),
-        F.when(k % 3 == 1, F.concat(F.lit("PAV. TERREO AREA DESCOBERTA: "), b)).otherwise("nada"),
-        F.when(k % 5 == 2, F.concat(F.lit("COBERTURA "), b)).otherwise("nada"),
-    )
-    rows = table(spark, sf, "part").select(k.alias("doc"), F.posexplode(lines).alias("line_no", "line"))
-    return D.floor_table(rows)
-
-
-@query(f"""WITH {_CELLS}, k AS (SELECT page, cell, area, (l + r) / 2 AS cx, (t + b) / 2 AS cy, t, l, CASE WHEN least(r - l, b - t) < 10 THEN 'estreita' WHEN area / 250000 < 0.01 THEN 'pequena' WHEN area / 250000 > 0.6 THEN 'grande' WHEN (l + r) / 2 >= 360 AND (t + b) / 2 >= 360 THEN 'carimbo' ELSE '' END AS reason FROM cells),
-  n AS (SELECT *, row_number() OVER (PARTITION BY page, reason = '' ORDER BY t, l) AS n FROM k)
-SELECT page, cell, reason, 'p' || lpad(page::VARCHAR, 3, '0') || CASE WHEN reason = '' THEN '_r' ELSE '_x' END || lpad(n::VARCHAR, 4, '0') AS region FROM n""")
-def q44_regions(spark, sf):
-    return G.regions(_cells(spark, sf), 500.0, 500.0, least_share=0.01).select("page", "cell", "reason", "region")
-
-
-@query(f"""WITH {_ROOM_SQL}, c AS (SELECT doc, line_no, room || ' PISO ' || mat AS line, CASE WHEN room = 'ELEVADOR01' THEN 'VI' WHEN mat IN ('', 'CODIGO') THEN NULL WHEN room IN ('HALL', 'ESCADA') THEN 'VIII' WHEN room IN ('SALA', 'BWC', 'COZINHA', 'SACADA') THEN 'VII' END AS section FROM fin),
-  g AS (SELECT doc, section, line, min(line_no) AS line_no FROM c WHERE section IS NOT NULL GROUP BY ALL),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc, section ORDER BY line_no)::INT AS rank FROM g),
-  u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc ORDER BY CASE section WHEN 'VIII' THEN 0 WHEN 'VII' THEN 1 ELSE 2 END, rank ROWS UNBOUNDED PRECEDING) AS used FROM r WHERE rank <= 26)
-SELECT doc, section, rank, line FROM u WHERE used <= 60""")
-def q45_section_cut(spark, sf):
-    return SE.cut_sections(X.section_lines(_finish_lines(spark, sf)).select("doc", "section", "rank", "line"), 60).select("doc", "section", "rank", "line")
-
-
-@query(f"""WITH {_ROOM_SQL}, t AS (SELECT doc, line_no, CASE WHEN room IN ('SALA', 'BWC', 'COZINHA', 'SACADA', 'HALL', 'ESCADA') THEN room ELSE '' END AS room, CASE WHEN mat = 'CODIGO' THEN '' ELSE mat END AS mat FROM fin),
-  w AS (SELECT *, lead(room) OVER v AS nr, lead(mat) OVER v AS nm FROM t WINDOW v AS (PARTITION BY doc ORDER BY line_no)),
-  k AS (SELECT doc, room, mat, nm, nr, room IN ('SALA', 'BWC', 'COZINHA', 'SACADA') AS private, room <> '' AND mat <> '' AS same FROM w),
-  c AS (SELECT DISTINCT doc, CASE WHEN private THEN 'VII' ELSE 'VIII' END AS section, room, CASE WHEN same THEN mat ELSE nm END AS m FROM k WHERE same OR (private AND room <> 'BWC' AND mat = '' AND nr = '' AND nm <> ''))
-SELECT doc, section, room, string_agg(upper(m[1]) || lower(m[2:]), ', ' ORDER BY m) AS materials FROM c GROUP BY 1, 2, 3""")
-def q46_finish_items(spark, sf):
-    return SE.finish_items(X.finish_candidates(_finish_lines(spark, sf)))
-
-
-@query("""WITH r AS (SELECT o_orderkey AS doc, (o_custkey % 25)::INT AS floors, CASE WHEN o_orderkey % 3 = 0 THEN 'R1-N' WHEN o_orderkey % 3 = 1 THEN 'R16-N' END AS price_type, CASE WHEN o_orderkey % 2 = 0 THEN 10.0 ELSE 0 END AS price FROM orders)
-SELECT doc, 'cub_baixo_para_edificio_alto' AS warning FROM r WHERE floors >= 8 AND price_type IN ('R1-N', 'R4-N') UNION ALL SELECT doc, 'cub_sem_tipo' FROM r WHERE price > 0 AND price_type IS NULL""")
-def q47_price_warnings(spark, sf):
-    k = F.col("o_orderkey")
-    rows = table(spark, sf, "orders").select(k.alias("doc"), (F.col("o_custkey") % 25).cast("int").alias("floors"), F.when(k % 3 == 0, "R1-N").when(k % 3 == 1, "R16-N").alias("price_type"), F.when(k % 2 == 0, 10.0).otherwise(0.0).alias("price"))
-    return SE.price_warnings(rows)
-
+from granella.plans import queries_drawing, queries_record, queries_section, queries_text  # noqa: F401  they register themselves
+from granella.plans.registry import ORACLES, QUERIES
 
-@query("""WITH i AS (SELECT o_custkey AS doc, o_orderstatus AS kind, o_orderkey AS position, 'p' || o_orderkey AS item FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY doc, kind ORDER BY position) AS n FROM i)
-SELECT doc, kind, string_agg(item, '; ' ORDER BY position) AS text FROM n WHERE n <= CASE kind WHEN 'O' THEN 2 WHEN 'F' THEN 3 ELSE 1 END GROUP BY 1, 2""")
-def q48_summary_lists(spark, sf):
-    items = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("position"), F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("item"))
-    return SE.summary_lists(items, {"O": 2, "F": 3, "P": 1})
+__all__ = ["ORACLES", "QUERIES"]

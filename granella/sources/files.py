@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 PAGES = "doc string, page int, text string, origin string"
 ELEMENTS = "doc string, page int, kind string, idx int, x0 double, top double, x1 double, bottom double, text string"
 
-#: Bands of a large page that are recognised on their own (name, x0, y0, x1, y1 as shares).
-BANDS = (("direita", 0.6, 0.0, 1.0, 1.0), ("direita_inferior", 0.6, 0.5, 1.0, 1.0), ("inferior", 0.0, 0.7, 1.0, 1.0))
+#: Bands of a large page that are recognised on their own (name, x0, y0, x1, y1 as shares), and sizes.
+BANDS = (("direita", 0.78, 0.0, 1.0, 1.0), ("inferior_direita", 0.70, 0.55, 1.0, 1.0), ("inferior", 0.0, 0.70, 1.0, 1.0))
+LARGE_PAGE, BAND_DPI, ANCHOR_DPI, LEAST_CHARS = 1_500_000, 80, 200, 80
+#: What shows that a recognised page is about the project's body.
+PROJECT_BODY = r"(?iU)APTOS?|APARTAMENTOS?|PAVIMENTOS?|PAV\.?\s*TIPO|TOTAL\s+DE\s+VAGAS|\d+\s*[xX×]\s*\d+\s*APTOS"
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -64,7 +67,25 @@ def join_texts(*parts):
 
 
 def large_page(width, height):
-    return width * height > 1_500_000
+    return width * height > LARGE_PAGE
+
+
+def has_project_body(text):
+    """True for a recognised text that mentions units, floors or parking."""
+    return F.coalesce(text.rlike(PROJECT_BODY), F.lit(False))
+
+
+def needs_recognition(text, least: int = LEAST_CHARS):
+    """True for a page whose own text is too short to be all of it."""
+    return F.length(F.trim(F.coalesce(text, F.lit("")))) < least
+
+
+def band_text(bands: DataFrame, key: tuple[str, ...] = ("doc", "page")) -> DataFrame:
+    """(doc, page, text): recognised bands (band, text) under their names, in the bands' order; blank ones are left out."""
+    rank = F.array_position(F.array(*(F.lit(b[0]) for b in BANDS)), F.col("band"))
+    part = F.concat(F.lit("OCR_REGIAO: "), F.col("band"), F.lit("\n"), F.trim("text"))
+    rows = F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct(rank.alias("r"), part.alias("t")))))
+    return bands.groupBy(*key).agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n\n").alias("text"))
 
 
 def page_bands(pages: DataFrame) -> DataFrame:
@@ -94,9 +115,25 @@ def boxes(elements: DataFrame) -> DataFrame:
     return elements.withColumns({"cx": third(cx), "cy": third(cy), "nx0": share(F.col("x0"), "width"), "nx1": share(F.col("x1"), "width"), "ntop": share(F.col("top"), "height"), "nbottom": share(F.col("bottom"), "height"), "ncx": share(cx, "width"), "ncy": share(cy, "height")})
 
 
-def write_json(df: DataFrame, path: str, by: str = "doc") -> None:
-    """One JSON line per row, in folders by document."""
-    df.write.mode("overwrite").partitionBy(by).json(path)
+def inventory(elements: DataFrame) -> DataFrame:
+    """(doc, page, texts, lines, rects, curves, elements) counts of elements (doc, page, kind) by page, and of each document (page null)."""
+    of = lambda kind: F.sum((F.col("kind") == kind).cast("long")).alias(f"{kind}s")
+    return elements.groupingSets([("doc", "page"), ("doc",)], "doc", "page").agg(*(of(k) for k in ("text", "line", "rect", "curve")), F.count("*").alias("elements"))
+
+
+def colour(value):
+    """A colour of numbers or of one number as a list of numbers with four places; null for others."""
+    numbers = F.regexp_extract_all(value, F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    return F.when(F.size(numbers) > 0, F.transform(numbers, lambda x: F.round(x.cast("double"), 4)))
+
+
+def write_json(df: DataFrame, path: str, by: str = "doc", folders: int = 0) -> None:
+    """One JSON line per row; a document's rows are in one file. With folders, in so many folders by a hash of the document."""
+    if folders:
+        df = df.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(folders)))
+        df.repartition("bucket").sortWithinPartitions(by).write.mode("overwrite").partitionBy("bucket").json(path)
+    else:
+        df.repartition(by).sortWithinPartitions(by).write.mode("overwrite").json(path)
 
 
 def svg_name(stem, page, kind: str = "debug"):

@@ -1,4 +1,4 @@
-"""The same line operators over a stream of page texts."""
+"""The same document plan over a stream of page texts."""
 
 from __future__ import annotations
 
@@ -22,6 +22,20 @@ def counts(pages: DataFrame, window: str = "10 minutes", late: str = "1 hour") -
     return pages.withWatermark("arrived", late).groupBy(F.window("arrived", window)).agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
 
 
-def start_records(pages: DataFrame, prices: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Every micro-batch runs the document plan and goes to sink(records, batch); a document's pages arrive together."""
-    return pages.writeStream.foreachBatch(lambda batch, n: sink(D.run(batch.select("doc", "page", "text"), prices).records, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start_records(pages: DataFrame, prices: dict[str, float], sink: Callable[[DataFrame, int], None], checkpoint: str, store: str):
+    """Every micro-batch adds its pages to the store and gives sink(records, batch) the records of the documents it touched, made of all their pages so far.
+
+    The store is a folder of Parquet files, one for each batch number: a batch
+    that is run again replaces its own files. So a document whose pages arrive in
+    several batches gets a whole record with the last of them.
+    """
+
+    def run(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        batch.select("doc", "page", "text").write.mode("overwrite").parquet(f"{store}/batch={n}")
+        every = spark.read.parquet(store).filter(F.col("batch") <= n)
+        touched = every.filter(F.col("batch") == n).select("doc").distinct()
+        latest = every.join(touched, "doc", "left_semi").groupBy("doc", "page").agg(F.max_by("text", "batch").alias("text"))
+        sink(D.run(latest, prices).records, n)
+
+    return pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

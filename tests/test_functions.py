@@ -23,20 +23,22 @@ def test_masks(spark):
     assert one(spark, "12345678000190", T.normalise_cnpj) == "12.345.678/0001-90"
     assert one(spark, "123", T.normalise_cnpj) == ""
     assert one(spark, "CREASP-54321D", T.normalise_crea) == "SP-54321/D"
-    assert one(spark, "aaaa XXXXX !!! b b b b", T.squeeze_repeats) == "aaaa X ! b"
+    assert one(spark, "SP 54321", T.normalise_crea) == "SP-54321" and one(spark, "CREA 54321", T.normalise_crea) == ""
+    assert one(spark, "2457/2023", T.admin_number_score) == 45 and one(spark, "245712029", T.admin_number_score) == -20 and one(spark, " ", T.admin_number_score) == -1
+    assert one(spark, "AREA  DO TERREO\n\n\n 50 M2", T.repair_ocr) == "ÁREA DO TÉRREO\n\n50 m²"
     assert one(spark, "a & <b>", T.escape_xml) == "a &amp; &lt;b&gt;"
 
 
 def test_units(spark):
-    rows = [("d", 0, "(1º AO 202) PAV. TIPO - 55,00 X 4 APTOS"), ("d", 1, "(1º AO 20º) PAV. TIPO - 55,00 X 4 APTOS"), ("d", 2, "(1º AO 20º) PAV. TIPO - X 4 APTOS"), ("d", 3, "(1º AO 20º) PAV. TIPO - X 7 APTOS")]
-    got = X.units(spark.createDataFrame(rows, "doc string, line_no int, line string"))
-    assert sorted((r["area"], r["qty"], r["top"]) for r in got.collect()) == [(0.0, 7, 20), (55.0, 4, 20)]
+    text = "(1º AO 202) PAV. TIPO - 55,00 X 4 APTOS\n(1º AO 20º) PAV. TIPO - 55,00 X 4 APTOS\n(1º AO 20º) PAV. TIPO - X 4 APTOS\n7 APTOS\n2 APTOS/PAV\n60,5 x 3 apartamentos"
+    got = X.units(spark.createDataFrame([("d", text), ("e", None)], "doc string, text string"))
+    assert sorted((r["area"], r["qty"], r["top"]) for r in got.collect()) == [(0.0, 7, 20), (55.0, 4, 20), (60.5, 3, 20)]
 
 
-def test_floors_need_a_range(spark):
-    rows = [("a", 0, "PAV. TÉRREO"), ("a", 1, "1º AO 202"), ("a", 2, "COBERTURA"), ("b", 0, "TERREO")]
-    got = X.floor_count(spark.createDataFrame(rows, "doc string, line_no int, line string"))
-    assert {r["doc"]: r["floors"] for r in got.collect()} == {"a": 22, "b": 0}
+def test_floors(spark):
+    rows = [("a", "PAV. TÉRREO\n1º AO 202\nCOBERTURA"), ("b", "TERREO"), ("c", "12 PAVIMENTOS E TERREO"), ("d", "3º AO 9º")]
+    got = X.floor_count(spark.createDataFrame(rows, "doc string, text string"))
+    assert {r["doc"]: r["floors"] for r in got.collect()} == {"a": 22, "b": 0, "c": 13, "d": 9}
 
 
 def test_merge_tolerance(spark):
