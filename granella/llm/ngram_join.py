@@ -420,20 +420,13 @@ def _set_table(docs: DataFrame, nodes: DataFrame, members: DataFrame, text: str,
     a join drops the rest.
     """
     want = nodes.join(members.filter("node is not null").groupBy("node").agg(F.min("h").alias("h")), "node")
-    bits = 1 << min(25, max(15, int(nodes.count() * 16).bit_length()))
-    bit = F.pmod(F.col("h"), F.lit(bits)) + 1  # bitmap functions count from 1
-    rows = want.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    bitmap = np.zeros(bits, bool)
-    for r in rows:
-        at = (r["bucket"] - 1) * 32768
-        bitmap[at : at + 32768] |= np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    bitmap = _bitmap(want, nodes.count())
+    bits, packed = 8 * len(bitmap), docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
-        keep = np.unpackbits(packed.value).astype(bool)
         for b in batches:
             h = b.column("h").to_numpy(zero_copy_only=False)
-            take = np.flatnonzero(keep[h % bits])
+            take = np.flatnonzero(packed.value[h % bits >> 3] >> (h % 8).astype(np.uint8) & 1)
             data, offsets = buffers(b.column("t").take(pa.array(take)))
             for lo, hi in spans(offsets):
                 g = list(_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n))
@@ -443,6 +436,25 @@ def _set_table(docs: DataFrame, nodes: DataFrame, members: DataFrame, text: str,
     return sets.join(want, ["node", "h"]).groupBy("node").agg(F.first("grams").alias("grams"))
 
 
+def _bitmap(rows: DataFrame, count: int) -> np.ndarray:
+    """Bytes of a bitmap of the rows' column h: bit h modulo its size, lowest bits first; 16 bits for each row, 4 MB at most."""
+    bits = 1 << min(25, max(15, int(count * 16).bit_length()))
+    bit = F.pmod(F.col("h"), F.lit(bits)) + 1  # bitmap functions count from 1
+    found = rows.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in found:
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _perhaps(h: Column, bitmap: np.ndarray) -> Column:
+    """Whether a bitmap has a hash's bit."""
+    at = F.pmod(h, F.lit(8 * len(bitmap)))
+    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap.tobytes())), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def _numbered(x: np.ndarray) -> np.ndarray:
     """Sorted 16-bit values made distinct: each with how many of its kind came before."""
     first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
@@ -582,13 +594,16 @@ def survivors(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int =
     """docs with one row of each class: the one with the smallest key, and of several texts with that key the one with the least hash.
 
     Rows go by their key and text, so different texts that share a key are judged
-    apart. Rows with a null key and rows without words stay.
+    apart. Rows with a null key and rows without words stay. Rows that a bitmap of
+    those that go doesn't have stay where they are; only the others are joined.
     """
     members, named = _named(docs, text, key, n, num, den, longest, centres, mu, split, direct, node_bits)
     losers = members.join(named, "node").filter("k is not null and (k <> least.k or h <> least.h)").select("k", "h").distinct()
     losers = written(losers, "losers", tasks_per_slot=4)
     row = _row_hash(key, text)
-    out = docs.join(losers, (F.col(key).cast("long") == losers["k"]) & (row == losers["h"]), "left_anti").select(*docs.columns)
+    perhaps = _perhaps(row, _bitmap(losers, losers.count()))
+    joined = docs.filter(perhaps).join(losers, (F.col(key).cast("long") == losers["k"]) & (row == losers["h"]), "left_anti").select(*docs.columns)
+    out = docs.filter(~perhaps).union(joined)
     repeated = members.filter("k is not null and node is not null").groupBy("k", "h").count().filter("count > 1")
     if repeated.isEmpty():
         return out
