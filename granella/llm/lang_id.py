@@ -125,6 +125,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         return None
     each = min(rows_per_language, most_rows / len(counts))
     limits = labelled.sparkSession.createDataFrame([(r["l"], max(each / r["n"], r["least"])) for r in counts], "l string, most double")
+    if len(counts) <= 100_000:  # else texts are dealt by language
+        limits = F.broadcast(limits)
     sample = rows.join(limits, "l").filter("u <= most").groupBy("l", "k").agg(F.first("t").alias("t"))  # rows that repeat train once
 
     def featurise(batches):
