@@ -238,6 +238,7 @@ def unpack(b: bytes, n: int) -> np.ndarray:
 
 def trim() -> None:
     """Gives freed memory of this worker back to the system, where the C library can; workers live on between tasks."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -53,7 +53,7 @@ MARK, LITERAL, BREAK = 0x2581, 0x200000, 10
 CHUNK = 1_100_000
 #: Characters before a unit's end up to which masses are plain numbers.
 PLAIN = 16
-_BITS = 22
+_BITS = 21
 #: A rest whose path is less likely than exp(FAINT) can't be among the best.
 FAINT = -60.0
 
