@@ -189,10 +189,17 @@ class Levels:
         """Binary logarithm of a list's length."""
         return (self.floor + int(level)) / 4 if level else 1.0
 
+    def _parts(self, level: np.ndarray) -> np.ndarray:
+        level = level.astype(np.float64)
+        return np.where(level > 0, np.maximum(1, np.exp2((level + self.floor) / 4) // self.split), 1).astype(np.int64)
+
     def parts(self, grams: np.ndarray) -> np.ndarray:
         """Shards that a list is dealt to: one for each ``split`` entries it may have."""
-        level = self.of(grams).astype(np.float64)
-        return np.where(level > 0, np.maximum(1, np.exp2((level + self.floor) / 4) // self.split), 1).astype(np.int64)
+        return self._parts(self.of(grams))
+
+    def several(self) -> bool:
+        """Whether any list is dealt to several shards. Only the highest level is looked at: arrays of numbers for all counters would take the driver a gigabyte."""
+        return bool((self._parts(self.levels.max(keepdims=True)) > 1).any())
 
 
 def _entries(docs: DataFrame, text: str, n: int, num: int, den: int, mu: float, names: Names, levels, shards: int, lanes: int) -> DataFrame:
@@ -558,7 +565,7 @@ def _named(docs: DataFrame, text: str, key: str, n: int, num: int, den: int, lon
     if lanes < shards:
         entries = _to_shards(entries, shards, lanes, max(1, shards // (16 * lanes)))
     merged = written(_merge(entries, shards, num, den, levels, longest, centres), "merged", tasks_per_slot=16)
-    pairs = written(_candidates(merged, num, den, centres, bool((known.parts(_every_bucket(bits)) > 1).any())), "pairs", tasks_per_slot=4)
+    pairs = written(_candidates(merged, num, den, centres, known.several()), "pairs", tasks_per_slot=4)
     verified = lambda some: _verified(docs, some, members, text, key, n, num, den, names)
     first = written(_best(pairs), "pairs", tasks_per_slot=4)
     links = verified(first)
@@ -579,10 +586,6 @@ def _named(docs: DataFrame, text: str, key: str, n: int, num: int, den: int, lon
     return members, nodes.select("node", "root").join(least, "root")
 
 
-def _every_bucket(bits: int) -> np.ndarray:
-    return np.arange(1 << bits, dtype=U64) << U64(64 - bits)
-
-
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, num: int = 75, den: int = 100, longest: int = 64, centres: int = 4, mu: float = 0.01, split: int = 50_000, direct: int = DIRECT, node_bits: int = 64) -> DataFrame:
     """key, n_shingles and component_id (the smallest key of the class) of every row. Keys are integers."""
     members, named = _named(docs, text, key, n, num, den, longest, centres, mu, split, direct, node_bits)
