@@ -50,7 +50,7 @@ from granella.llm.common import U64, _power, buffers, mix, small_batches, spans,
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL, BREAK = 0x2581, 0x200000, 10
-CHUNK = 1_100_000
+CHUNK = 550_000
 #: Characters before a unit's end up to which masses are plain numbers.
 PLAIN = 16
 _BITS = 21
