@@ -443,23 +443,32 @@ def _set_table(docs: DataFrame, nodes: DataFrame, members: DataFrame, text: str,
     return sets.join(want, ["node", "h"]).groupBy("node").agg(F.first("grams").alias("grams"))
 
 
-def _bitmap(rows: DataFrame, count: int) -> np.ndarray:
-    """Bytes of a bitmap of the rows' column h: bit h modulo its size, lowest bits first; 16 bits for each row, 4 MB at most."""
+def _bits(rows: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """(bucket, bits) of a bitmap of the rows' column h, and how many bits it has: bit h modulo that number, lowest bits first; 16 bits for each row, 4 MB at most."""
     bits = 1 << min(25, max(15, int(count * 16).bit_length()))
     bit = F.pmod(F.col("h"), F.lit(bits)) + 1  # bitmap functions count from 1
-    found = rows.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    return rows.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")), bits
+
+
+def _bitmap(rows: DataFrame, count: int) -> np.ndarray:
+    """Its bytes."""
+    found, bits = _bits(rows, count)
     out = np.zeros(bits // 8, np.uint8)
-    for r in found:
+    for r in found.collect():
         at = (r["bucket"] - 1) * 4096
         out[at : at + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
-def _perhaps(h: Column, bitmap: np.ndarray) -> Column:
-    """Whether a bitmap has a hash's bit."""
-    at = F.pmod(h, F.lit(8 * len(bitmap)))
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap.tobytes())), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+def _parted(docs: DataFrame, row: Column, losers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs that a bitmap of the losers has, and the others. Its buckets are a table that is broadcast: as a constant of the plan, megabytes would be spelt out in every text of the plan that the driver makes."""
+    buckets, bits = _bits(losers, losers.count())
+    buckets = F.broadcast(written(buckets, "bitmap", tasks_per_slot=1))
+    bit, bucket, found = F.pmod(row, F.lit(bits)), free_name(docs.columns, "bucket"), free_name(docs.columns, "bits")
+    met = docs.join(buckets.toDF(bucket, found), F.bitmap_bucket_number(bit + 1) == F.col(bucket), "left")
+    byte = F.conv(F.hex(F.substring(F.col(found), F.floor(bit % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    perhaps = F.coalesce(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return met.filter(perhaps).select(*docs.columns), met.filter(~perhaps).select(*docs.columns)
 
 
 def _numbered(x: np.ndarray) -> np.ndarray:
@@ -604,9 +613,8 @@ def survivors(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int =
     losers = members.join(named, "node").filter("k is not null and (k <> least.k or h <> least.h)").select("k", "h").distinct()
     losers = written(losers, "losers", tasks_per_slot=4)
     row = _row_hash(key, text)
-    perhaps = _perhaps(row, _bitmap(losers, losers.count()))
-    joined = docs.filter(perhaps).join(losers, (F.col(key).cast("long") == losers["k"]) & (row == losers["h"]), "left_anti").select(*docs.columns)
-    out = docs.filter(~perhaps).union(joined)
+    perhaps, others = _parted(docs, row, losers)
+    out = others.union(perhaps.join(losers, (F.col(key).cast("long") == losers["k"]) & (row == losers["h"]), "left_anti").select(*docs.columns))
     repeated = members.filter("k is not null and node is not null").groupBy("k", "h").count().filter("count > 1")
     if repeated.isEmpty():
         return out
