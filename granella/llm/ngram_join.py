@@ -58,7 +58,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granella.llm.common import U64, buffers, discard, free_name, mix, ngram_hashes, pack, signed, spans, tidy, unpack, word_hashes, written
+from granella.llm.common import U64, buffers, discard, free_name, let_go, mix, ngram_hashes, pack, signed, spans, tidy, unpack, without_broadcasts, word_hashes, written
 from granella.llm.components import components
 
 _COUNTERS = 1 << 14
@@ -420,14 +420,18 @@ def _best(candidates: DataFrame) -> DataFrame:
     return best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
-def _set_table(docs: DataFrame, nodes: DataFrame, members: DataFrame, text: str, key: str, n: int, names: Names, small: bool) -> DataFrame:
-    """(node, grams) of the nodes asked for: one document of each is read again. With small, 16 bits of each n-gram.
+def _wanted(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, h) of the nodes asked for: a document of each. It is a table, since it is counted, mapped and joined."""
+    return written(nodes.join(members.filter("node is not null").groupBy("node").agg(F.min("h").alias("h")), "node"), "wanted", tasks_per_slot=4)
+
+
+def _set_table(docs: DataFrame, want: DataFrame, text: str, key: str, n: int, names: Names, small: bool) -> DataFrame:
+    """(node, grams) of the nodes wanted: one document of each is read again. With small, 16 bits of each n-gram.
 
     A bitmap of at most 4 MB drops most other documents before they are hashed;
     a join drops the rest.
     """
-    want = nodes.join(members.filter("node is not null").groupBy("node").agg(F.min("h").alias("h")), "node")
-    bitmap = _bitmap(want, nodes.count())
+    bitmap = _bitmap(want, want.count())
     bits, packed = 8 * len(bitmap), docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
@@ -505,9 +509,10 @@ def _reaching(pairs: DataFrame, sets: DataFrame, num: int, den: int, small: bool
 def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, text: str, key: str, n: int, num: int, den: int, names: Names) -> DataFrame:
     """Those pairs (a, b) whose sets reach the similarity: first by 16 bits of each n-gram, then in full."""
     for small in (True, False):
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        last, pairs = pairs, written(_reaching(pairs, _set_table(docs, ends, members, text, key, n, names, small), num, den, small), "links", tasks_per_slot=4)
-        discard(last)
+        want = _wanted(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), members)
+        last, pairs = pairs, written(_reaching(pairs, _set_table(docs, want, text, key, n, names, small), num, den, small), "links", tasks_per_slot=4)
+        discard(last, want)
+        let_go(docs.sparkSession)
     return pairs
 
 
@@ -557,8 +562,18 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes and further links as classes: a class's links to its root stand for those it was made of."""
+    return roots if links.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
 def _named(docs: DataFrame, text: str, key: str, n: int, num: int, den: int, longest: int, centres: int, mu: float, split: int, direct: int, node_bits: int) -> tuple[DataFrame, DataFrame]:
     """Members (k, h, size, node) and, of every node, its class and the least (k, h) of the class with a key."""
+    with without_broadcasts(docs.sparkSession):
+        return _found(docs, text, key, n, num, den, longest, centres, mu, split, direct, node_bits)
+
+
+def _found(docs: DataFrame, text: str, key: str, n: int, num: int, den: int, longest: int, centres: int, mu: float, split: int, direct: int, node_bits: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows, names = docs.count(), Names(node_bits)
     bits = min(24, max(16, int(rows * 32).bit_length()))
@@ -577,18 +592,18 @@ def _named(docs: DataFrame, text: str, key: str, n: int, num: int, den: int, lon
     pairs = written(_candidates(merged, num, den, centres, known.several()), "pairs", tasks_per_slot=4)
     verified = lambda some: _verified(docs, some, members, text, key, n, num, den, names)
     first = written(_best(pairs), "pairs", tasks_per_slot=4)
-    links = verified(first)
-    roots = components(links)
+    roots = components(verified(first))
     rest = written(_apart(pairs.join(_best(pairs), ["a", "b"], "left_anti"), roots), "pairs", tasks_per_slot=4)
     if not rest.isEmpty():
-        links = links.union(verified(rest))
-        roots = components(links)
+        roots = _joined(roots, verified(rest))
     long = merged.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("tok"), F.col("x").alias("size"), F.col("y").alias("pos"))
     if not long.isEmpty():
         more = written(_across(_mixed(long, roots, members), num, den).join(pairs, ["a", "b"], "left_anti"), "pairs", tasks_per_slot=4)
         if not more.isEmpty():
-            roots = components(links.union(verified(more)))
+            roots = _joined(roots, verified(more))
     discard(merged, pairs)
+    levels.destroy()
+    let_go(spark)
     own = F.when(F.col("k").isNotNull(), F.struct("k", "h"))
     nodes = members.filter("node is not null").groupBy("node").agg(F.min(own).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least").alias("least"))
